@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def build_session(app: str = "flowlucid", cpus: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -40,6 +45,37 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python workers, once per application.
+
+    Spark copies the archive to every executor, also to one that joins later; only the
+    driver reads the file made here.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(
+            f"{tempfile.mkdtemp(prefix='flowlucid-')}/flowlucid", "zip", package.parent, package.name,
+        )
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """A driver-made table (per class, per week, per grid point) as a local relation.
+
+    Its exact size is in the plan, so Spark itself decides whether to broadcast it.
+    """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    names = schema.fieldNames()
+    arrow = pa.Table.from_pylist([dict(zip(names, row, strict=True)) for row in rows], to_arrow_schema(schema))
+    return spark.createDataFrame(arrow, schema)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)

@@ -35,4 +35,4 @@ def shap_summary(
 
 def only_supported(summary: DataFrame, support: DataFrame, cls: str = "class") -> DataFrame:
     """Keeps the classes with test rows. ``support`` has (class, n_test): one row per class."""
-    return summary.join(F.broadcast(support.filter("n_test > 0").select(cls)), cls, "left_semi")
+    return summary.join(support.filter("n_test > 0").select(cls), cls, "left_semi")

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import scratch_dir
+from ..config import scratch_dir, ship_package
 from ..schema import KEY
 
 # One broadcast holds at most this much path data; more paths are worked off in parts.
@@ -116,6 +116,7 @@ class TreePaths:
 
 def tree_paths(spark: SparkSession, model: Model, max_bytes: int = MAX_BROADCAST_BYTES) -> TreePaths:
     """Path tables are as large as the model, which the driver holds anyway; rows play no part."""
+    ship_package(spark)
     found = (
         node_table(spark, model).groupBy("tree").applyInPandas(paths_of_tree, PATH_SCHEMA)
         .orderBy("tree").toPandas()
@@ -143,10 +144,16 @@ def tree_paths(spark: SparkSession, model: Model, max_bytes: int = MAX_BROADCAST
     return TreePaths(parts, np.asarray(base), tree_model(model).numFeatures)
 
 
+@lru_cache(maxsize=64)
+def _rule(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gauss-Legendre nodes and weights on [0, 1], exact for polynomials of degree ``size``."""
+    t, w = np.polynomial.legendre.leggauss(size // 2 + 1)
+    return (t + 1) / 2, w / 2
+
+
 def _quadrature(size: int, share: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """g_i(t) = z_i (1 - t) + o_i t at the nodes of a rule exact for degree ``size``, and the weights."""
-    t, w = np.polynomial.legendre.leggauss(size // 2 + 1)
-    t, w = (t + 1) / 2, w / 2
+    t, w = _rule(size)
     return share[..., None] * (1 - t) + on[..., None] * t, w
 
 
@@ -156,19 +163,13 @@ def path_weights(share: np.ndarray, on: np.ndarray) -> np.ndarray:
     return (on - share) * ((g.prod(axis=-2, keepdims=True) / g) @ w)
 
 
-def path_interactions(share: np.ndarray, on: np.ndarray) -> np.ndarray:
-    """Interaction values of unit leaves; off-diagonal pairs are split in halves, rows sum to the Shapley value."""
+def path_pairs(share: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """Interaction values of unit leaves for i != j, each pair split in halves; the diagonal is not meaningful."""
     g, w = _quadrature(max(share.shape[-1] - 2, 0), share, on)
     gap = on - share
-    # Product over all but i and j, integrated: (prod * w) scaled by 1/g_i and 1/g_j, as a matrix product.
     inverse = 1 / g
     without_two = (inverse * (g.prod(axis=-2, keepdims=True) * w)) @ np.swapaxes(inverse, -1, -2)
-    pairs = 0.5 * gap[..., :, None] * gap[..., None, :] * without_two
-    size = share.shape[-1]
-    diagonal = np.arange(size)
-    pairs[..., diagonal, diagonal] = 0.0
-    pairs[..., diagonal, diagonal] = path_weights(share, on) - pairs.sum(axis=-1)
-    return pairs
+    return 0.5 * gap[..., :, None] * gap[..., None, :] * without_two
 
 
 def _patterns(x: np.ndarray, group: PathGroup) -> np.ndarray:
@@ -215,20 +216,33 @@ def shap_batch(x: np.ndarray, groups: list[PathGroup], n_classes: int) -> np.nda
 
 
 def interaction_batch(x: np.ndarray, groups: list[PathGroup], cls: int) -> np.ndarray:
-    """(rows, features, features) interaction values of one class."""
+    """(rows, features, features) interaction values of one class; rows of the matrix sum to the Shapley value."""
     n, m = x.shape
-    total = np.zeros((n, m, m))
+    # Rows run along the last axis, so each leaf adds whole contiguous lines.
+    upper, single = np.zeros((m * m, n)), np.zeros((m, n))
     for group in groups:
         size = group.features.shape[1]
         if size == 0:
             continue
-        code = _patterns(x, group)
+        code = _patterns(x, group).T
+        first, second = np.triu_indices(size, 1)
+        every = _bits(np.arange(2**size), size) if 2**size <= n else None
         for leaf in range(len(group.value)):
-            seen, where = np.unique(code[:, leaf], return_inverse=True)
-            values = path_interactions(group.share[leaf], _bits(seen, size)) * group.value[leaf, cls]
-            f = group.features[leaf]
-            total[:, f[:, None], f[None, :]] += values[where]
-    return total
+            if every is None:
+                seen, where = np.unique(code[leaf], return_inverse=True)
+                on = _bits(seen, size)
+            else:
+                on, where = every, code[leaf]
+            f, share, value = group.features[leaf], group.share[leaf], group.value[leaf, cls]
+            pairs = path_pairs(share, on)[:, first, second].T * value
+            slots = np.minimum(f[first], f[second]) * m + np.maximum(f[first], f[second])
+            upper[slots] += pairs[:, where]
+            single[f] += (path_weights(share, on).T * value)[:, where]
+    total = upper.reshape(m, m, n)
+    total = total + total.transpose(1, 0, 2)
+    diagonal = np.arange(m)
+    total[diagonal, diagonal] = single - total.sum(axis=1)
+    return total.transpose(2, 0, 1)
 
 
 def _feature_rows(df: DataFrame, key: str) -> DataFrame:
@@ -254,6 +268,7 @@ def tree_shap(
     classes are explained in the same pass unless ``class_`` names one.
     """
     spark = df.sparkSession
+    ship_package(spark)
     paths = paths or tree_paths(spark, model)
     classes = list(range(len(paths.base))) if class_ is None else [class_]
     key_type = df.schema[key].dataType.simpleString()
@@ -283,6 +298,7 @@ def tree_shap_interactions(
 ) -> DataFrame:
     """Pairwise interaction values (uid, class, base, values), with values a row-major M x M array."""
     spark = df.sparkSession
+    ship_package(spark)
     paths = paths or tree_paths(spark, model)
     key_type = df.schema[key].dataType.simpleString()
     base = float(paths.base[class_])

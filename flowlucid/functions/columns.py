@@ -64,7 +64,7 @@ def encode_binary(df: DataFrame, name: str = "label_binary", strict: bool = True
     if strict:
         text = F.coalesce(label.cast("string"), F.lit("null"))
         message = F.concat(F.lit(f"{name}: no binary value for "), text)
-        code = F.when(code.isNotNull(), code).otherwise(F.raise_error(message).cast("int"))
+        code = F.coalesce(code, F.raise_error(message).cast("int"))
     return code
 
 

@@ -17,15 +17,17 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..config import small_table
 from ..functions import joint_label, tactic_of
 from ..schema import KEY
 from ..sources.store import (
     is_complete, load_model, load_predictions, model_path, save_model, save_predictions,
 )
-from .prep import with_class_weight
+from .prep import balanced_weights, with_class_weight
 from .report import classification_report
-from .sampling import undersample
+from .sampling import attach_by_class, class_counts, undersample
 from .summary import classes_of, index_of, label_at
 
 
@@ -57,8 +59,9 @@ def fit_lr(
     Spark averages the loss over the weights, which balanced weights make sum to the row
     count, so the same optimum needs regParam = 1 / (C * rows).
     """
-    rows = with_class_weight(df, label)
-    n = df.count()
+    counts = class_counts(df, label)
+    n = sum(counts.values())
+    rows = attach_by_class(df, label, balanced_weights(counts), "weight", T.DoubleType())
     return LogisticRegression(
         featuresCol="features", labelCol=label, weightCol="weight", family=family, maxIter=maxIter, tol=tol,
         regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False,
@@ -126,7 +129,7 @@ def train_all(specs: Sequence[ModelSpec], train: DataFrame, test: DataFrame, lab
         predictions = rows if predictions is None else predictions.unionByName(rows)
     train.unpersist()
     spark = train.sparkSession
-    return TrainResult(models, spark.createDataFrame(status, "model string, status string"), predictions)
+    return TrainResult(models, small_table(spark, status, "model string, status string"), predictions)
 
 
 def train_missing(
@@ -156,7 +159,7 @@ def train_missing(
     if todo:
         train.unpersist()
     predictions = load_predictions(spark, root, task, list(models)) if models else None
-    return TrainResult(models, spark.createDataFrame(status, "model string, status string"), predictions)
+    return TrainResult(models, small_table(spark, status, "model string, status string"), predictions)
 
 
 def report_predictions(

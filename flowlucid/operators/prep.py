@@ -168,13 +168,16 @@ def feature_names(prep: PipelineModel) -> list[str]:
     return names
 
 
-def class_weights(df: DataFrame, label: str) -> dict[str, float]:
+def balanced_weights(counts: dict[str, int]) -> dict[str, float]:
     """Balanced weights n / (K * n_c), with K the classes present."""
-    counts = class_counts(df, label)
     total = sum(counts.values())
     return {c: total / (len(counts) * n) for c, n in counts.items()}
 
 
+def class_weights(df: DataFrame, label: str) -> dict[str, float]:
+    return balanced_weights(class_counts(df, label))
+
+
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     return attach_by_class(df, label, class_weights(df, label), name, T.DoubleType())
 
@@ -190,9 +193,3 @@ def scaled_columns(df: DataFrame, stats: FeatureStats) -> DataFrame:
         filled = F.coalesce(F.col(c), F.lit(stats.mode[c]))
         out |= {f"{c}_{v}": (filled == v).cast("double") for v in values}
     return df.withColumns(out)
-
-
-__all__ = [
-    "FeatureStats", "build_pipeline", "category_counts", "class_weights", "encode", "feature_names", "fit_prep",
-    "fit_stats", "impute_mean", "impute_mode", "numeric_stats", "scaled_columns", "with_class_weight",
-]

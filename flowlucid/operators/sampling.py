@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import hash_key, label_text
+from ..config import small_table
+from ..functions import hash_key, label_text, nan_to_null
 from ..schema import KEY, MAX_CLASSES
 
 # Up to this many rows of one class are ranked in one task.
@@ -37,7 +38,7 @@ def attach_by_class(df: DataFrame, label: str, values: dict, name: str, dtype: T
     if len(values) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
     schema = T.StructType([T.StructField("_class", T.StringType()), T.StructField(name, dtype)])
-    table = df.sparkSession.createDataFrame(list(values.items()), schema)
+    table = small_table(df.sparkSession, list(values.items()), schema)
     return df.join(F.broadcast(table), label_text(label) == F.col("_class"), "left").drop("_class")
 
 
@@ -96,8 +97,7 @@ def mark_by_quota(
     }
     cut_type = T.StructType([T.StructField("h", T.StringType()), T.StructField("k", df.schema[key].dataType)])
     marked = attach_by_class(df.withColumn("_label", label_text(label)), "_label", values, "_cut", cut_type)
-    h = hash_key(key, seed)
-    before = (h < F.col("_cut.h")) | ((h == F.col("_cut.h")) & (F.col(key) <= F.col("_cut.k")))
+    before = F.struct(hash_key(key, seed).alias("h"), F.col(key).alias("k")) <= F.col("_cut")
     return marked.withColumn(name, F.coalesce(before, F.lit(False))).drop("_cut", "_label")
 
 
@@ -159,67 +159,88 @@ def top_features(
 
 
 def exact_quantiles(
-    df: DataFrame, cols: list[str], probs: list[float], limit: int = RANK_LIMIT, bins: int = 1024,
+    df: DataFrame, cols: list[str], probs: list[float], limit: int = 10_000, bins: int = 4096, accuracy: int = 10_000,
 ) -> dict[str, list[float]]:
     """Linearly interpolated quantiles, exact, without gathering a column in one task.
 
-    Each wanted order statistic is enclosed between two values; a pass counts rows per
-    bin of that interval and keeps the bin that holds it, until few rows are left.
+    Approximate quantiles bracket each wanted order statistic; one pass counts the rows
+    below and inside every bracket. A bracket with many rows is cut into bins, of which
+    the one that holds the wanted row is kept; a bracket that misses it is replaced by the
+    whole range. When few rows are left their values are counted.
     """
+    number = nan_to_null
+    near = [min(1.0, max(0.0, p + side * 2 / accuracy)) for p in probs for side in (-1, 1)]
     stats = df.agg(*[
-        F.struct(F.count(c).alias("n"), F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(c)
+        F.struct(
+            F.count(number(c)).alias("n"), F.min(number(c)).alias("lo"), F.max(number(c)).alias("hi"),
+            F.percentile_approx(number(c), near, accuracy).alias("near"),
+        ).alias(c)
         for c in cols
     ]).first()
-    # (column, 0-based rank) -> [lower value, upper value, rows below, rows inside]
-    targets: dict[tuple[str, int], list] = {}
+    # Neighbouring 0-based ranks and the weight of the upper one, per column and probability.
+    wanted, brackets = {}, {}
     for c in cols:
-        n = stats[c].n
-        for p in probs if n else []:
-            position = p * (n - 1)
-            for rank in {int(position), min(int(position) + 1, n - 1)}:
-                targets[c, rank] = [stats[c].lo, stats[c].hi, 0, n]
-    spark = df.sparkSession
-    values = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cols
-    ]))).filter(F.col("v").isNotNull())
-    schema = "t_col string, rank long, lo double, hi double, below long"
-
-    def within(chosen: dict) -> DataFrame:
-        # At most 2 x columns x probabilities rows.
-        table = spark.createDataFrame([(c, r, v[0], v[1], v[2]) for (c, r), v in chosen.items()], schema)
-        return values.join(
-            F.broadcast(table),
-            (F.col("col") == F.col("t_col")) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")),
-        )
+        for i, p in enumerate(probs if stats[c].n else []):
+            at = p * (stats[c].n - 1)
+            wanted[c, p] = int(at), min(int(at) + 1, stats[c].n - 1), at - int(at)
+            brackets[c, p] = stats[c].near[2 * i], stats[c].near[2 * i + 1]
+    if not wanted:
+        return {c: [] for c in cols}
+    counts = df.agg(*[
+        F.struct(
+            F.count_if(number(c) < lo).alias("below"), F.count_if(number(c).between(lo, hi)).alias("n"),
+        ).alias(f"b{i}")
+        for i, ((c, _), (lo, hi)) in enumerate(brackets.items())
+    ]).first()
+    # (column, lowest value, highest value, rows below, rows inside) -> ranks to find inside
+    intervals: dict[tuple, set[int]] = {}
+    for i, ((c, p), (lo, hi)) in enumerate(brackets.items()):
+        below, n = counts[f"b{i}"]
+        for rank in wanted[c, p][:2]:
+            inside = below <= rank < below + n
+            interval = (c, lo, hi, below, n) if inside else (c, stats[c].lo, stats[c].hi, 0, stats[c].n)
+            intervals.setdefault(interval, set()).add(rank)
+    found: dict[tuple[str, int], float] = {}
+    while intervals:
+        for (c, lo, hi, _, _), ranks in intervals.items():
+            if lo == hi:
+                found |= {(c, r): lo for r in ranks}
+        intervals = _narrowed(df, {i: r for i, r in intervals.items() if i[1] < i[2]}, limit, bins)
+    return {
+        c: [
+            found[c, lower] + (found[c, upper] - found[c, lower]) * weight
+            for (name, _), (lower, upper, weight) in wanted.items() if name == c
+        ]
+        for c in cols
+    }
 
-    while wide := {t: v for t, v in targets.items() if v[3] > limit and v[0] < v[1]}:
-        at = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
-        per_bin = within(wide).groupBy("col", "rank", "below", at.alias("bin")).agg(
-            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-        )
-        upto = F.sum("n").over(Window.partitionBy("col", "rank").orderBy("bin")) + F.col("below")
-        found = (
-            per_bin.withColumn("upto", upto)
-            .filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
-        )
-        for r in found.collect():
-            targets[r.col, r.rank] = [r.lo, r.hi, r.upto - r.n, r.n]
-    result = {t: v[0] for t, v in targets.items() if v[0] == v[1]}
-    if narrow := {t: v for t, v in targets.items() if v[0] < v[1]}:
-        per_value = within(narrow).groupBy("col", "rank", "below", "v").agg(F.count(F.lit(1)).alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("col", "rank").orderBy("v")) + F.col("below")
-        found = (
-            per_value.withColumn("upto", upto)
-            .filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
-        )
-        result |= {(r.col, r.rank): r.v for r in found.collect()}
-    out: dict[str, list[float]] = {}
-    for c in cols:
-        n = stats[c].n
-        out[c] = []
-        for p in probs if n else []:
-            position = p * (n - 1)
-            low = result[c, int(position)]
-            high = result[c, min(int(position) + 1, n - 1)]
-            out[c].append(low + (high - low) * (position - int(position)))
-    return out
+
+def _narrowed(df: DataFrame, intervals: dict[tuple, set[int]], limit: int, bins: int) -> dict[tuple, set[int]]:
+    """For each wanted rank the bin, or the single value, of its interval that holds it.
+
+    There are a few intervals per column and probability, so they are literals of one
+    narrow expression; rows outside all intervals leave no trace.
+    """
+    if not intervals:
+        return {}
+    cells = []
+    for i, (c, lo, hi, below, n) in enumerate(intervals):
+        v = nan_to_null(c)
+        cell = F.floor((v - lo) / (hi - lo) * bins).cast("double") if n > limit else v
+        cells.append(F.when(v.between(lo, hi), F.struct(
+            F.lit(i).alias("id"), F.lit(below).cast("long").alias("below"), cell.alias("cell"), v.alias("v"),
+        )))
+    counted = df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("id", "below", "cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+    )
+    upto = F.sum("n").over(Window.partitionBy("id").orderBy("cell")) + F.col("below")
+    ranks = small_table(
+        df.sparkSession, [(i, r) for i, wanted in enumerate(intervals.values()) for r in sorted(wanted)],
+        "rank_id int, rank long",
+    )
+    hit = (F.col("id") == F.col("rank_id")) & (F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank"))
+    column = [interval[0] for interval in intervals]
+    narrowed: dict[tuple, set[int]] = {}
+    for r in counted.withColumn("upto", upto).join(F.broadcast(ranks), hit).collect():
+        narrowed.setdefault((column[r.id], r.lo, r.hi, r.upto - r.n, r.n), set()).add(r.rank)
+    return narrowed

@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import scratch_dir
+from ..config import scratch_dir, small_table
 from ..explain.dependence import partial_dependence, pdp_grid
 from ..explain.importance import compare_importance, feature_importance
 from ..explain.kernel import additive_kernel_shap, kmeans_background, row_background
@@ -19,7 +19,7 @@ from ..functions import encode_binary, joint_label, safe_div, tactic_of
 from ..operators.models import (
     ModelSpec, default_specs, fit_dt, fit_gnb, hierarchical_report, report_predictions, score, train_all, train_missing,
 )
-from ..operators.prep import impute_mean, impute_mode, scaled_columns, with_class_weight
+from ..operators.prep import impute_mean, impute_mode, with_class_weight
 from ..operators.report import classification_report, confusion, confusion_wide
 from ..operators.sampling import sample_n, top_features, undersample
 from ..operators.summary import (
@@ -523,7 +523,7 @@ def kernel_shap_nb_total(w: Workbench) -> DataFrame:
 def kmeans_background_centres(w: Workbench) -> DataFrame:
     background = kmeans_background(w.x_train, 100)
     rows = [(i, float(b), x.tolist()) for i, (b, x) in enumerate(zip(background.weight, background.x, strict=True))]
-    return w.spark.createDataFrame(rows, "centre int, weight double, x array<double>")
+    return small_table(w.spark, rows, "centre int, weight double, x array<double>")
 
 
 @query("shap_global")
@@ -551,37 +551,27 @@ def lime_discretizer(w: Workbench) -> DataFrame:
 PDP_FEATURES = ["orig_pkts", "resp_pkts", "pktAtsec", "avgLenPkt"]
 
 
-@query("pdp")
-def pdp(w: Workbench) -> DataFrame:
-    """All four binary models over one grid."""
-    positions = [w.names.index(c) for c in PDP_FEATURES]
-    grids = _pdp_grids(w)
-    out = None
-    for name in ("rf_binary", "dt_binary", "lr_binary", "gnb_binary"):
-        curve = partial_dependence(w.model(name), w.x_test, w.names, positions, grids=grids)
-        curve = curve.select(F.lit(name).alias("model"), "*")
-        out = curve if out is None else out.unionByName(curve)
-    return out
+def _pdp_columns(w: Workbench) -> DataFrame:
+    x = vector_to_array("features")
+    return w.x_test.select(*[F.get(x, F.lit(w.names.index(c))).alias(c) for c in PDP_FEATURES])
 
 
-def _pdp_grids(w: Workbench) -> dict[str, list[float]]:
-    grids: dict[str, list[float]] = {}
-    for r in pdp_grid(scaled_columns(w.test, w.stats), PDP_FEATURES).orderBy("feature", "position").collect():
-        grids.setdefault(r.feature, []).append(r.grid_value)
-    return grids
+@query("pdp")
+def pdp(w: Workbench) -> DataFrame:
+    """All four binary models over one grid, in one pass."""
+    models = {name: w.model(name) for name in ("rf_binary", "dt_binary", "lr_binary", "gnb_binary")}
+    return partial_dependence(models, w.x_test, w.names, [w.names.index(c) for c in PDP_FEATURES])
 
 
 @query("pdp_nb")
 def pdp_nb(w: Workbench) -> DataFrame:
-    curve = partial_dependence(
-        w.model("gnb_binary"), w.x_test, w.names, [w.names.index(c) for c in PDP_FEATURES], grids=_pdp_grids(w),
-    )
+    curve = partial_dependence(w.model("gnb_binary"), w.x_test, w.names, [w.names.index(c) for c in PDP_FEATURES])
     return curve.select("feature", "position", F.round("avg_probability", 6).alias("avg_probability"))
 
 
 @query("pdp_grid")
 def pdp_grid_points(w: Workbench) -> DataFrame:
-    return rounded(pdp_grid(scaled_columns(w.test, w.stats), PDP_FEATURES))
+    return rounded(pdp_grid(_pdp_columns(w), PDP_FEATURES))
 
 
 @query("importance_tree")

@@ -67,7 +67,7 @@ def test_sample_n_is_exact(skewed):
     assert sample_n(skewed, 30_000).count() == 20_000
 
 
-@pytest.mark.parametrize("limits", [{}, {"limit": 20, "bins": 8}])
+@pytest.mark.parametrize("limits", [{}, {"limit": 20, "bins": 8}, {"limit": 20, "bins": 8, "accuracy": 3}])
 def test_quantiles_are_exact(spark, limits):
     rng = np.random.default_rng(1)
     data = [(float(a), float(b), None) for a, b in zip(rng.pareto(1.0, 3000), rng.integers(0, 3, 3000))]
