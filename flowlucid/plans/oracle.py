@@ -195,6 +195,36 @@ prob AS (
 SELECT feature, position, round(avg(p), 6) AS avg_probability FROM prob GROUP BY feature, position"""
 
 
+# A tree that learns "conn_state is SF and proto is not icmp" splits on the state first: its
+# value is known for every set of known features, and so are Shapley and interaction values.
+RULE = SPLIT + """,
+flags AS (
+  SELECT uid, is_test, CASE WHEN conn_state = 'SF' THEN 1 ELSE 0 END AS a, CASE WHEN proto <> 'icmp' THEN 1 ELSE 0 END AS b
+  FROM split),
+shares AS (SELECT avg(a) AS pa, avg(b) FILTER (a = 1) AS pb FROM flags WHERE NOT is_test),
+games AS (
+  SELECT uid, a * b AS rule, pa * pb AS v0, a * pb AS va, b * pa AS vb, a * b AS vab FROM flags, shares WHERE is_test),
+values_of AS (
+  SELECT uid, rule, 0.5 * (va - v0 + vab - vb) AS phi_a, 0.5 * (vb - v0 + vab - va) AS phi_b,
+    0.5 * (vab - va - vb + v0) AS pair FROM games)"""
+
+
+def _rule_attributions() -> str:
+    known = {"conn_state_SF": "phi_a", "proto_icmp": "phi_b"}
+    return f"WITH {RULE}\n" + " UNION ALL ".join(
+        f"SELECT uid, '{f}' AS feature, round({known.get(f, '0.0::double')}, 9) + 0.0 AS value FROM values_of" for f in VECTOR
+    )
+
+
+def _rule_importance() -> str:
+    gain = {"conn_state_SF": "root - second", "proto_icmp": "second"}
+    return f"""WITH {RULE},
+gini AS (SELECT 2 * pa * pb * (1 - pa * pb) AS root, pa * 2 * pb * (1 - pb) AS second FROM shares)
+""" + " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, round(({gain.get(f, '0')}) / root, 6) AS importance FROM gini" for f in VECTOR
+    )
+
+
 def _discretizer() -> str:
     melted = _melt("train", "", NUMERIC, "uid")
     return f"""WITH {SPLIT},
@@ -313,6 +343,21 @@ FROM joint GROUP BY uid""",
         "hier_rollup": f"""WITH {FLOWS}
 SELECT label_tactic || ' - ' || label_technique AS joint, label_tactic AS tactic, count(*) AS n
 FROM flows GROUP BY label_tactic, label_technique""",
+        **{
+            f"{model}_rule": f"WITH {RULE} SELECT uid, rule AS label, rule AS prediction FROM games"
+            for model in ("rf", "dt", "lr")
+        },
+        "tree_shap_rule": _rule_attributions(),
+        "tree_shap_interaction_rule": f"""WITH {RULE}
+SELECT uid, round(pair, 9) + 0.0 AS "between", round(pair, 9) + 0.0 AS between_back,
+  round(phi_a - pair, 9) + 0.0 AS own_state, round(phi_b - pair, 9) + 0.0 AS own_proto FROM values_of""",
+        "pdp_rule": f"""WITH {RULE},
+test_shares AS (SELECT avg(a) AS pa, avg(b) AS pb FROM flags WHERE is_test)
+SELECT 'conn_state_SF' AS feature, 0.0::double AS grid_value, 0.0::double AS avg_probability
+UNION ALL SELECT 'conn_state_SF', 1.0, round(pb, 6) FROM test_shares
+UNION ALL SELECT 'proto_icmp', 0.0, round(pa, 6) FROM test_shares
+UNION ALL SELECT 'proto_icmp', 1.0, 0.0""",
+        "importance_tree_rule": _rule_importance(),
         "shap_global": f"""WITH {ENCODED},
 {ATTRIBUTION_MEANS}
 SELECT "class", feature, round(mean_abs, 6) AS mean_abs FROM summary""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import scratch_dir, small_table
@@ -413,6 +413,8 @@ def _model_query(name: str, label: str) -> None:
 for _name in ("rf", "dt", "lr", "gnb"):
     _model_query(f"{_name}_binary", "y")
     _model_query(f"{_name}_tactic", "tactic_idx")
+for _name in ("rf", "dt", "lr"):
+    _model_query(f"{_name}_rule", "rule")
 
 
 @query("predict")
@@ -499,6 +501,24 @@ def tree_shap_interaction(w: Workbench) -> DataFrame:
     return shap_summary(values, pairs)
 
 
+@query("tree_shap_rule")
+def tree_shap_rule(w: Workbench) -> DataFrame:
+    """Every attribution of a tree whose values are known in closed form."""
+    values = long_form(_tree_attributions(w, "dt_rule", 1), w.names)
+    return values.select("uid", "feature", (F.round("value", 9) + F.lit(0.0)).alias("value"))
+
+
+@query("tree_shap_interaction_rule")
+def tree_shap_interaction_rule(w: Workbench) -> DataFrame:
+    values = tree_shap_interactions(w.model("dt_rule"), w.x_test, 1, paths=w.paths("dt_rule"))
+    a, b, m = w.names.index("conn_state_SF"), w.names.index("proto_icmp"), len(w.names)
+
+    def slot(i: int, j: int, name: str) -> Column:
+        return (F.round(F.get("values", F.lit(i * m + j)), 9) + F.lit(0.0)).alias(name)
+
+    return values.select("uid", slot(a, b, "between"), slot(b, a, "between_back"), slot(a, a, "own_state"), slot(b, b, "own_proto"))
+
+
 @query("kernel_shap_lr")
 def kernel_shap_lr(w: Workbench) -> DataFrame:
     background = kmeans_background(w.x_train, 100)
@@ -569,6 +589,13 @@ def pdp_nb(w: Workbench) -> DataFrame:
     return curve.select("feature", "position", F.round("avg_probability", 6).alias("avg_probability"))
 
 
+@query("pdp_rule")
+def pdp_rule(w: Workbench) -> DataFrame:
+    slots = [w.names.index("conn_state_SF"), w.names.index("proto_icmp")]
+    curve = partial_dependence(w.model("dt_rule"), w.x_test, w.names, slots)
+    return rounded(curve.select("feature", "grid_value", "avg_probability"))
+
+
 @query("pdp_grid")
 def pdp_grid_points(w: Workbench) -> DataFrame:
     return rounded(pdp_grid(_pdp_columns(w), PDP_FEATURES))
@@ -581,6 +608,11 @@ def importance_tree(w: Workbench) -> DataFrame:
     return forest.unionByName(tree)
 
 
+@query("importance_tree_rule")
+def importance_tree_rule(w: Workbench) -> DataFrame:
+    return rounded(feature_importance(w.spark, w.model("dt_rule"), w.names))
+
+
 @query("importance_lr")
 def importance_lr(w: Workbench) -> DataFrame:
     return feature_importance(w.spark, w.model("lr_binary"), w.names)

@@ -27,6 +27,9 @@ from .fixture import flows
 # The fixture's labels are independent of its features, so unlimited trees would only
 # grow to memorise noise. The library defaults are 100 trees of depth 20.
 FOREST = {"numTrees": 20, "maxDepth": 10}
+# A label that is a function of the features, so that models and explanations of it are
+# known in closed form.
+RULE = "conn_state = 'SF' AND proto <> 'icmp'"
 
 
 class Workbench:
@@ -79,7 +82,7 @@ class Workbench:
         """Encoded rows, kept because every fit and explanation iterates over them."""
         rows = encode(self.prep, self.split).select(
             "uid", "y", index_of("label_tactic", self.tactics).alias("tactic_idx"),
-            "label_tactic", "label_technique", "is_test", "features",
+            "label_tactic", "label_technique", "is_test", F.expr(RULE).cast("int").alias("rule"), "features",
         )
         return spread(rows, "uid").persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -101,6 +104,9 @@ class Workbench:
             "lr_tactic": lambda: fit_lr(self.x_train, "tactic_idx", family="multinomial"),
             "gnb_binary": lambda: fit_gnb(self.x_train, "y"),
             "gnb_tactic": lambda: fit_gnb(self.x_train, "tactic_idx"),
+            "rf_rule": lambda: fit_rf(self.x_train, "rule", **FOREST),
+            "dt_rule": lambda: fit_dt(self.x_train, "rule"),
+            "lr_rule": lambda: fit_lr(self.x_train, "rule"),
             "hierarchical": lambda: fit_hierarchical(self.x_train, **FOREST),
             "balanced_rf": lambda: fit_balanced_rf(self.x_train, "tactic_idx", **FOREST),
         }
