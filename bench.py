@@ -26,7 +26,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    spark = build_session("flowlucid-bench", cpus=cpus, memory=os.environ.get("BENCH_MEMORY", "8g"))
+    spark = build_session("flowlucid-bench", cpus=cpus, memory=os.environ.get("BENCH_MEMORY", "4g"))
     spark.range(1000).selectExpr("sum(id)").collect()
     queries, seconds = registered(), {}
     for name in names:

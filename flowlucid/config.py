@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def build_session(app: str = "flowlucid", cpus: int | str = "*", memory: str = "8g") -> SparkSession:
+def build_session(app: str = "flowlucid", cpus: int | str = "*", memory: str = "4g") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName(app)
@@ -84,7 +84,8 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows spread over all cores where the input has fewer partitions than cores.
 
-    A table of many files already has more partitions and is returned as it is.
+    Meant before work that is heavy per row. A table of many files already has more
+    partitions and is returned as it is; nothing is run to find out.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -29,9 +29,8 @@ from ..schema import KEY
 
 # One broadcast holds at most this much path data; more paths are worked off in parts.
 MAX_BROADCAST_BYTES = 128 * 1024 * 1024
-# Up to this many features on a path all 2^D patterns are tabulated per leaf.
-TABLE_FEATURES = 10
-CHUNK_VALUES = 1_500_000
+# Row patterns are computed for this many (leaf, row) pairs at a time.
+CHUNK_VALUES = 1_000_000
 
 PATH_SCHEMA = (
     "tree int, features array<int>, low array<double>, high array<double>, share array<double>, value array<double>"
@@ -172,12 +171,12 @@ def path_pairs(share: np.ndarray, on: np.ndarray) -> np.ndarray:
     return 0.5 * gap[..., :, None] * gap[..., None, :] * without_two
 
 
-def _patterns(x: np.ndarray, group: PathGroup) -> np.ndarray:
-    """Bit pattern of met intervals, one per (row, leaf)."""
-    code = np.zeros((len(x), len(group.value)), dtype=np.int64)
+def _patterns(columns: np.ndarray, group: PathGroup) -> np.ndarray:
+    """Bit pattern of met intervals, one line per leaf; ``columns`` is (features, rows)."""
+    code = np.zeros((len(group.value), columns.shape[1]), dtype=np.int64)
     for d in range(group.features.shape[1]):
-        column = x[:, group.features[:, d]]
-        code |= ((column > group.low[:, d]) & (column <= group.high[:, d])).astype(np.int64) << d
+        v = columns[group.features[:, d]]
+        code |= ((v > group.low[:, d, None]) & (v <= group.high[:, d, None])).astype(np.int64) << d
     return code
 
 
@@ -185,59 +184,51 @@ def _bits(code: np.ndarray, size: int) -> np.ndarray:
     return ((code[..., None] >> np.arange(size)) & 1).astype(float)
 
 
-def shap_batch(x: np.ndarray, groups: list[PathGroup], n_classes: int) -> np.ndarray:
-    """(rows, features, classes) attributions of one batch."""
-    n, m = x.shape
-    total = np.zeros((n, m * n_classes))
+def _leaves(columns: np.ndarray, groups: list[PathGroup]) -> Iterator[tuple]:
+    """Per leaf: its features, shares and values, the patterns to evaluate, and each row's pattern.
+
+    All patterns are evaluated where there are no more of them than rows, else those that occur.
+    """
+    n = columns.shape[1]
     for group in groups:
         size = group.features.shape[1]
         if size == 0:
             continue
-        width = max(n, 2**size if size <= TABLE_FEATURES else n) * size
-        step = max(1, CHUNK_VALUES // width)
+        every = _bits(np.arange(2**size), size) if 2**size <= n else None
+        step = max(1, CHUNK_VALUES // n)
         for start in range(0, len(group.value), step):
             part = group.part(start, start + step)
-            leaves = len(part.value)
-            code = _patterns(x, part)
-            if size <= TABLE_FEATURES and 2**size <= 4 * n:
-                table = path_weights(part.share[:, None, :], _bits(np.arange(2**size), size)[None])
-                weights = table[np.arange(leaves), code]
-            else:
-                weights = np.empty((n, leaves, size))
-                for leaf in range(leaves):
-                    seen, where = np.unique(code[:, leaf], return_inverse=True)
-                    weights[:, leaf] = path_weights(part.share[leaf], _bits(seen, size))[where]
-            # Scatter to features by one product: (row, leaf x path slot) @ (leaf x path slot, feature x class).
-            target = np.zeros((leaves, size, m, n_classes))
-            at = np.arange(leaves)[:, None], np.arange(size)[None, :], part.features
-            target[at] = part.value[:, None, :]
-            total += weights.reshape(n, -1) @ target.reshape(leaves * size, -1)
-    return total.reshape(n, m, n_classes)
+            code = _patterns(columns, part)
+            for leaf in range(len(part.value)):
+                if every is None:
+                    seen, where = np.unique(code[leaf], return_inverse=True)
+                    on = _bits(seen, size)
+                else:
+                    on, where = every, code[leaf]
+                yield part.features[leaf], part.share[leaf], part.value[leaf], on, where
+
+
+def shap_batch(x: np.ndarray, groups: list[PathGroup], n_classes: int) -> np.ndarray:
+    """(rows, features, classes) attributions of one batch."""
+    n, m = x.shape
+    # Rows run along the last axis, so each leaf adds whole contiguous lines.
+    total = np.zeros((n_classes, m, n))
+    for features, share, value, on, where in _leaves(np.ascontiguousarray(x.T), groups):
+        weights = np.take(path_weights(share, on).T, where, axis=1)
+        for c in range(n_classes):
+            total[c, features] += weights * value[c]
+    return total.transpose(2, 1, 0)
 
 
 def interaction_batch(x: np.ndarray, groups: list[PathGroup], cls: int) -> np.ndarray:
     """(rows, features, features) interaction values of one class; rows of the matrix sum to the Shapley value."""
     n, m = x.shape
-    # Rows run along the last axis, so each leaf adds whole contiguous lines.
     upper, single = np.zeros((m * m, n)), np.zeros((m, n))
-    for group in groups:
-        size = group.features.shape[1]
-        if size == 0:
-            continue
-        code = _patterns(x, group).T
-        first, second = np.triu_indices(size, 1)
-        every = _bits(np.arange(2**size), size) if 2**size <= n else None
-        for leaf in range(len(group.value)):
-            if every is None:
-                seen, where = np.unique(code[leaf], return_inverse=True)
-                on = _bits(seen, size)
-            else:
-                on, where = every, code[leaf]
-            f, share, value = group.features[leaf], group.share[leaf], group.value[leaf, cls]
-            pairs = path_pairs(share, on)[:, first, second].T * value
-            slots = np.minimum(f[first], f[second]) * m + np.maximum(f[first], f[second])
-            upper[slots] += pairs[:, where]
-            single[f] += (path_weights(share, on).T * value)[:, where]
+    for features, share, value, on, where in _leaves(np.ascontiguousarray(x.T), groups):
+        first, second = np.triu_indices(len(features), 1)
+        slots = np.minimum(features[first], features[second]) * m + np.maximum(features[first], features[second])
+        upper[slots] += np.take(path_pairs(share, on)[:, first, second].T * value[cls], where, axis=1)
+        single[features] += np.take(path_weights(share, on).T * value[cls], where, axis=1)
     total = upper.reshape(m, m, n)
     total = total + total.transpose(1, 0, 2)
     diagonal = np.arange(m)

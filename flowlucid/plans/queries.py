@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import scratch_dir, small_table
 from ..explain.dependence import partial_dependence, pdp_grid
 from ..explain.importance import compare_importance, feature_importance
-from ..explain.kernel import additive_kernel_shap, kmeans_background, row_background
+from ..explain.kernel import additive_kernel_shap, kernel_shap, kmeans_background, row_background
 from ..explain.lime import lime, quantile_bins
 from ..explain.summary import long_form, only_supported, shap_summary
 from ..explain.tree import tree_shap, tree_shap_interactions
@@ -539,6 +539,15 @@ def kernel_shap_nb_total(w: Workbench) -> DataFrame:
     return values.select("uid", F.round(total, 6).alias("p_attack"))
 
 
+@query("kernel_shap_model_total")
+def kernel_shap_model_total(w: Workbench) -> DataFrame:
+    """The estimate for any model, here a tree: base plus attributions is the probability."""
+    background = row_background(w.x_train, 5)
+    values = kernel_shap(w.model("dt_rule"), w.x_test, background, n_samples=64)
+    total = F.col("base") + F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
+    return values.select("uid", (F.round(total, 6) + F.lit(0.0)).alias("p_rule"))
+
+
 @query("kmeans_background")
 def kmeans_background_centres(w: Workbench) -> DataFrame:
     background = kmeans_background(w.x_train, 100)

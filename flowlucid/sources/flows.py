@@ -37,6 +37,10 @@ def read_flows(
     if not directories:
         raise FileNotFoundError(f"no flow directory matches {patterns}")
     reader = spark.read.option("pathGlobFilter", files)
+    parents = {d.rsplit("/", 1)[0] for d in directories}
+    if len(parents) == 1 and all("=" in d.rsplit("/", 1)[1] for d in directories):
+        # key=value directories: the key becomes a column whose filters prune directories.
+        reader = reader.option("basePath", parents.pop())
     groups: dict[str, list[str]] = {}
     for directory in directories:
         groups.setdefault(reader.parquet(directory).schema.json(), []).append(directory)

@@ -12,7 +12,9 @@ def test_weekly_directories_round_trip(spark, bench):
     write_weekly_flows(bench.flows, root)
     back = read_flows(spark, f"{root}/week=*")
     assert back.count() == bench.flows.count()
-    assert back.exceptAll(bench.flows.select(*back.columns)).count() == 0
+    assert back.drop("week").exceptAll(bench.flows.select(*back.drop("week").columns)).count() == 0
+    assert back.filter("week <> date_sub(to_date(ts), dayofweek(ts) - 1)").count() == 0
+    assert "PartitionFilters: [isnotnull(week" in plan(back.filter("week = DATE'2024-01-07'"))
 
 
 def test_weeks_of_different_types_and_excluded_directories(spark):
