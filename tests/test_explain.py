@@ -231,10 +231,10 @@ def test_local_fit_recovers_a_linear_model():
 
 
 def test_lime_finds_the_deciding_feature(spark, bench):
-    rule = bench.features.select("uid", (F.col("resp_pkts") > 20).cast("int").alias("rule"))
+    rule = bench.features.select("uid", (F.col("resp_pkts") > 20).cast("int").alias("target"))
     train = bench.x_train.join(rule, "uid")
     rows = bench.x_test.orderBy("uid").limit(2)
-    got = lime(fit_dt(train, "rule"), train, rows, bench.names, n_samples=500, k=3).collect()
+    got = lime(fit_dt(train, "target"), train, rows, bench.names, n_samples=500, k=3).collect()
     assert len(got) == 6
     for uid in {r.uid for r in got}:
         assert max((r for r in got if r.uid == uid), key=lambda r: abs(r.value)).feature == "resp_pkts"
@@ -247,8 +247,8 @@ def test_dependence_of_a_flat_and_a_step_model(bench):
     flat = DecisionTreeClassifier(labelCol="y", maxDepth=0).fit(bench.x_train)
     p = {round(r.avg_probability, 12) for r in partial_dependence(flat, bench.x_test, bench.names, [0, 1], 5).collect()}
     assert len(p) == 1
-    rule = bench.features.select("uid", (F.col("resp_pkts") > 20).cast("int").alias("rule"))
-    step = fit_dt(bench.x_train.join(rule, "uid"), "rule")
+    rule = bench.features.select("uid", (F.col("resp_pkts") > 20).cast("int").alias("target"))
+    step = fit_dt(bench.x_train.join(rule, "uid"), "target")
     curve = partial_dependence(step, bench.x_test, bench.names, [1]).orderBy("grid_value").collect()
     values = [r.avg_probability for r in curve]
     assert values == sorted(values) and values[0] == 0.0 and values[-1] == 1.0

@@ -17,7 +17,7 @@ FOREST = {"numTrees": 10, "maxDepth": 5}
 def learnable(bench):
     """Encoded rows with a label that is a function of the features."""
     rule = (F.col("resp_pkts") > 20) & (F.col("proto") != "icmp")
-    labels = bench.features.select("uid", rule.cast("int").alias("rule"))
+    labels = bench.features.select("uid", rule.cast("int").alias("target"))
     rows = bench.encoded.join(labels, "uid").cache()
     return rows.filter("not is_test"), rows.filter("is_test")
 
@@ -29,8 +29,8 @@ def quality(model, test, label):
 
 def test_trees_learn_a_rule(learnable):
     train, test = learnable
-    for model in (fit_rf(train, "rule", numTrees=20, maxDepth=8), fit_dt(train, "rule")):
-        assert quality(model, test, "rule")["macro avg"] > 0.95
+    for model in (fit_rf(train, "target", numTrees=20, maxDepth=8), fit_dt(train, "target")):
+        assert quality(model, test, "target")["macro avg"] > 0.95
 
 
 def test_random_labels_stay_near_the_base_rate(bench):

@@ -12,7 +12,6 @@ from flowlucid.operators.prep import encode
 from flowlucid.operators.sampling import stratified_split
 from flowlucid.operators.weekly import weekly_counts
 
-
 from .test_sources import plan
 
 
