@@ -30,19 +30,37 @@ def build_session(app: str = "flowlucid", cpus: int | str = "*", memory: str = "
     return spark
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share.
+_own_roots: dict[str, str] = {}
 
-    ``spark.checkpoint.dir`` names it. Only a local master may fall back to a
-    temporary folder, since there driver and executors are one process.
+
+def scratch_root(spark: SparkSession, root: str | None = None) -> str:
+    """The folder for intermediate tables: ``root``, or what ``spark.checkpoint.dir`` names.
+
+    A cluster has to name one that driver and executors share (a ``file:`` path may be a
+    shared mount, so the setting is taken at its word). Only a local session, where they
+    are one process, may fall back to a temporary folder, one for each application; the
+    session's settings are never changed.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = root or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="flowlucid-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        app = spark.sparkContext.applicationId
+        if app not in _own_roots:
+            _own_roots[app] = tempfile.mkdtemp(prefix="flowlucid-")
+        root = _own_roots[app]
+    return root.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, name: str, root: str | None = None) -> str:
+    """A fresh path in the scratch folder."""
+    return f"{scratch_root(spark, root)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a table that ``scratch_dir`` named, on whatever store it lies."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 _shipped: set[str] = set()
