@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .frames import table
+from .packing import pack_documents
 from .pii import personal_data
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,5 +17,11 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def text_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_personal_data,)}
+    return {f.__name__: f for f in (op2_personal_data, op7_best_fit_packing)}
