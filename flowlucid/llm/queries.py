@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .frames import table
 from .packing import pack_documents
 from .pii import personal_data
+from .repeats import without_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,5 +25,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def text_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_personal_data, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op2_personal_data, op7_best_fit_packing, op9_substring_dedup)}

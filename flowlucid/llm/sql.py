@@ -2,6 +2,25 @@
 
 from __future__ import annotations
 
+OP9 = """
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(1, len(words) - 33)) AS pos, words FROM w WHERE len(words) >= 35
+), h AS (
+  SELECT doc_id, pos, md5(array_to_string(words[pos:pos + 34], ' ')) AS h FROM s
+), r AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1
+), c AS (
+  SELECT DISTINCT doc_id, pos + d AS place FROM r, (SELECT unnest(range(35)) AS d)
+), p AS (
+  SELECT doc_id, list(place) AS gone FROM c GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN p ON w.doc_id = p.doc_id
+"""
+
 
 def text_sql() -> dict[str, str]:
-    return {}
+    return {"op9_substring_dedup": OP9}
