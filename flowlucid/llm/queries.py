@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .frames import table
 from .packing import pack_documents
 from .pii import personal_data
+from .prefixfree import without_repeated_bytes
 from .repeats import without_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,5 +31,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def text_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_personal_data, op7_best_fit_packing, op9_substring_dedup)}
+    return {f.__name__: f for f in (op2_personal_data, op7_best_fit_packing, op9_substring_dedup, op10_suffix_array_dedup)}

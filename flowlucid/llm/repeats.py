@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,7 +136,7 @@ def without_repeats(docs: DataFrame, width: int = 35, text: str = "text", id_: s
             words = texts.words()
             lists = batch.column("cuts")
             at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            many = lists.fill_null([]).value_lengths().to_numpy(zero_copy_only=False)
+            many = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
             at = at + np.repeat(words.first, many)
             edge = np.zeros(len(words.starts) + 1, np.int64)
             np.add.at(edge, at, 1)

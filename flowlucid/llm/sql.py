@@ -21,6 +21,32 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone),
 FROM w LEFT JOIN p ON w.doc_id = p.doc_id
 """
 
+OP10 = """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(0, n - 199)) AS pos, h FROM d WHERE n >= 200
+), k AS (
+  SELECT doc_id, pos, md5(substr(h, 2 * pos + 1, 400)) AS k FROM s
+), r AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY k) AS n FROM k) WHERE n > 1
+), i AS (
+  SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 200 THEN 0 ELSE 1 END AS fresh FROM r
+), g AS (
+  SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM i
+), v AS (
+  SELECT doc_id, min(pos) AS a, max(pos) + 200 AS z FROM g GROUP BY doc_id, g
+), e AS (
+  SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM v
+), t AS (
+  SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+  FROM e JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN head IS NULL THEN b ELSE unhex(head || substr(h, 2 * last + 1)) END) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
 
 def text_sql() -> dict[str, str]:
-    return {"op9_substring_dedup": OP9}
+    return {"op9_substring_dedup": OP9, "op10_suffix_array_dedup": OP10}

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 BLOCK_BYTES = 4 << 20
 _HASH_SPAN = 1 << 19
@@ -140,7 +141,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         if not batch.num_rows:
             continue
         texts = batch.column(column).cast(pa.large_binary())
-        sizes = texts.fill_null(b"").value_lengths() if hasattr(texts, "value_lengths") else pa.compute.binary_length(texts.fill_null(b""))
+        sizes = pa.compute.binary_length(texts.fill_null(b""))
         ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         at = 0
         while at < batch.num_rows:
