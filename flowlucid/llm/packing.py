@@ -12,11 +12,13 @@ the data, and the rows are only ranked and joined with the runs they fall into.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,11 +30,14 @@ from .text import blocks
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a task remembers at most; a full memory is emptied.
-REMEMBERED = 300_000
+REMEMBERED = 900_000
 #: Pieces that one rank group should hold.
 GROUP_ROWS = 50_000
 
 
+_WORD_END = re.compile(rb"(?<=[A-Za-z])(?=[!-@\[-`{-~])")
+
+
 class WordIds:
     """The ids of texts by a tokenizer none of whose tokens spans ASCII white space, so
     that each distinct word is encoded once. Ids are little-endian unsigned 32-bit bytes."""
@@ -42,21 +47,52 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        names = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(names.values()) + 1, bool)
+        self.is_end[[i for name, i in names.items() if name.endswith("</w>")]] = True
+
+    @staticmethod
+    def words(text: bytes) -> list[bytes]:
+        """Parts that the tokenizer keeps apart: at white space and between an ASCII letter
+        and a sign after it, unless the text may hold the name of a special token. Small
+        letters stand for capitals where nothing can combine with them."""
+        if text.isascii():
+            text = text.lower()
+        return (text if b"<|" in text else _WORD_END.sub(b" ", text)).split()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        split = [self.words(t) for t in texts]
         unknown = set().union(*split) - self.known.keys()
         if len(self.known) + len(unknown) > REMEMBERED:
             self.known, unknown = {}, set().union(*split)
-        new = list(unknown)
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = b"".join(i.to_bytes(4, "little") for i in got.ids)
+        self._learn(unknown)
         ids = self.known.__getitem__
         return [b"".join(map(ids, words)) for words in split]
 
 
+    def _learn(self, words: set[bytes]) -> None:
+        """Encodes words of letters many at a time, each ending with an end-of-word token;
+        the others, and batches where the ends don't add up, one by one."""
+        texts = {w: w.decode() for w in words}
+        letters = [w for w, t in texts.items() if t.isalpha()]
+        alone = [w for w, t in texts.items() if not t.isalpha()]
+        for at in range(0, len(letters), 2000):
+            part = letters[at:at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[w] for w in part])], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.is_end[ids]) + 1)
+            if len(ends) != len(part):
+                alone += part
+                continue
+            raw, begin = ids.tobytes(), 0
+            for word, end in zip(part, ends.tolist(), strict=True):
+                self.known[word] = raw[begin:end]
+                begin = end
+        for at in range(0, len(alone), 10_000):
+            part = alone[at:at + 10_000]
+            for word, got in zip(part, self.tokenizer.encode_batch_fast([texts[w] for w in part], add_special_tokens=False), strict=True):
+                self.known[word] = np.array(got.ids, "<u4").tobytes()
+
+
 _encoders: dict[str, WordIds] = {}
 
 
