@@ -11,6 +11,7 @@ from .frames import table
 from .packing import pack_documents
 from .pii import personal_data
 from .prefixfree import without_repeated_bytes
+from .quality import resample
 from .repeats import without_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,11 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, table(spark, sf_dir, "labels")).select("doc_id", F.round("log_weight", 9).alias("log_weight"), "kept")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,4 +43,4 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_personal_data, op7_best_fit_packing, op9_substring_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op2_personal_data, op5_quality_resampling, op7_best_fit_packing, op9_substring_dedup, op10_suffix_array_dedup)}
