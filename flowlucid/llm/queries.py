@@ -13,6 +13,7 @@ from .pii import personal_data
 from .prefixfree import without_repeated_bytes
 from .quality import resample
 from .repeats import without_repeats
+from .secrets import secret_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,11 @@ def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(docs, table(spark, sf_dir, "labels")).select("doc_id", F.round("log_weight", 9).alias("log_weight"), "kept")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,4 +49,4 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_personal_data, op5_quality_resampling, op7_best_fit_packing, op9_substring_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op2_personal_data, op5_quality_resampling, op6_secret_scan, op7_best_fit_packing, op9_substring_dedup, op10_suffix_array_dedup)}
