@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contamination
 from .frames import table
 from .packing import pack_documents
 from .pii import personal_data
@@ -18,6 +19,10 @@ from .secrets import secret_spans
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -49,4 +54,4 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_personal_data, op5_quality_resampling, op6_secret_scan, op7_best_fit_packing, op9_substring_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_personal_data, op5_quality_resampling, op6_secret_scan, op7_best_fit_packing, op9_substring_dedup, op10_suffix_array_dedup)}
