@@ -22,6 +22,8 @@ _GAMMA = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space, controls and ASCII signs.
+SIGNS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
@@ -101,12 +103,12 @@ class Texts:
         low, high = (int(at[0]), int(at[-1])) if len(at) > 1 else (0, 0)
         return cls(raw[low:high], starts - low, stops - low)
 
-    def words(self, lower: bool = False) -> Words:
-        """The runs of bytes other than ASCII white space."""
+    def words(self, lower: bool = False, between: np.ndarray = SPACE) -> Words:
+        """The runs of bytes other than ASCII white space, or than those marked in ``between``."""
         data = LOWER[self.data] if lower else self.data
         n = len(data)
         solid = np.zeros(n + 1, dtype=bool)
-        np.logical_not(SPACE[data], out=solid[:n])
+        np.logical_not(between[data], out=solid[:n])
         before = np.zeros(n + 1, dtype=bool)
         before[1:] = solid[:-1]
         edges = self.starts[self.starts < self.stops]
