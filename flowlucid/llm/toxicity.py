@@ -153,7 +153,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, text
     column[chosen] = np.arange(len(chosen))
     some = column[bucket] >= 0
     doc, column, value = doc[some], column[bucket[some]], strengths(n[some])
-    strength = np.bincount(doc, weights=np.where(z[column] > 0, value, 0), minlength=len(toxic)) / np.log1p(sizes)
+    strength = np.bincount(doc, weights=np.where(z[column] > 0, value, 0), minlength=len(toxic)) / np.log1p(np.maximum(sizes, 1))
     grade = np.zeros(len(toxic), np.int64)
     grade[toxic] = 1 + np.minimum(np.argsort(np.argsort(strength[toxic], kind="stable"), kind="stable") * TOXIC_GRADES // toxic.sum(), TOXIC_GRADES - 1)
     share = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())  # both kinds count the same
