@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .frames import table
+from .jaccard import with_components
 from .packing import pack_documents
 from .pii import personal_data
 from .prefixfree import without_repeated_bytes
@@ -49,6 +50,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -60,4 +65,4 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_personal_data, op3_toxicity, op5_quality_resampling, op6_secret_scan, op7_best_fit_packing, op9_substring_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_personal_data, op3_toxicity, op5_quality_resampling, op6_secret_scan, op7_best_fit_packing, op8_jaccard_join, op9_substring_dedup, op10_suffix_array_dedup)}
