@@ -17,6 +17,7 @@ from .quality import resample
 from .repeats import without_repeats
 from .secrets import secret_spans
 from .toxicity import toxicity
+from .vectors import vector_links
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +35,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, table(spark, sf_dir, "labels")).withColumn("expected_severity", F.round("expected_severity", 6))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return resample(docs, table(spark, sf_dir, "labels")).select("doc_id", F.round("log_weight", 9).alias("log_weight"), "kept")
@@ -65,4 +70,4 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_personal_data, op3_toxicity, op5_quality_resampling, op6_secret_scan, op7_best_fit_packing, op8_jaccard_join, op9_substring_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_personal_data, op3_toxicity, op4_embedding_near_dedup, op5_quality_resampling, op6_secret_scan, op7_best_fit_packing, op8_jaccard_join, op9_substring_dedup, op10_suffix_array_dedup)}
