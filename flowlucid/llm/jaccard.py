@@ -26,6 +26,7 @@ from .sketch import cell_bits, count_sketch, may_have, text_bytes
 from .text import Texts, blocks, mix, range_hashes, signed, window_hashes
 
 WORDS = 4
+#: Intersection by union, in percent, from which two sets are similar.
 PERCENT = 85
 #: Frequent n-grams put last in the order, at most; which ones they are changes no result.
 HOT = 1 << 16
@@ -60,18 +61,18 @@ def set_key(members: np.ndarray) -> tuple[int, int]:
     return int(pair.view(np.int64)[0]), int((pair[1] >> np.uint64(32)).astype(np.uint32).view(np.int32))
 
 
-def size_class(size: int) -> int:
+def size_class(size: int, percent: int = PERCENT) -> int:
     """Sizes within the required ratio lie in one class or in two that follow each other."""
-    return int(np.floor(np.log(size) / np.log(100 / PERCENT) + 1e-9))
+    return int(np.floor(np.log(size) / np.log(100 / percent) + 1e-9))
 
 
-def meeting_keys(members: np.ndarray, hot: np.ndarray) -> np.ndarray:
+def meeting_keys(members: np.ndarray, hot: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """A key for each of the first n-grams and each of two size classes."""
     n = len(members)
     at = np.searchsorted(hot, members)
     frequent = hot[np.minimum(at, len(hot) - 1)] == members if len(hot) else np.zeros(n, bool)
-    first = np.concatenate([members[~frequent], members[frequent]])[:n - -(-PERCENT * n // 100) + 1]
-    c = size_class(n)
+    first = np.concatenate([members[~frequent], members[frequent]])[:n - -(-percent * n // 100) + 1]
+    c = size_class(n, percent)
     return np.concatenate([mix(first + np.uint64(c + k) * _SALT) for k in (0, 1)])
 
 
@@ -110,7 +111,7 @@ class SignatureTree:
         first = self.levels[level][0]
         return int(first[node + 1]) if node + 1 < len(first) else len(self.sizes)
 
-    def leaf_pairs(self) -> Iterator[tuple[int, int]]:
+    def leaf_pairs(self, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
         """Pairs of leaves that a dual traversal from the root cannot rule out: the sizes can
         be near enough, and the bits shared by both ORs leave enough possible overlap."""
         stack = [(len(self.levels) - 1, 0, 0)]
@@ -119,10 +120,10 @@ class SignatureTree:
             first, ors, least, slack = self.levels[level]
             if u != v:
                 most_u = self.sizes[self.last(level, u) - 1]
-                if 100 * most_u < PERCENT * least[v]:
+                if 100 * most_u < percent * least[v]:
                     continue
                 common = int(np.bitwise_count(ors[u] & ors[v]).sum())
-                if (100 + PERCENT) * (common + min(slack[u], slack[v])) < PERCENT * (least[u] + least[v]):
+                if (100 + percent) * (common + min(slack[u], slack[v])) < percent * (least[u] + least[v]):
                     continue
             if level == 0:
                 yield u, v
@@ -132,7 +133,7 @@ class SignatureTree:
                 stack.extend((level - 1, a, b) for b in range(max(a, v * FAN), min(v * FAN + FAN, below)))
 
 
-def linked(sizes: np.ndarray, bits: list[np.ndarray], similar: Callable[[int, int], bool] | None) -> list[int]:
+def linked(sizes: np.ndarray, bits: list[np.ndarray], similar: Callable[[int, int], bool] | None, percent: int = PERCENT) -> list[int]:
     """For each set the number of the least one it is linked to, directly or not. Without
     ``similar``, all pairs that the bitmaps cannot rule out are links. Pairs that are already
     connected need no comparison."""
@@ -140,14 +141,14 @@ def linked(sizes: np.ndarray, bits: list[np.ndarray], similar: Callable[[int, in
     words = min(len(b) for b in bits)
     tree = SignatureTree.of(sizes[order], np.stack([_folded(bits[i], words) for i in order]))
     joined, ones = Union(len(sizes)), np.bitwise_count(tree.bits).sum(1)
-    for u, v in tree.leaf_pairs():
+    for u, v in tree.leaf_pairs(percent):
         a, b = (np.arange(tree.levels[0][0][x], tree.last(0, x)) for x in (u, v))
         if len({joined.find(int(i)) for i in (*a, *b)}) == 1:
             continue
         common = np.bitwise_count(tree.bits[a][:, None] & tree.bits[b][None]).sum(2)
         most = np.minimum((tree.sizes[a] - ones[a])[:, None], (tree.sizes[b] - ones[b])[None]) + common
-        near = (100 + PERCENT) * most >= PERCENT * (tree.sizes[a][:, None] + tree.sizes[b][None])
-        near &= 100 * np.minimum(tree.sizes[a][:, None], tree.sizes[b][None]) >= PERCENT * np.maximum(tree.sizes[a][:, None], tree.sizes[b][None])
+        near = (100 + percent) * most >= percent * (tree.sizes[a][:, None] + tree.sizes[b][None])
+        near &= 100 * np.minimum(tree.sizes[a][:, None], tree.sizes[b][None]) >= percent * np.maximum(tree.sizes[a][:, None], tree.sizes[b][None])
         for i, j in np.argwhere(near):
             x, y = int(a[i]), int(b[j])
             if x < y and joined.find(x) != joined.find(y) and (similar is None or similar(int(order[x]), int(order[y]))):
@@ -160,9 +161,9 @@ def linked(sizes: np.ndarray, bits: list[np.ndarray], similar: Callable[[int, in
     return out.tolist()
 
 
-def similar_enough(a: np.ndarray, b: np.ndarray) -> bool:
+def similar_enough(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return (100 + PERCENT) * both >= PERCENT * (len(a) + len(b))
+    return (100 + percent) * both >= percent * (len(a) + len(b))
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -187,7 +188,7 @@ def _numbers(batch: pa.RecordBatch, owners: list[int], sets: list[np.ndarray], k
     return [pa.array([keys[i][0] for i in owners], pa.int64()), pa.array([keys[i][1] for i in owners], pa.int32()), pa.array([len(sets[i]) for i in owners], pa.int32())]
 
 
-def similar_sets(docs: DataFrame, words: int, text: str) -> DataFrame:
+def similar_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFrame:
     """``h1, h2, g1, g2``: edges between named sets that connect all similar ones."""
     spark, size = docs.sparkSession, text_bytes(docs, text)
     texts = docs.select(text)
@@ -208,9 +209,9 @@ def similar_sets(docs: DataFrame, words: int, text: str) -> DataFrame:
     def all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for _, sets in sets_of(batches):
             named = {set_key(s): s for s in sets}
-            yield np.concatenate([np.empty(0, np.uint64), *[meeting_keys(s, hot.value) for s in named.values()]])
+            yield np.concatenate([np.empty(0, np.uint64), *[meeting_keys(s, hot.value, percent) for s in named.values()]])
 
-    bits = cell_bits(size / 6 * 0.3, 8)
+    bits = cell_bits(size / 6 * 2 * (100 - percent) / 100, 8)
     meets = spark.sparkContext.broadcast(count_sketch(texts, all_keys, bits, 1, 2))
 
     def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +220,7 @@ def similar_sets(docs: DataFrame, words: int, text: str) -> DataFrame:
             named = {k: i for i, k in enumerate(names)}
             found, owners = [np.empty(0, np.uint64)], []
             for i in named.values():
-                keys = meeting_keys(sets[i], hot.value)
+                keys = meeting_keys(sets[i], hot.value, percent)
                 keys = keys[may_have(meets.value, keys, bits, 1)]
                 found.append(keys)
                 owners += [i] * len(keys)
@@ -265,7 +266,7 @@ def similar_sets(docs: DataFrame, words: int, text: str) -> DataFrame:
                 content = [np.frombuffer(c, np.uint64) for c in rows.column("content").to_pylist()]
                 sizes = rows.column("n").to_numpy().astype(np.int64)
                 maps = [bitmap(c) for c in content] if exact else content
-                least = linked(sizes, maps, (lambda i, j: similar_enough(content[i], content[j])) if exact else None)
+                least = linked(sizes, maps, (lambda i, j: similar_enough(content[i], content[j], percent)) if exact else None, percent)
                 many = np.bincount(least, minlength=len(least))[least]
                 at = [i for i in range(len(least)) if many[i] > 1]
                 to = [least[i] for i in at]
@@ -284,7 +285,7 @@ def similar_sets(docs: DataFrame, words: int, text: str) -> DataFrame:
     return compared(with_sets, [*group, "g1", "g2"], True).select("h1", "h2", "g1", "g2").filter("h1 <> g1 or h2 <> g2").distinct()
 
 
-def with_components(docs: DataFrame, words: int = WORDS, text: str = "text", id_: str = "doc_id") -> DataFrame:
+def with_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """The input columns but the text, then ``n_shingles`` and ``component_id``, the least id
     among the documents linked to it, itself included.
 
@@ -311,9 +312,27 @@ def with_components(docs: DataFrame, words: int = WORDS, text: str = "text", id_
     named = spark.read.parquet(path)
     least = named.filter("h1 is not null").groupBy("h1", "h2").agg(F.min(id_).alias("rep"))
     path = scratch_dir(spark, "links")
-    similar_sets(source, words, text).write.parquet(path)
+    similar_sets(source, words, percent, text).write.parquet(path)
     links = spark.read.parquet(path)
     ends = links.join(least, ["h1", "h2"]).select(F.col("rep").alias("a"), F.col("g1").alias("h1"), F.col("g2").alias("h2")).join(least, ["h1", "h2"]).select("a", F.col("rep").alias("b"))
     found = components(ends.filter("a is not null and b is not null"))
     of_set = least.join(found, least["rep"] == found["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("of_set"))
     return named.join(of_set, ["h1", "h2"], "left").withColumn("component_id", F.coalesce("of_set", F.col(id_))).select(*[c for c in named.columns if c not in ("h1", "h2")], "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", id_: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component: the one with the least id, of rows alike in
+    id and text any one. Rows without words, and null ids that no other id is linked to, stay.
+    """
+    tagged = docs.withColumn("_row", F.hash(F.coalesce(F.col(text), F.lit(""))))
+    path = scratch_dir(docs.sparkSession, "components")
+    with_components(tagged.select(id_, text, "_row"), words, percent, text, id_).write.parquet(path)
+    found = docs.sparkSession.read.parquet(path).filter("n_shingles > 0 and component_id is not null")
+    other = found.filter(~F.col(id_).eqNullSafe(F.col("component_id"))).select(F.col(id_).alias("_id"), F.col("_row").alias("_tag")).distinct()
+    left = tagged.join(other, tagged[id_].eqNullSafe(other["_id"]) & (tagged["_row"] == other["_tag"]), "left_anti")
+    again = found.groupBy(id_, "_row").count().filter("count > 1")
+    if not again.isEmpty():
+        again = again.select(F.col(id_).alias("_id"), F.col("_row").alias("_tag"))
+        alike = tagged[id_].eqNullSafe(again["_id"]) & (tagged["_row"] == again["_tag"])
+        left = left.join(again, alike, "left_anti").union(left.join(again, alike, "left_semi").dropDuplicates([id_, "_row"]))
+    return left.drop("_row")
