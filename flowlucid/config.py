@@ -99,11 +99,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows spread over all cores where the input has fewer partitions than cores.
+def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Rows dealt by key over so many partitions, by default twice the cores.
 
-    Meant before work that is heavy per row. A table of many files already has more
-    partitions and is returned as it is; nothing is run to find out.
+    Meant before work that is heavy per row over a table of few files.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(partitions or 2 * df.sparkSession.sparkContext.defaultParallelism, key)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,16 @@ def long_form(attributions: DataFrame, names: Sequence[str], keep: Sequence[str]
     return attributions.select(*keep, F.inline(F.arrays_zip(labels.alias("feature"), F.col("values").alias("value"))))
 
 
+def shap_points(attributions: DataFrame, rows: DataFrame, names: Sequence[str], key: str = KEY) -> DataFrame:
+    """(row, class, feature, value, feature_value): each attribution beside the encoded value it
+    explains, the data behind point plots. ``rows`` has the key once and ``features``."""
+    labels = F.array(*[F.lit(n) for n in names])
+    known = rows.select(key, vector_to_array("features").alias("x"))
+    return attributions.join(known, key).select(key, "class", F.inline(F.arrays_zip(
+        labels.alias("feature"), F.col("values").alias("value"), F.col("x").alias("feature_value"),
+    )))
+
+
 def shap_summary(
     attributions: DataFrame, names: Sequence[str] | None = None, by: Sequence[str] = ("class",),
 ) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier,
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import small_table
-from ..functions import joint_label, tactic_of
+from ..functions import joint_label, label_text, tactic_of
 from ..schema import KEY
 from ..sources.store import (
     is_complete, load_model, load_predictions, model_path, save_model, save_predictions,
@@ -116,8 +115,10 @@ class TrainResult:
 
 
 def train_all(specs: Sequence[ModelSpec], train: DataFrame, test: DataFrame, label: str) -> TrainResult:
-    """Fits the models in turn; a failing one is recorded and skipped."""
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    """Fits the models in turn; a failing one is recorded and skipped.
+
+    Every model reads ``train`` several times: a caller that has not kept it already should.
+    """
     models, status, predictions = {}, [], None
     for spec in specs:
         model, state = _attempt(lambda: spec.fit(train, label))
@@ -127,7 +128,6 @@ def train_all(specs: Sequence[ModelSpec], train: DataFrame, test: DataFrame, lab
         models[spec.name] = model
         rows = score(model, test, label).withColumn("model", F.lit(spec.name))
         predictions = rows if predictions is None else predictions.unionByName(rows)
-    train.unpersist()
     spark = train.sparkSession
     return TrainResult(models, small_table(spark, status, "model string, status string"), predictions)
 
@@ -135,12 +135,11 @@ def train_all(specs: Sequence[ModelSpec], train: DataFrame, test: DataFrame, lab
 def train_missing(
     specs: Sequence[ModelSpec], train: DataFrame, test: DataFrame, label: str, root: str, task: str,
 ) -> TrainResult:
-    """Fits and stores what the store lacks; complete models are loaded, not refitted."""
+    """Fits and stores what the store lacks; complete models are loaded, not refitted. As with
+    ``train_all``, keeping ``train`` is left to the caller."""
     spark = train.sparkSession
     todo = [s for s in specs if not is_complete(spark, root, task, s.name)]
     models, status = {}, []
-    if todo:
-        train = train.persist(StorageLevel.MEMORY_AND_DISK)
 
     def build(spec: ModelSpec) -> Model:
         model = spec.fit(train, label)
@@ -156,8 +155,6 @@ def train_missing(
         status.append((spec.name, state))
         if model is not None:
             models[spec.name] = model
-    if todo:
-        train.unpersist()
     predictions = load_predictions(spark, root, task, list(models)) if models else None
     return TrainResult(models, small_table(spark, status, "model string, status string"), predictions)
 
@@ -179,13 +176,14 @@ class HierarchicalModel:
     classes: list[str]
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Actual and predicted label at both levels, for rows with the two label columns."""
+        """Actual and predicted label at both levels, for rows with the two label columns.
+        A missing label is the class ``None``, as in fitting."""
         rows = self.model.transform(df)
         predicted = label_at("prediction", self.classes)
         return rows.select(
             KEY,
-            joint_label().alias("joint"), predicted.alias("predicted_joint"),
-            F.col("label_tactic").alias("tactic"), tactic_of(predicted).alias("predicted_tactic"),
+            label_text(joint_label()).alias("joint"), predicted.alias("predicted_joint"),
+            label_text("label_tactic").alias("tactic"), tactic_of(predicted).alias("predicted_tactic"),
         )
 
 

@@ -61,13 +61,14 @@ def category_counts(train: DataFrame, cols: list[str]) -> dict[str, dict[str | N
             F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in cols
         ])))
         .groupBy("col", "value").count()
-        .limit(MAX_CLASSES + 1).collect()
+        .limit(MAX_CLASSES * len(cols) + 1).collect()
     )
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} categories: not a one-hot column")
     out: dict[str, dict[str | None, int]] = {c: {} for c in cols}
     for r in rows:
         out[r.col][r.value] = r["count"]
+    for c, counts in out.items():
+        if len(counts) > MAX_CLASSES:
+            raise ValueError(f"{c} has more than {MAX_CLASSES} categories: not a one-hot column")
     return out
 
 
@@ -102,6 +103,10 @@ def impute_mode(df: DataFrame, mode: dict[str, str | None]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(m)) for c, m in mode.items()})
 
 
+#: Deviations below this share of the mean are rounding noise.
+ROUNDING = 1e-12
+
+
 def _sql_double(x: float) -> str:
     return f"cast('{x!r}' as double)"
 
@@ -112,6 +117,12 @@ def _sql_text(x: str | None) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def scale_of(mean: float, std: float) -> float:
+    """What a centred column is divided by: its deviation, or one where that is nothing but
+    rounding of a constant."""
+    return std if std > ROUNDING * abs(mean) else 1.0
+
+
 def build_pipeline(stats: FeatureStats) -> PipelineModel:
     """Stages that turn a flow with derived features into one ``features`` vector.
 
@@ -119,7 +130,7 @@ def build_pipeline(stats: FeatureStats) -> PipelineModel:
     """
     scaled = [
         f"(coalesce(nanvl(cast(`{c}` as double), null), {_sql_double(m)}) - {_sql_double(m)})"
-        f" / {_sql_double(stats.std[c] or 1.0)} AS `{c}_scaled`"
+        f" / {_sql_double(scale_of(m, stats.std[c]))} AS `{c}_scaled`"
         for c, m in stats.mean.items()
     ]
     used = [c for c, values in stats.categories.items() if values]
@@ -186,7 +197,7 @@ def scaled_columns(df: DataFrame, stats: FeatureStats) -> DataFrame:
     """The scaled numerics and one-hot columns as plain columns (the same values as the vector)."""
     out = {
         c: (F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(m)) - F.lit(m))
-        / F.lit(stats.std[c] or 1.0)
+        / F.lit(scale_of(m, stats.std[c]))
         for c, m in stats.mean.items()
     }
     for c, values in stats.categories.items():

@@ -61,9 +61,12 @@ def weekly_sheet(df: DataFrame, label: str, ts: str = "ts") -> DataFrame:
 
     Rows are sorted by name; a cell without rows is null (empty in CSV).
     """
-    # The column names need the list of weeks, so the small aggregate is computed once and kept.
-    cube = _weekly_cube(df, label, ts).cache()
-    weeks = [row.week for row in cube.select("week").distinct().orderBy("week").collect()]
+    # The column names need the list of weeks. The aggregate has a line per label and week and
+    # comes to the driver once, so that nothing stays cached.
+    cube = _weekly_cube(df, label, ts)
+    lines = cube.collect()
+    weeks = sorted({row.week for row in lines})
+    cube = df.sparkSession.createDataFrame(lines, cube.schema)
     title = F.concat_ws(" - ", F.col("week").cast("string"), F.date_add("week", 7).cast("string"))
     counts = cube.select(F.col("label").alias("name"), "week", F.col("n").cast("string").alias("cell"))
     stats = _bounds(cube).select(

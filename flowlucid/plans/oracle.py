@@ -290,6 +290,25 @@ SELECT label AS actual, count(*) FILTER (prediction = 0) AS predicted_0, count(*
 FROM pred GROUP BY label""",
         "class_report": f"WITH {BINARY_REPORT}",
         "class_report_tactic": f"WITH {TACTIC_REPORT}",
+        "class_report_partial": f"""WITH {GNB_TACTIC},
+classes AS (SELECT * FROM (VALUES (0, '{TACTICS[0]}'), (1, '{TACTICS[1]}')) v(c, name)),
+n AS (
+  SELECT name, (SELECT count(*) FROM pred WHERE label = c AND prediction = c) AS tp,
+    (SELECT count(*) FROM pred WHERE prediction = c) AS pn, (SELECT count(*) FROM pred WHERE label = c) AS an FROM classes),
+s AS (
+  SELECT name, an, CASE WHEN pn = 0 THEN 0 ELSE tp / pn END AS p, CASE WHEN an = 0 THEN 0 ELSE tp / an END AS r,
+    CASE WHEN pn + an = 0 THEN 0 ELSE 2 * tp / (pn + an) END AS f FROM n)
+SELECT 'class' AS kind, name AS "class", round(p, 6) AS "precision", round(r, 6) AS recall, round(f, 6) AS f1, an AS support FROM s
+UNION ALL SELECT 'summary', 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), sum(an) FROM s
+UNION ALL SELECT 'summary', 'weighted avg', round(sum(p * an) / sum(an), 6), round(sum(r * an) / sum(an), 6), round(sum(f * an) / sum(an), 6), sum(an) FROM s
+UNION ALL SELECT 'summary', 'accuracy', NULL, NULL, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6), count(*) FROM pred""",
+        "class_report_empty": f"""WITH {FLOWS}, t AS (SELECT DISTINCT label_tactic AS name FROM flows)
+SELECT 'class' AS kind, name AS "class", 0.0::double AS "precision", 0.0::double AS recall, 0.0::double AS f1, 0::bigint AS support FROM t
+UNION ALL SELECT 'summary', unnest(['macro avg', 'weighted avg']), 0.0, 0.0, 0.0, 0
+UNION ALL SELECT 'summary', 'accuracy', NULL, NULL, 0.0, 0""",
+        "shap_points": f"""WITH {ENCODED}
+SELECT uid, cls AS "class", feature, round(v, 6) + 0.0 AS value, round(v, 6) + 0.0 AS feature_value
+FROM ({_melt('x', 'WHERE is_test', VECTOR, 'uid, y AS cls')})""",
         "weekly_counts": f"""WITH {FLOWS}
 SELECT label_technique AS label, cast({WEEK} AS varchar) AS week_start, count(*) AS n FROM flows GROUP BY 1, 2""",
         "weekly_bounds": f"WITH {BOUNDS} SELECT * REPLACE (cast(week_start AS varchar) AS week_start) FROM bounds",
@@ -336,7 +355,8 @@ SELECT p.uid, p.prediction, round(1 / (1 + exp(max(CASE WHEN cls = 0 THEN lj END
 FROM pred p JOIN joint j ON p.uid = j.uid GROUP BY p.uid, p.prediction""",
         "resume_missing": f"""WITH {SPLIT}
 SELECT run, model, status, (SELECT count(*) FROM test) AS n_predictions
-FROM (VALUES (1, 'decision_tree', 'ok'), (2, 'decision_tree', 'loaded'), (2, 'naive_bayes', 'ok')) v(run, model, status)""",
+FROM (VALUES (1, 'random_forest', 'ok'), (1, 'decision_tree', 'ok'), (2, 'random_forest', 'loaded'), (2, 'decision_tree', 'loaded'),
+  (2, 'logistic_regression', 'ok'), (2, 'naive_bayes', 'ok')) v(run, model, status)""",
         "kernel_shap_nb_total": f"""WITH {GNB_BINARY}
 SELECT uid, round(1 / (1 + exp(max(CASE WHEN cls = 0 THEN lj END) - max(CASE WHEN cls = 1 THEN lj END))), 6) AS p_attack
 FROM joint GROUP BY uid""",

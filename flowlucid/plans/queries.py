@@ -13,7 +13,7 @@ from ..explain.dependence import partial_dependence, pdp_grid
 from ..explain.importance import compare_importance, feature_importance
 from ..explain.kernel import additive_kernel_shap, kernel_shap, kmeans_background, row_background
 from ..explain.lime import lime, quantile_bins
-from ..explain.summary import long_form, only_supported, shap_summary
+from ..explain.summary import long_form, only_supported, shap_points, shap_summary
 from ..explain.tree import tree_shap, tree_shap_interactions
 from ..functions import encode_binary, joint_label, safe_div, tactic_of
 from ..operators.models import (
@@ -134,8 +134,8 @@ def save_report_files(w: Workbench) -> DataFrame:
 @query("resume_missing")
 def resume_missing(w: Workbench) -> DataFrame:
     root = scratch_dir(w.spark, "store")
-    specs = [ModelSpec("decision_tree", fit_dt), ModelSpec("naive_bayes", fit_gnb)]
-    first = train_missing(specs[:1], w.x_train, w.x_test, "tactic_idx", root, "tactic")
+    specs = default_specs(FOREST)
+    first = train_missing(specs[:2], w.x_train, w.x_test, "tactic_idx", root, "tactic")
     second = train_missing(specs, w.x_train, w.x_test, "tactic_idx", root, "tactic")
     runs = first.status.withColumn("run", F.lit(1)).unionByName(second.status.withColumn("run", F.lit(2)))
     rows = second.predictions.groupBy("model").agg(F.count(F.lit(1)).alias("n_predictions"))
@@ -275,6 +275,20 @@ def class_report_tactic(w: Workbench) -> DataFrame:
     return rounded(classification_report(predictions, labels=range(len(names)), names=names))
 
 
+@query("class_report_partial")
+def class_report_partial(w: Workbench) -> DataFrame:
+    """Only some classes are listed; the accuracy is still that of all rows."""
+    predictions = score(w.model("gnb_tactic"), w.x_test, "tactic_idx")
+    return rounded(classification_report(predictions, labels=[0, 1], names=w.tactics[:2]))
+
+
+@query("class_report_empty")
+def class_report_empty(w: Workbench) -> DataFrame:
+    """No rows, but a class list: every class with support 0, and the summary lines."""
+    predictions = score(w.model("gnb_tactic"), w.x_test.filter("uid < 0"), "tactic_idx")
+    return rounded(classification_report(predictions, labels=range(len(w.tactics)), names=w.tactics))
+
+
 def _dates_as_text(df: DataFrame) -> DataFrame:
     return df.withColumn("week_start", F.col("week_start").cast("string"))
 
@@ -560,6 +574,11 @@ def shap_global(w: Workbench) -> DataFrame:
     return rounded(shap_summary(_fixed_attributions(w), w.names))
 
 
+@query("shap_points")
+def shap_point_table(w: Workbench) -> DataFrame:
+    return rounded(shap_points(_fixed_attributions(w), w.x_test, w.names))
+
+
 @query("shap_global_rf")
 def shap_global_rf(w: Workbench) -> DataFrame:
     """The data behind the bar plot: the ten features of largest mean |attribution|."""

@@ -4,6 +4,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from flowlucid.config import scratch_dir
+from flowlucid.explain.importance import feature_importance
 from flowlucid.operators.models import (
     ModelSpec, default_specs, fit_balanced_rf, fit_dt, fit_gnb, fit_hierarchical, fit_lr, fit_rf, hierarchical_report,
     report_predictions, score, train_all, train_missing,
@@ -106,3 +107,18 @@ def test_hierarchical_levels(bench):
 def test_balanced_forest_is_judged_on_all_rows(bench):
     model = fit_balanced_rf(bench.x_train, "tactic_idx", **FOREST)
     assert score(model, bench.x_test, "tactic_idx").count() == bench.x_test.count()
+
+
+def test_missing_labels_are_a_class_of_their_own(bench):
+    blank = bench.x_train.filter("uid % 3 = 0").withColumn("label_technique", F.when(F.col("uid") % 2 > 0, F.col("label_technique")))
+    model = fit_hierarchical(blank, numTrees=3, maxDepth=4)
+    assert "None" in model.classes
+    found = model.predict(blank)
+    assert found.filter("joint is null or tactic is null or predicted_joint is null").count() == 0
+    assert found.filter("joint = 'None'").count() > 0
+
+
+def test_values_by_class_of_multinomial_models(spark, bench):
+    lines = feature_importance(spark, bench.model("lr_tactic"), bench.names)
+    assert lines.select("class").distinct().count() == len(bench.tactics)
+    assert feature_importance(spark, bench.model("gnb_tactic"), bench.names).count() == len(bench.tactics) * len(bench.names)
