@@ -4,25 +4,29 @@ A window is a run of ``width`` words. Of the short runs of words inside a window
 with the least hash is its anchor; equal windows have equal anchors, so the count of the
 anchor bounds that of the window from above. Tasks sketch the counts of their anchors,
 the sketches are merged, and a second pass sends only windows whose anchor is estimated
-to repeat, by 128-bit fingerprint, to an exact grouping. No repeated window is lost.
+to repeat, by 80-bit fingerprint, to an exact grouping. No repeated window is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..config import ship_package
+from ..config import scratch_dir, ship_package
 from .frames import dropping, schema_with
 from .sketch import cell_bits, count_sketch, may_have, text_bytes
 from .text import Texts, Words, blocks, mix, range_hashes, signed, window_hashes
 
 ANCHOR_WORDS = 8
+#: Bytes of text whose windows are compared in the task before they are sent.
+LOCAL_BYTES = 6 << 20
 #: Bytes of text to an anchor, about: six a word, two anchors in (width - ANCHOR_WORDS + 2) words.
 _ANCHOR_BYTES = 80
 CELLS_EACH = 16
@@ -31,9 +35,11 @@ _PLACE = np.uint64((1 << 24) - 1)
 _TWIN = np.uint64(0xD6E8FEB86659FD93)
 
 
-def row_tag(text: str) -> Column:
-    """Tells rows with one id apart by their text; rows alike in both share their result."""
-    return F.hash(F.coalesce(F.col(text), F.lit("")))
+def row_tag(docs: DataFrame, text: str, id_: str) -> Column:
+    """Tells rows with one id apart by their text, zero where no id occurs twice; rows alike
+    in both share their result."""
+    unique = docs.groupBy(id_).count().filter("count > 1").isEmpty()
+    return F.lit(0) if unique else F.hash(F.coalesce(F.col(text), F.lit("")))
 
 
 def anchored_windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,20 +77,36 @@ def combined(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndar
     counts = np.where(alike & (many[inverse] > 1), 2, 1).astype(np.int32)
     shared = np.bincount(inverse, weights=known, minlength=len(at))[inverse] > 0
     counts[lead & ~shared] = 1
-    own = mix(first + np.arange(len(first), dtype=np.uint64) * _TWIN)
-    return np.where(known, own, first), np.where(known, mix(own ^ second), second), counts
+    counts[known] = 2
+    # Own keys are small numbers, which cost little to send; where they meet, all are known.
+    own = np.arange(len(first), dtype=np.uint64)
+    return np.where(known, own, first), np.where(known, np.uint64(0), second), counts
 
 
 def grouped_repeats(records: DataFrame) -> DataFrame:
     """The records whose fingerprint is counted twice or more in all."""
-    return records.withColumn("total", F.sum("n").over(Window.partitionBy("k1", "k2"))).filter("total >= 2").drop("k1", "k2", "n", "total")
+    return records.withColumn("total", times_met()).filter("total >= 2").select("doc_id", "row", "place")
 
 
-RECORD = "k1 long, k2 long, n int, doc_id long, row int, at int"
+def times_met() -> Column:
+    return F.sum(F.col("k2").bitwiseAND(3)).over(Window.partitionBy("k1", F.shiftright("k2", 2)))
+
+
+def record_batch(k1: np.ndarray, k2: np.ndarray, n: np.ndarray, ids: pa.Array, rows: pa.Array, owner: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    second = ((k2 & np.uint64(0xFFFF)).astype(np.int32) << 2) | n.astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(signed(k1)), pa.array(second), ids.cast(pa.int64()).take(pa.array(owner)), rows.take(pa.array(owner)), pa.array(place.astype(np.int64))],
+        names=["k1", "k2", "doc_id", "row", "place"],
+    )
+
+
+#: ``k1`` and the upper bits of ``k2`` are a fingerprint of 80 bits, the lowest two bits of
+#: ``k2`` how often it was met (once or more), the rest tells where.
+RECORD = "k1 long, k2 int, doc_id long, row int, place long"
 
 
 def repeated_windows(docs: DataFrame, width: int, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """``doc_id, row, at``: the first word of each window that occurs more than once."""
+    """``doc_id, row, place``: the first word of each window that occurs more than once; ``docs`` has ``row``."""
     spark = docs.sparkSession
     bits = cell_bits(text_bytes(docs, text) / _ANCHOR_BYTES, CELLS_EACH)
 
@@ -96,7 +118,7 @@ def repeated_windows(docs: DataFrame, width: int, text: str = "text", id_: str =
     sketch = spark.sparkContext.broadcast(count_sketch(docs.select(text), anchors, bits, DEPTH, 2))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, text):
+        for batch in blocks(batches, text, LOCAL_BYTES):
             words = Texts.of(batch.column(text)).words()
             starts, places, runs = anchored_windows(words, width)
             at = starts[may_have(sketch.value, runs[places], bits, DEPTH)]
@@ -106,14 +128,56 @@ def repeated_windows(docs: DataFrame, width: int, text: str = "text", id_: str =
             k2 = range_hashes(mix(words.hashes ^ _TWIN), at, at + width)
             k1, k2, n = combined(k1, k2)
             owner = words.owners()[at]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(signed(k1)), pa.array(signed(k2)), pa.array(n),
-                batch.column(id_).cast(pa.int64()).take(pa.array(owner)), batch.column("row").take(pa.array(owner)),
-                pa.array((at - words.first[owner]).astype(np.int32)),
-            ], names=["k1", "k2", "n", "doc_id", "row", "at"])
+            yield record_batch(k1, k2, n, batch.column(id_), batch.column("row"), owner, at - words.first[owner])
+
+    return grouped_repeats(docs.select(id_, text, "row").mapInArrow(windows, RECORD))
 
-    source = docs.select(id_, text, row_tag(text).alias("row"))
-    return grouped_repeats(source.mapInArrow(windows, RECORD))
+
+def with_cuts(source: DataFrame, found: DataFrame, keep: Callable[[pa.RecordBatch], pa.RecordBatch], result: T.StructType, text: str, id_: str) -> DataFrame:
+    """``keep`` on batches of ``source`` (with ``row``) whose column ``cuts`` lists each row's
+    places in ``found``, or is null. Only texts that may have a place, by a sketch of
+    the rows that do, are shuffled to meet them; the others are dealt with where they are read.
+    """
+    spark, path = source.sparkSession, scratch_dir(source.sparkSession, "cuts")
+    found.groupBy(F.col("doc_id").alias("cut_id"), F.col("row").alias("cut_row")).agg(F.collect_list("place").alias("cuts")).write.option("compression", "zstd").parquet(path)
+    cuts = spark.read.parquet(path)
+    bits = cell_bits(cuts.count(), CELLS_EACH)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        return (b.column(0).to_numpy().view(np.uint64) for b in batches)
+
+    sketch = spark.sparkContext.broadcast(count_sketch(cuts.select(F.xxhash64("cut_id", "cut_row")), keys, bits, 1, 1))
+    keyed = source.withColumn("cut_key", F.xxhash64(id_, "row"))
+    kind = pa.list_(pa.int64())
+
+    def chosen(batch: pa.RecordBatch, cut: bool) -> pa.RecordBatch:
+        has = may_have(sketch.value, batch.column("cut_key").to_numpy().view(np.uint64), bits, 1)
+        return batch.filter(pa.array(has == cut)).drop_columns(["cut_key"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, text):
+            rows = chosen(batch, False).drop_columns(["row"])
+            if rows.num_rows:
+                yield keep(rows.append_column("cuts", pa.nulls(rows.num_rows, kind)))
+
+    # texts travel packed
+    def to_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            rows = chosen(batch, True)
+            packed = [None if t is None else pack(t) for t in rows.column(text).cast(pa.large_binary()).to_pylist()]
+            yield rows.set_column(rows.schema.get_field_index(text), text, pa.array(packed, pa.binary()))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in blocks(batches, text, LOCAL_BYTES // 4):
+            whole_texts = [None if t is None else unpack(t) for t in batch.column(text).to_pylist()]
+            yield from map(keep, blocks([batch.set_column(batch.schema.get_field_index(text), text, pa.array(whole_texts, pa.large_binary()))], text))
+
+    packed = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text else f for f in source.schema.fields])
+    some = keyed.mapInArrow(to_cut, packed)
+    met = some.join(cuts, some[id_].eqNullSafe(cuts["cut_id"]) & (some["row"] == cuts["cut_row"]), "left").drop("cut_id", "cut_row", "row")
+    return keyed.mapInArrow(whole, result).unionByName(met.mapInArrow(cut, result))
 
 
 def without_repeats(docs: DataFrame, width: int = 35, text: str = "text", id_: str = "doc_id") -> DataFrame:
@@ -125,34 +189,32 @@ def without_repeats(docs: DataFrame, width: int = 35, text: str = "text", id_: s
     ids may be null or occur more than once. An empty table gives an empty result.
     """
     ship_package(docs.sparkSession)
-    source = dropping(docs, "n_words", "n_removed", "kept", "row", "cuts", "cut_id", "cut_row").withColumn("row", row_tag(text))
-    found = repeated_windows(source.select(id_, text), width, text, id_)
-    cuts = found.groupBy(F.col("doc_id").alias("cut_id"), F.col("row").alias("cut_row")).agg(F.collect_list("at").alias("cuts"))
-    joined = source.join(cuts, source[id_].eqNullSafe(cuts["cut_id"]) & (source["row"] == cuts["cut_row"]), "left").drop("cut_id", "cut_row", "row")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, text):
-            texts = Texts.of(batch.column(text))
-            words = texts.words()
-            lists = batch.column("cuts")
-            at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            many = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-            at = at + np.repeat(words.first, many)
-            edge = np.zeros(len(words.starts) + 1, np.int64)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + width, -1)
-            stays = np.cumsum(edge)[:-1] == 0
-            before = np.concatenate([[0], np.cumsum(stays)])
-            n_kept = before[words.last] - before[words.first]
-            n_words = words.last - words.first
-            rest = batch.drop_columns([text, "cuts"])
-            yield pa.RecordBatch.from_arrays(
-                [*rest.columns, pa.array(n_words.astype(np.int64)), pa.array((n_words - n_kept).astype(np.int64)), _joined(texts.data, words, stays, n_kept)],
-                names=[*rest.schema.names, "n_words", "n_removed", "kept"],
-            )
+    source = dropping(docs, "n_words", "n_removed", "kept", "row", "cuts", "cut_id", "cut_row", "cut_key")
+    source = source.withColumn("row", row_tag(source, text, id_))
+    found = repeated_windows(source, width, text, id_)
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = Texts.of(batch.column(text))
+        words = texts.words()
+        lists = batch.column("cuts")
+        at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        many = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        at = at + np.repeat(words.first, many)
+        edge = np.zeros(len(words.starts) + 1, np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + width, -1)
+        stays = np.cumsum(edge)[:-1] == 0
+        before = np.concatenate([[0], np.cumsum(stays)])
+        n_kept = before[words.last] - before[words.first]
+        n_words = words.last - words.first
+        rest = batch.drop_columns([text, "cuts"])
+        return pa.RecordBatch.from_arrays(
+            [*rest.columns, pa.array(n_words.astype(np.int64)), pa.array((n_words - n_kept).astype(np.int64)), _joined(texts.data, words, stays, n_kept)],
+            names=[*rest.schema.names, "n_words", "n_removed", "kept"],
+        )
 
     result = schema_with(source.drop("row"), "n_words long, n_removed long, kept string", without=text)
-    return joined.mapInArrow(keep, result)
+    return with_cuts(source, found, keep, result, text, id_)
 
 
 def _joined(data: np.ndarray, words: Words, stays: np.ndarray, many: np.ndarray) -> pa.Array:
