@@ -15,7 +15,7 @@ in three steps, each on what the step before left open:
 3. suffixes: for blocks found once, the strings starting at each byte of the phrase, that
    is dictionary suffix and what follows, are grouped one by one with the equal ones.
 
-Only equality of neighbours matters here, so suffixes are ordered by 128-bit fingerprint
+Only equality of neighbours matters here, so suffixes are ordered by 80-bit fingerprint
 of their first ``width`` bytes instead of by alphabet; equal ones are neighbours in either.
 """
 
@@ -27,19 +27,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import scratch_dir, ship_package
 from .frames import dropping, schema_with
-from .repeats import RECORD, combined, row_tag
+from .repeats import DEPTH, LOCAL_BYTES, RECORD, combined, grouped_repeats, record_batch, row_tag, times_met, with_cuts
 from .sketch import cell_bits, count_sketch, may_have, text_bytes
-from .text import VALUES, Texts, blocks, mix, range_hashes, signed
+from .text import VALUES, Texts, blocks, mix, range_hashes
 
 TRIGGER_BYTES = 8
 #: Mean bytes from one trigger to the next.
-PHRASE_BYTES = 24
-CELLS_EACH = 4
+PHRASE_BYTES = 16
+CELLS_EACH = 8
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -119,25 +119,23 @@ class Parse:
         return self.block_from[some], self.block_upto[some], is_open
 
 
-def _records(batch: pa.RecordBatch, id_: str, texts: Texts, k1: np.ndarray, k2: np.ndarray, at: np.ndarray, upto: np.ndarray) -> pa.RecordBatch:
+def _records(batch: pa.RecordBatch, id_: str, texts: Texts, k1: np.ndarray, k2: np.ndarray, at: np.ndarray, upto: np.ndarray, each: np.ndarray | int = 1) -> pa.RecordBatch:
     k1, k2, n = combined(k1, k2)
+    n = np.maximum(n, each).astype(np.int32)
     owner = np.searchsorted(texts.starts, at, side="right") - 1
-    return pa.RecordBatch.from_arrays([
-        pa.array(signed(k1)), pa.array(signed(k2)), pa.array(n),
-        batch.column(id_).cast(pa.int64()).take(pa.array(owner)), batch.column("row").take(pa.array(owner)),
-        pa.array((at - texts.starts[owner]).astype(np.int32)), pa.array((upto - at).astype(np.int32)),
-    ], names=["k1", "k2", "n", "doc_id", "row", "at", "many"])
+    place = (at - texts.starts[owner]).astype(np.int64) << 31 | (upto - at)
+    return record_batch(k1, k2, n, batch.column(id_), batch.column("row"), owner, place)
 
 
 def repeated_starts(docs: DataFrame, width: int, phrase: int = PHRASE_BYTES, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """``doc_id, row, at, many``: runs of bytes at which strings of ``width`` bytes start that occur again."""
+    """``doc_id, row, place``: runs of bytes at which strings of ``width`` bytes start that occur
+    again, as first byte times 2^31 plus length; ``docs`` has ``row``."""
     spark, size = docs.sparkSession, text_bytes(docs, text)
-    source = docs.select(id_, text, row_tag(text).alias("row"))
-    record = f"{RECORD}, many int"
+    source = docs.select(id_, text, "row")
     bits = cell_bits(size / phrase, CELLS_EACH)
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Parse]]:
-        for batch in blocks(batches, text):
+        for batch in blocks(batches, text, LOCAL_BYTES):
             yield batch, Parse.of(Texts.of(batch.column(text)), width, phrase)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -156,10 +154,10 @@ def repeated_starts(docs: DataFrame, width: int, phrase: int = PHRASE_BYTES, tex
             yield _records(batch, id_, p.texts, *p.keys(start, upto + width - 1), start, upto)
 
     path = scratch_dir(spark, "blocks")
-    total = F.sum("n").over(Window.partitionBy("k1", "k2"))
-    source.mapInArrow(block_records, record).withColumn("total", total).select(
-        F.when(F.col("total") < 2, F.col("k1")).alias("single"), "doc_id", "row", "at", "many",
-    ).write.parquet(path)
+    met_once = F.col("total") < 2
+    source.mapInArrow(block_records, RECORD).withColumn("total", times_met()).select(
+        F.when(met_once, F.col("k1")).alias("single"), *[F.when(~met_once, F.col(c)).alias(c) for c in ("doc_id", "row", "place")],
+    ).write.option("compression", "zstd").parquet(path)
     settled = spark.read.parquet(path)
     singles = settled.filter("single is not null").select("single")
     few = cell_bits(singles.count(), 16)
@@ -169,35 +167,54 @@ def repeated_starts(docs: DataFrame, width: int, phrase: int = PHRASE_BYTES, tex
 
     single = spark.sparkContext.broadcast(count_sketch(singles, single_keys, few, 1, 1))
 
-    def suffixes(batches: Iterator[pa.RecordBatch], chosen: bool) -> Iterator[tuple]:
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Open starts in batches, and which of them lie in single blocks."""
         for batch, p, start, upto, is_open in open_blocks(batches):
-            if chosen:
-                picked = may_have(single.value, range_hashes(VALUES[0][p.texts.data], start, upto + width - 1), few, 1)
-                inside = np.zeros(len(is_open) + 1, np.int8)
-                inside[start[picked]] += 1
-                inside[upto[picked]] -= 1
-                is_open &= np.cumsum(inside[:-1], dtype=np.int8) > 0
+            picked = may_have(single.value, range_hashes(VALUES[0][p.texts.data], start, upto + width - 1), few, 1)
+            inside = np.zeros(len(is_open) + 1, np.int8)
+            inside[start[picked]] += 1
+            inside[upto[picked]] -= 1
             at = np.flatnonzero(is_open)
             if len(at):
-                yield batch, p, at
+                yield batch, p, at, np.cumsum(inside[:-1], dtype=np.int8)[at] > 0
 
-    def chosen_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        return (range_hashes(VALUES[0][p.texts.data], at, at + width) for _, p, at in suffixes(batches, True))
+    def string_keys(p: Parse, at: np.ndarray) -> np.ndarray:
+        return range_hashes(VALUES[0][p.texts.data], at, at + width)
 
-    # A string of a single block may also stand in a block that occurs twice, so all open
-    # strings whose key is like one of a single block's are grouped.
     wide = cell_bits(size / 16, 8)
-    wanted = spark.sparkContext.broadcast(count_sketch(docs.select(text), chosen_keys, wide, 1, 1))
+
+    def single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        return (string_keys(p, at[own]) for _, p, at, own in suffixes(batches))
+
+    asked = spark.sparkContext.broadcast(count_sketch(docs.select(text), single_strings, wide, DEPTH, 1))
+
+    # A string of a single block may also stand in a settled block. That one is counted
+    # twice, as it is known to repeat, and sent once from each batch.
+    def met(p: Parse, at: np.ndarray, own: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k1 = string_keys(p, at)
+        some = own | may_have(asked.value, k1, wide, DEPTH)
+        some[some] = may_have(sketch, k1[some], wide, DEPTH)
+        other = np.flatnonzero(some & ~own)
+        other = other[np.unique(k1[other], return_index=True)[1]]
+        some &= own
+        some[other] = True
+        return at[some], k1[some], own[some]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, p, at, own in suffixes(batches):
+            _, k1, own = met(p, at, own, asked.value)
+            yield np.concatenate([k1, k1[~own]])
+
+    wanted = spark.sparkContext.broadcast(count_sketch(docs.select(text), counted, wide, DEPTH, 2))
 
     def suffix_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, p, at in suffixes(batches, False):
-            k1 = range_hashes(VALUES[0][p.texts.data], at, at + width)
-            at = at[may_have(wanted.value, k1, wide, 1)]
+        for batch, p, at, own in suffixes(batches):
+            at, _, own = met(p, at, own, wanted.value)
             if len(at):
-                yield _records(batch, id_, p.texts, *p.keys(at, at + width), at, at + 1)
+                yield _records(batch, id_, p.texts, *p.keys(at, at + width), at, at + 1, np.where(own, 1, 2))
 
-    strings = source.mapInArrow(suffix_records, record).withColumn("total", total).filter("total >= 2")
-    return settled.filter("single is null").select("doc_id", "row", "at", "many").unionByName(strings.select("doc_id", "row", "at", "many"))
+    strings = grouped_repeats(source.mapInArrow(suffix_records, RECORD))
+    return settled.filter("single is null").select("doc_id", "row", "place").unionByName(strings)
 
 
 def without_repeated_bytes(docs: DataFrame, width: int = 200, phrase: int = PHRASE_BYTES, text: str = "text", id_: str = "doc_id") -> DataFrame:
@@ -209,35 +226,34 @@ def without_repeated_bytes(docs: DataFrame, width: int = 200, phrase: int = PHRA
     repeat each other; ids may be null or occur more than once; no rows give no rows.
     """
     ship_package(docs.sparkSession)
-    source = dropping(docs, "n_bytes", "n_removed", "n_spans", "kept", "row", "cuts", "cut_id", "cut_row").withColumn("row", row_tag(text))
-    found = repeated_starts(source.select(id_, text), width, phrase, text, id_)
-    cuts = found.groupBy(F.col("doc_id").alias("cut_id"), F.col("row").alias("cut_row")).agg(F.collect_list(F.struct("at", "many")).alias("cuts"))
-    joined = source.join(cuts, source[id_].eqNullSafe(cuts["cut_id"]) & (source["row"] == cuts["cut_row"]), "left").drop("cut_id", "cut_row", "row")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, text):
-            texts = Texts.of(batch.column(text))
-            lists = batch.column("cuts")
-            runs = lists.flatten()
-            many = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-            at = runs.field("at").to_numpy(zero_copy_only=False) + np.repeat(texts.starts, many)
-            edge = np.zeros(len(texts.data) + 1, np.int64)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + runs.field("many").to_numpy(zero_copy_only=False) + width - 1, -1)
-            gone = np.cumsum(edge)[:-1] > 0
-            first = gone.copy()
-            first[1:] &= ~gone[:-1]
-            begins = texts.starts[texts.starts < texts.stops]
-            first[begins] = gone[begins]
-            removed, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, first))
-            kept = texts.data[~gone].tobytes()
-            ends = texts.stops - removed[texts.stops]
-            starts = texts.starts - removed[texts.starts]
-            rest = batch.drop_columns([text, "cuts"])
-            made = [texts.stops - texts.starts, removed[texts.stops] - removed[texts.starts], spans[texts.stops] - spans[texts.starts]]
-            yield pa.RecordBatch.from_arrays(
-                [*rest.columns, *[pa.array(x.astype(np.int64)) for x in made], pa.array([kept[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())],
-                names=[*rest.schema.names, "n_bytes", "n_removed", "n_spans", "kept"],
-            )
-
-    return joined.mapInArrow(keep, schema_with(source.drop("row"), "n_bytes long, n_removed long, n_spans long, kept binary", without=text))
+    source = dropping(docs, "n_bytes", "n_removed", "n_spans", "kept", "row", "cuts", "cut_id", "cut_row", "cut_key")
+    source = source.withColumn("row", row_tag(source, text, id_))
+    found = repeated_starts(source, width, phrase, text, id_)
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = Texts.of(batch.column(text))
+        lists = batch.column("cuts")
+        runs = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        many = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        at = (runs >> 31) + np.repeat(texts.starts, many)
+        edge = np.zeros(len(texts.data) + 1, np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + (runs & ((1 << 31) - 1)) + width - 1, -1)
+        gone = np.cumsum(edge)[:-1] > 0
+        first = gone.copy()
+        first[1:] &= ~gone[:-1]
+        begins = texts.starts[texts.starts < texts.stops]
+        first[begins] = gone[begins]
+        removed, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, first))
+        kept = texts.data[~gone].tobytes()
+        ends = texts.stops - removed[texts.stops]
+        starts = texts.starts - removed[texts.starts]
+        rest = batch.drop_columns([text, "cuts"])
+        made = [texts.stops - texts.starts, removed[texts.stops] - removed[texts.starts], spans[texts.stops] - spans[texts.starts]]
+        return pa.RecordBatch.from_arrays(
+            [*rest.columns, *[pa.array(x.astype(np.int64)) for x in made], pa.array([kept[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())],
+            names=[*rest.schema.names, "n_bytes", "n_removed", "n_spans", "kept"],
+        )
+
+    result = schema_with(source.drop("row"), "n_bytes long, n_removed long, n_spans long, kept binary", without=text)
+    return with_cuts(source, found, keep, result, text, id_)
