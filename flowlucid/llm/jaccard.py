@@ -2,8 +2,9 @@
 
 Equal sets are one node. A partition first brings together what can be similar: of any
 order of the n-grams, two similar sets share one among their first few, and their sizes
-lie in one class or in neighbouring ones. Frequent n-grams come last in that order, so
-lines found everywhere bring nothing together. The sets that meet are joined by signature
+lie in one class or in neighbouring ones. N-grams that a count sketch knows to occur once come
+first in that order and frequent ones last, so that chance and lines found everywhere bring
+nothing together. The sets that meet are joined by signature
 trees: leaves hold a few sets, nodes the OR of their token bitmaps and the range of sizes;
 a dual traversal drops pairs of nodes whose greatest possible overlap is too small, and
 what is left is compared exactly. Links come out as components.
@@ -66,12 +67,14 @@ def size_class(size: int, percent: int = PERCENT) -> int:
     return int(np.floor(np.log(size) / np.log(100 / percent) + 1e-9))
 
 
-def meeting_keys(members: np.ndarray, hot: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """A key for each of the first n-grams and each of two size classes."""
+def meeting_keys(members: np.ndarray, again: np.ndarray, hot: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """A key for each of the first n-grams that may stand in another set, and each of two size
+    classes. The order is: those surely found once, others, frequent ones; each by value."""
     n = len(members)
-    at = np.searchsorted(hot, members)
-    frequent = hot[np.minimum(at, len(hot) - 1)] == members if len(hot) else np.zeros(n, bool)
-    first = np.concatenate([members[~frequent], members[frequent]])[:n - -(-percent * n // 100) + 1]
+    shared = members[again]
+    at = np.searchsorted(hot, shared)
+    frequent = hot[np.minimum(at, len(hot) - 1)] == shared if len(hot) else np.zeros(len(shared), bool)
+    first = np.concatenate([shared[~frequent], shared[frequent]])[:max(0, n - -(-percent * n // 100) + 1 - (n - len(shared)))]
     c = size_class(n, percent)
     return np.concatenate([mix(first + np.uint64(c + k) * _SALT) for k in (0, 1)])
 
@@ -206,13 +209,12 @@ def similar_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFr
     counted = texts.mapInArrow(often, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     hot = spark.sparkContext.broadcast(np.sort(np.array([r.gram for r in counted.orderBy(F.desc("n"), "gram").limit(HOT).collect()], np.int64).view(np.uint64)))
 
-    def all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    def all_members(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for _, sets in sets_of(batches):
-            named = {set_key(s): s for s in sets}
-            yield np.concatenate([np.empty(0, np.uint64), *[meeting_keys(s, hot.value, percent) for s in named.values()]])
+            yield np.concatenate([np.empty(0, np.uint64), *{set_key(s): s for s in sets}.values()])
 
-    bits = cell_bits(size / 6 * 2 * (100 - percent) / 100, 8)
-    meets = spark.sparkContext.broadcast(count_sketch(texts, all_keys, bits, 1, 2))
+    bits = cell_bits(size / 6, 3)
+    shared = spark.sparkContext.broadcast(count_sketch(texts, all_members, bits, 1, 2))
 
     def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in sets_of(batches):
@@ -220,8 +222,7 @@ def similar_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFr
             named = {k: i for i, k in enumerate(names)}
             found, owners = [np.empty(0, np.uint64)], []
             for i in named.values():
-                keys = meeting_keys(sets[i], hot.value, percent)
-                keys = keys[may_have(meets.value, keys, bits, 1)]
+                keys = meeting_keys(sets[i], may_have(shared.value, sets[i], bits, 1), hot.value, percent)
                 found.append(keys)
                 owners += [i] * len(keys)
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(found))), *_numbers(batch, owners, sets, names)], names=["key", "h1", "h2", "n"])
