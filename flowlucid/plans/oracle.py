@@ -313,6 +313,8 @@ FROM ({_melt('x', 'WHERE is_test', VECTOR, 'uid, y AS cls')})""",
 SELECT label_technique AS label, cast({WEEK} AS varchar) AS week_start, count(*) AS n FROM flows GROUP BY 1, 2""",
         "weekly_bounds": f"WITH {BOUNDS} SELECT * REPLACE (cast(week_start AS varchar) AS week_start) FROM bounds",
         "weekly_sheet_long": _sheet("label_technique"),
+        "weekly_sheet": "SELECT name AS label_binary, * EXCLUDE (name) FROM (PIVOT ("
+                        f"{_sheet('label_binary')}) ON week USING first(cell) GROUP BY name)",
         "class_profile": f"""WITH {SPLIT}
 SELECT y, feature, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, count(v) AS n
 FROM ({_melt('train', '', NUMERIC, 'y')}) GROUP BY y, feature""",

@@ -439,14 +439,15 @@ def predict(w: Workbench) -> DataFrame:
 
 @query("train_all")
 def train_all_models(w: Workbench) -> DataFrame:
+    """Each model's status beside its report; a failed one has a line of its own."""
     result = train_all(default_specs(FOREST), w.x_train, w.x_test, "y")
-    return report_predictions(result.predictions)
+    return result.status.join(report_predictions(result.predictions), "model", "left")
 
 
 @query("train_all_tactic")
 def train_all_tactic(w: Workbench) -> DataFrame:
     result = train_all(default_specs(FOREST), w.x_train, w.x_test, "tactic_idx")
-    return report_predictions(result.predictions, w.tactics)
+    return result.status.join(report_predictions(result.predictions, w.tactics), "model", "left")
 
 
 @query("hier_predict")

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import week_start
 from ..schema import FLOW_SCHEMA
@@ -25,12 +26,14 @@ def matching_directories(spark: SparkSession, patterns: list[str], exclude: str)
 
 def read_flows(
     spark: SparkSession, patterns: str | list[str], exclude: str = "_parquet_", files: str = "*.parquet",
+    schema: T.StructType | None = None,
 ) -> DataFrame:
     """All weekly directories matching the globs as one table with canonical types.
 
     Directories of one schema are read as one scan. Where weeks differ in types or
     columns each differing group is cast on its own, so a wider type in one week does
-    not force a slow reader on the rest.
+    not force a slow reader on the rest. To tell them apart one file of each directory is
+    opened; with a declared ``schema``, which all files must then have, none is.
     """
     patterns = [patterns] if isinstance(patterns, str) else patterns
     directories = matching_directories(spark, patterns, exclude)
@@ -41,6 +44,8 @@ def read_flows(
     if len(parents) == 1 and all("=" in d.rsplit("/", 1)[1] for d in directories):
         # key=value directories: the key becomes a column whose filters prune directories.
         reader = reader.option("basePath", parents.pop())
+    if schema is not None:
+        return canonical(reader.schema(schema).parquet(*directories))
     groups: dict[str, list[str]] = {}
     for directory in directories:
         groups.setdefault(reader.parquet(directory).schema.json(), []).append(directory)

@@ -15,6 +15,8 @@ def test_weekly_directories_round_trip(spark, bench):
     assert back.drop("week").exceptAll(bench.flows.select(*back.drop("week").columns)).count() == 0
     assert back.filter("week <> date_sub(to_date(ts), dayofweek(ts) - 1)").count() == 0
     assert "PartitionFilters: [isnotnull(week" in plan(back.filter("week = DATE'2024-01-07'"))
+    declared = read_flows(spark, f"{root}/week=*", schema=back.drop("week").schema)
+    assert declared.exceptAll(back).count() == 0 and declared.count() == back.count()
 
 
 def test_weeks_of_different_types_and_excluded_directories(spark):
