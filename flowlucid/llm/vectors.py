@@ -3,8 +3,9 @@
 A vector is described by its nearest reference points in order. Similar vectors have
 nearly the same ones, so the index keeps inverted lists: one for each set of ``SHARED``
 pivots, with the vectors that have all of them among their nearest. Two vectors meet if
-they share at least so many, and are then compared exactly. Pivots are a bounded sample;
-every vector is indexed. Equal vectors are one entry with a count.
+they share at least so many, and are then compared exactly. Pivots are taken from a bounded
+sample and lie apart from each other: many in one dense cluster would be ranked by noise
+alone. Every vector is indexed. Equal vectors are one entry with a count.
 """
 
 from __future__ import annotations
@@ -25,8 +26,13 @@ from .jaccard import by_group
 from .text import mix, signed
 
 COSINE = 0.98
-#: Reference points, a sample of the distinct vectors in hash order.
+#: Reference points of each vector length, chosen from the first ``SAMPLE`` distinct vectors
+#: in hash order; a candidate whose cosine to a chosen one is over ``APART`` is passed over.
 PIVOTS = 128
+SAMPLE = 4096
+APART = 0.8
+#: Lengths with at most so many distinct vectors need no pivots: they meet in one list.
+FEW = 256
 NEAREST = 7
 SHARED = 3
 #: Vectors of one list that a task compares with as many others at once.
@@ -39,6 +45,17 @@ def unit_rows(flat: np.ndarray, width: int) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def apart_pivots(units: np.ndarray, most: int = PIVOTS, apart: float = APART) -> np.ndarray:
+    """The first rows, ``most`` at most, whose cosine to the rows chosen before is at most ``apart``."""
+    chosen, free = [], np.ones(len(units), bool)
+    while len(chosen) < most and free.any():
+        at = int(free.argmax())
+        chosen.append(at)
+        free &= units @ units[at] <= apart
+        free[at] = False
+    return units[chosen]
+
+
 def nearest_pivots(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """The numbers of each vector's nearest pivots, nearest first; of ties the lower number."""
     return np.argsort(-(units @ pivots.T), axis=1, kind="stable")[:, :NEAREST]
@@ -90,8 +107,18 @@ def vector_links(vectors: DataFrame, least: float = COSINE, pivots: int = PIVOTS
         "entry", F.xxhash64("label", "v"),
     ).write.parquet(path)
     entries = spark.read.parquet(path)
-    widths = {r[0]: [list(x.v) for x in entries.filter(F.size("v") == r[0]).orderBy("entry", "v").limit(pivots).select("v").collect()] for r in entries.select(F.size("v")).distinct().limit(64).collect()}
-    sent = spark.sparkContext.broadcast({w: unit_rows(np.array(rows), w) for w, rows in widths.items()})
+
+    def sampled(width: int, n: int) -> np.ndarray:
+        # about twice the sample by hash alone, so that tasks send no more than that
+        low = min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, 2 * SAMPLE / n)))
+        rows = entries.filter((F.size("v") == width) & (F.col("entry") <= low)).orderBy("entry", "v").limit(SAMPLE).select("v").collect()
+        return unit_rows(np.array([list(r.v) for r in rows]), width)
+
+    many = entries.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).filter(F.col("n") > FEW).collect()
+    sent = spark.sparkContext.broadcast({r.width: apart_pivots(sampled(r.width, r.n), pivots) for r in many})
+
+    def points(width: int) -> np.ndarray:
+        return sent.value[width] if width in sent.value else np.eye(1, width)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -99,8 +126,7 @@ def vector_links(vectors: DataFrame, least: float = COSINE, pivots: int = PIVOTS
             for width in np.unique(sizes).tolist():
                 batch = whole.filter(pa.array(sizes == width))
                 units = unit_rows(batch.column("v").flatten().to_numpy(), width)
-                points = sent.value[width] if width in sent.value else np.eye(1, width)
-                nearest = nearest_pivots(units, points)
+                nearest = nearest_pivots(units, points(width))
                 keys = shared_keys(nearest)
                 salted = mix(keys + np.uint64(width))
                 row = np.repeat(np.arange(len(units)), keys.shape[1])
@@ -131,7 +157,7 @@ def vector_links(vectors: DataFrame, least: float = COSINE, pivots: int = PIVOTS
                 entry, many = part.column("entry").to_numpy(), part.column("many").to_numpy()
                 p, q, shared = (part.column(c)[0].as_py() for c in ("p", "q", "shared"))
                 owner = part.column("own").to_numpy()
-                nearest = nearest_pivots(units, sent.value[units.shape[1]])
+                nearest = nearest_pivots(units, points(units.shape[1]))
                 a, b = np.nonzero(np.triu(units @ units.T >= least, 1))
                 if p != q:
                     apart = owner[a] != owner[b]

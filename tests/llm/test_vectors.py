@@ -1,6 +1,7 @@
 """Links between vectors against all pairs."""
 
 import numpy as np
+import pytest
 
 from flowlucid.llm.queries import op4_embedding_near_dedup
 from flowlucid.llm.vectors import vector_links
@@ -64,3 +65,30 @@ def test_edge_rows(spark):
     twice = vector_links(docs.filter("vec_id = 3").union(docs.filter("vec_id = 3")).union(spark.createDataFrame([(None, [2.0, 0.0], 1, "y")], docs.schema))).collect()
     assert sorted((str(r.vec_id), r.n_links, r.component_id) for r in twice) == [("3", 2, 3), ("3", 2, 3), ("None", 2, 3)]
     assert vector_links(docs.limit(0)).count() == 0
+
+
+def clustered(seed, n, dims, spread):
+    """A third of the rows near one point, no two equal, the rest anywhere."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    third = n // 3
+    noise = rng.normal(size=(third, dims))
+    x[:third] = x[0] + spread * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    return [(i, [float(np.float32(v)) for v in x[j]], 1) for i, j in enumerate(rng.permutation(n))]
+
+
+@pytest.mark.parametrize("dims", [16, 64])
+def test_recall_in_a_hot_cluster(spark, dims):
+    rows = clustered(dims, 2400, dims, 0.13)
+    want = plain(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert all(got[k][0] <= want[k][0] for k in want)
+    assert sum(v[0] for v in got.values()) >= 0.97 * sum(v[0] for v in want.values())
+    assert sum(got[k][1] == want[k][1] for k in want) >= 0.99 * len(want)
+
+
+def test_every_vector_length_is_linked(spark):
+    rows = [(2 * w + i, [1.0 + i] * w, 1) for w in range(2, 82) for i in range(2)] + [(1000 + w, [1.0] * (w - 1) + [1.01], 1) for w in range(2, 82)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == plain(rows)
