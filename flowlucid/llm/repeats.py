@@ -49,6 +49,24 @@ def anchored_windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray,
     span = width - short + 1
     if len(runs) < span:
         return np.empty(0, np.int64), np.empty(0, np.int64), runs
+    n = len(runs) - span + 1
+    least = np.empty(n, np.int64)
+    # a place takes the lower bits of a hash, so long texts go by pieces with fewer places
+    most = int(_PLACE) + 1
+    step = max(1, most - span + 1)
+    for first in range(0, n, step):
+        last = min(n, first + step)
+        least[first:last] = first + _least_places(runs[first:last + span - 1], span)
+    whole = np.zeros(len(words.hashes) + 1, np.int64)
+    fits = words.last - words.first >= width
+    np.add.at(whole, words.first[fits], 1)
+    np.add.at(whole, words.last[fits] - width + 1, -1)
+    starts = np.flatnonzero(np.cumsum(whole)[:n] > 0)
+    return starts, least[starts], runs
+
+
+def _least_places(runs: np.ndarray, span: int) -> np.ndarray:
+    """The place of the run of least hash among each ``span`` runs."""
     least = (mix(runs) & ~_PLACE) | np.arange(len(runs), dtype=np.uint64)
     size = 1
     while size * 2 <= span:
@@ -56,12 +74,7 @@ def anchored_windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray,
         size *= 2
     if size < span:
         least = np.minimum(least[:len(least) - (span - size)], least[span - size:])
-    whole = np.zeros(len(words.hashes) + 1, np.int64)
-    fits = words.last - words.first >= width
-    np.add.at(whole, words.first[fits], 1)
-    np.add.at(whole, words.last[fits] - width + 1, -1)
-    starts = np.flatnonzero(np.cumsum(whole)[:len(least)] > 0)
-    return starts, (least[starts] & _PLACE).astype(np.int64), runs
+    return (least & _PLACE).astype(np.int64)
 
 
 def combined(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -5,10 +5,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from flowlucid.llm.repeats import combined, without_repeats
+from flowlucid.llm import repeats
+from flowlucid.llm.repeats import anchored_windows, combined, without_repeats
 from flowlucid.llm.sketch import count_sketch, may_have
+from flowlucid.llm.text import Texts
 
 
 def plain(texts, width):
@@ -75,3 +78,18 @@ def test_sketch_never_misses(spark):
         yes = may_have(sketch, np.arange(3000, dtype=np.uint64), 20, depth)
         assert yes[::7].all() and yes.mean() < 0.2
         assert may_have(count_sketch(frame, hashes, 20, depth, 1), np.arange(3000, dtype=np.uint64), 20, depth).all()
+
+
+@pytest.mark.parametrize("width", [35, 12, 5])
+def test_anchors_of_texts_longer_than_a_place(monkeypatch, width):
+    monkeypatch.setattr(repeats, "_PLACE", np.uint64((1 << 7) - 1))
+    rng = random.Random(width)
+    passage = [f"p{i}" for i in range(60)]
+    words = [f"a{rng.random()}" for _ in range(1000)] + passage + [f"b{rng.random()}" for _ in range(777)] + passage
+    found = Texts.of(pa.array([" ".join(words)])).words()
+    starts, places, runs = anchored_windows(found, width)
+    assert starts.tolist() == list(range(len(words) - width + 1))
+    short = min(repeats.ANCHOR_WORDS, width)
+    assert ((places >= starts) & (places <= starts + width - short)).all()
+    # equal windows, equal anchors
+    assert (runs[places[1000:1000 + 60 - width + 1]] == runs[places[-(60 - width + 1):]]).all()
