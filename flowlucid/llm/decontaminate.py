@@ -3,7 +3,8 @@
 A passage of m characters with at most k edits shares at least m - q + 1 - q k of its
 q-grams with what it came from, all near one diagonal. Tasks look up the q-grams of their
 texts in an index of the benchmark, count hits in overlapping bands of diagonals, and
-align only the bands that reach the bound. The benchmark is the stated query set: it is
+align only the bands that reach the bound. Items of fewer than q characters have no q-gram
+and are looked up whole. The benchmark is the stated query set: it is
 taken in blocks of bounded size, each sent to all tasks, however large it is.
 """
 
@@ -23,8 +24,6 @@ from .text import Texts, blocks, mix
 Q = 6
 #: Edits allowed for each character of a benchmark item.
 EDIT_RATE = 0.08
-#: Items shorter than this say nothing about contamination and match nothing.
-LEAST_CHARS = 32
 #: Characters of benchmark text whose index is sent to the tasks at once (16 bytes each).
 BLOCK_CHARS = 2_000_000
 #: Q-grams that this many items have are not looked up where an item has enough others.
@@ -68,6 +67,17 @@ def qgram_hashes(codes: np.ndarray) -> np.ndarray:
     return mix(four[:n] * _BASE_TWICE + two[4:4 + n])
 
 
+def run_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` characters, for sizes below ``Q``."""
+    n = len(codes) - size + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for i in range(size):
+        out = out * _BASE + codes[i:n + i].astype(np.uint64)
+    return mix(out)
+
+
 @dataclass
 class PassageIndex:
     """The q-grams of some benchmark items and what each item needs."""
@@ -81,6 +91,7 @@ class PassageIndex:
     edits: np.ndarray
     needed: np.ndarray
     table: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by length below Q: sorted hashes and their items
 
     @classmethod
     def of(cls, items: list[tuple]) -> PassageIndex:
@@ -89,7 +100,7 @@ class PassageIndex:
             codes = folded(np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32))[0]
             codes = codes[np.argmax(codes != _SPACE):] if (codes != _SPACE).any() else codes[:0]
             codes = codes[:-1] if len(codes) and codes[-1] == _SPACE else codes
-            if len(codes) >= LEAST_CHARS:
+            if len(codes):
                 ids.append(item_id)
                 texts.append(codes)
         hashes = [qgram_hashes(t) for t in texts]
@@ -110,7 +121,24 @@ class PassageIndex:
         grams, first = np.unique(every[order], return_index=True)
         table = np.zeros(1 << _TABLE_BITS, bool)
         table[grams >> np.uint64(64 - _TABLE_BITS)] = True
-        return cls(ids, texts, grams, np.append(first, len(every)), item[order], place[order], edits, needed, table)
+        short = {}
+        for size in range(1, Q):
+            of_size = np.array([i for i, t in enumerate(texts) if len(t) == size], np.int64)
+            if len(of_size):
+                named = np.concatenate([run_hashes(texts[i], size) for i in of_size])
+                by_name = np.argsort(named, kind="stable")
+                short[size] = named[by_name], of_size[by_name]
+        return cls(ids, texts, grams, np.append(first, len(every)), item[order], place[order], edits, needed, table, short)
+
+    def exact(self, codes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Item and place of each occurrence of an item of fewer than ``Q`` characters."""
+        for size, (named, items) in self.short.items():
+            h = run_hashes(codes, size)
+            low, high = np.searchsorted(named, h), np.searchsorted(named, h, side="right")
+            for at in np.flatnonzero(high > low).tolist():
+                for item in items[low[at]:high[at]].tolist():
+                    if (codes[at:at + size] == self.texts[item]).all():
+                        yield item, at
 
     def bands(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Item and least diagonal of each band of diagonals with enough shared q-grams."""
@@ -176,6 +204,11 @@ def passages_in(texts: Texts, index: PassageIndex) -> list[tuple[int, int, int,
     plain, place = folded(codes)
     starts_in, stops_in = np.searchsorted(place, starts), np.searchsorted(place, stops)
     found = set()
+    for item, at in index.exact(plain):
+        size = len(index.texts[item])
+        doc = int(np.searchsorted(starts_in, at, side="right")) - 1
+        if doc >= 0 and at + size <= stops_in[doc]:
+            found.add((doc, item, int(place[at] - starts[doc]), int(place[at + size - 1] + 1 - starts[doc]), 0))
     for item, least in zip(*[x.tolist() for x in index.bands(plain)], strict=True):
         passage, k = index.texts[item], int(index.edits[item])
         low, high = least - k, least + len(passage) + 2 * (k + 1) + k

@@ -99,3 +99,13 @@ def test_query_finds_all_exact_passages(spark):
     items = {r.item_id: " ".join(r.text.lower().split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     exact = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for p in [" ".join(r.text.lower().split())] if any(i in p for i in items.values())}
     assert {r.doc_id for r in op1_benchmark_decontamination(spark, sf).collect()} == exact
+
+
+def test_short_items_are_found(spark):
+    items = [(1, "What is H2O?"), (2, "日本の首都はどこですか"), (3, "π≈3"), (4, " "), (5, ""), (6, None), (7, "Who wrote Hamlet in 1601?")]
+    docs = [(1, "so: what  is h2o? water"), (2, "問題。日本の首都はどこですか。東京"), (3, "as π≈3 here and π≈3"), (4, "what is it"), (5, ""), (6, None), (7, "π≈"), (8, "3 who wrote hamlet in 1602?")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start, r.stop, r.edits) for r in contamination(frame, bench).collect())
+    assert got == [(1, 1, 4, 17, 0), (2, 2, 3, 14, 0), (3, 3, 3, 6, 0), (3, 3, 16, 19, 0), (8, 7, 2, 27, 1)]
+    assert {r.doc_id for r in decontaminated(frame, bench).collect()} == {4, 5, 6, 7}
