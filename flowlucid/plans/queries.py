@@ -32,7 +32,7 @@ from ..sources import (
     load_model, load_predictions, read_flows, register_view, save_model, save_predictions, save_report,
     write_metric_sheet, write_weekly_flows,
 )
-from .workbench import FOREST, Workbench, workbench
+from .workbench import Workbench, workbench
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -134,7 +134,7 @@ def save_report_files(w: Workbench) -> DataFrame:
 @query("resume_missing")
 def resume_missing(w: Workbench) -> DataFrame:
     root = scratch_dir(w.spark, "store")
-    specs = default_specs(FOREST)
+    specs = default_specs()
     first = train_missing(specs[:2], w.x_train, w.x_test, "tactic_idx", root, "tactic")
     second = train_missing(specs, w.x_train, w.x_test, "tactic_idx", root, "tactic")
     runs = first.status.withColumn("run", F.lit(1)).unionByName(second.status.withColumn("run", F.lit(2)))
@@ -440,13 +440,13 @@ def predict(w: Workbench) -> DataFrame:
 @query("train_all")
 def train_all_models(w: Workbench) -> DataFrame:
     """Each model's status beside its report; a failed one has a line of its own."""
-    result = train_all(default_specs(FOREST), w.x_train, w.x_test, "y")
+    result = train_all(default_specs(), w.x_train, w.x_test, "y")
     return result.status.join(report_predictions(result.predictions), "model", "left")
 
 
 @query("train_all_tactic")
 def train_all_tactic(w: Workbench) -> DataFrame:
-    result = train_all(default_specs(FOREST), w.x_train, w.x_test, "tactic_idx")
+    result = train_all(default_specs(), w.x_train, w.x_test, "tactic_idx")
     return result.status.join(report_predictions(result.predictions, w.tactics), "model", "left")
 
 
@@ -549,7 +549,7 @@ def kernel_shap_nb(w: Workbench) -> DataFrame:
 @query("kernel_shap_nb_total")
 def kernel_shap_nb_total(w: Workbench) -> DataFrame:
     """Base plus the sum of a row's attributions: the model's probability."""
-    values = additive_kernel_shap(w.model("gnb_binary"), w.x_test, row_background(w.x_train, 100), n_samples=256)
+    values = additive_kernel_shap(w.model("gnb_binary"), w.x_test, row_background(w.x_train, 100))
     total = F.col("base") + F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
     return values.select("uid", F.round(total, 6).alias("p_attack"))
 
@@ -557,8 +557,8 @@ def kernel_shap_nb_total(w: Workbench) -> DataFrame:
 @query("kernel_shap_model_total")
 def kernel_shap_model_total(w: Workbench) -> DataFrame:
     """The estimate for any model, here a tree: base plus attributions is the probability."""
-    background = row_background(w.x_train, 5)
-    values = kernel_shap(w.model("dt_rule"), w.x_test, background, n_samples=64)
+    background = row_background(w.x_train, 100)
+    values = kernel_shap(w.model("dt_rule"), w.x_test, background)
     total = F.col("base") + F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
     return values.select("uid", (F.round(total, 6) + F.lit(0.0)).alias("p_rule"))
 

@@ -24,9 +24,6 @@ from ..operators.sampling import stratified_split
 from ..operators.summary import classes_of, index_of
 from .fixture import flows
 
-# The fixture's labels are independent of its features, so unlimited trees would only
-# grow to memorise noise. The library defaults are 100 trees of depth 20.
-FOREST = {"numTrees": 20, "maxDepth": 10}
 # A label that is a function of the features, so that models and explanations of it are
 # known in closed form.
 RULE = "conn_state = 'SF' AND proto <> 'icmp'"
@@ -96,19 +93,19 @@ class Workbench:
 
     def model(self, name: str) -> Model | HierarchicalModel:
         fits = {
-            "rf_binary": lambda: fit_rf(self.x_train, "y", **FOREST),
-            "rf_tactic": lambda: fit_rf(self.x_train, "tactic_idx", **FOREST),
+            "rf_binary": lambda: fit_rf(self.x_train, "y"),
+            "rf_tactic": lambda: fit_rf(self.x_train, "tactic_idx"),
             "dt_binary": lambda: fit_dt(self.x_train, "y"),
             "dt_tactic": lambda: fit_dt(self.x_train, "tactic_idx"),
             "lr_binary": lambda: fit_lr(self.x_train, "y"),
             "lr_tactic": lambda: fit_lr(self.x_train, "tactic_idx", family="multinomial"),
             "gnb_binary": lambda: fit_gnb(self.x_train, "y"),
             "gnb_tactic": lambda: fit_gnb(self.x_train, "tactic_idx"),
-            "rf_rule": lambda: fit_rf(self.x_train, "rule", **FOREST),
+            "rf_rule": lambda: fit_rf(self.x_train, "rule"),
             "dt_rule": lambda: fit_dt(self.x_train, "rule"),
             "lr_rule": lambda: fit_lr(self.x_train, "rule"),
-            "hierarchical": lambda: fit_hierarchical(self.x_train, **FOREST),
-            "balanced_rf": lambda: fit_balanced_rf(self.x_train, "tactic_idx", **FOREST),
+            "hierarchical": lambda: fit_hierarchical(self.x_train),
+            "balanced_rf": lambda: fit_balanced_rf(self.x_train, "tactic_idx"),
         }
         if name not in self._models:
             self._models[name] = fits[name]()

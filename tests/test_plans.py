@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from flowlucid.explain.kernel import additive_kernel_shap, kernel_shap, row_background
@@ -11,6 +12,7 @@ from flowlucid.operators.models import report_predictions, score
 from flowlucid.operators.prep import encode
 from flowlucid.operators.sampling import stratified_split
 from flowlucid.operators.weekly import weekly_counts
+from flowlucid.plans import queries, workbench
 
 from .test_sources import plan
 
@@ -55,3 +57,28 @@ def test_weekly_counts_read_two_columns(bench):
     schema = text.split("ReadSchema: ")[1].splitlines()[0]
     assert schema == "struct<ts:timestamp_ntz,event_type:string>"
     assert shuffles(weekly_counts(bench.flows, "label_tactic")) == 1
+
+
+def test_registered_models_and_kernels_use_the_defaults(bench, monkeypatch):
+    asked = {}
+
+    class Asked(Exception):
+        pass
+
+    def noted(name):
+        def call(*args, **options):
+            asked[name] = args, options
+            raise Asked
+        return call
+
+    monkeypatch.setattr(workbench, "fit_rf", noted("fit_rf"))
+    monkeypatch.setattr(queries, "kernel_shap", noted("kernel"))
+    monkeypatch.setattr(queries, "additive_kernel_shap", noted("additive"))
+    fresh = workbench.Workbench(bench.spark, bench.sf_dir)
+    with pytest.raises(Asked):
+        fresh.model("rf_binary")
+    assert not asked["fit_rf"][1]
+    for name, call in (("kernel_shap_model_total", "kernel"), ("kernel_shap_nb_total", "additive")):
+        with pytest.raises(Asked):
+            queries.registered()[name](bench.spark, bench.sf_dir)
+        assert not asked[call][1] and len(asked[call][0][2].x) == 100
