@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination
 from .frames import table
 from .jaccard import with_components
+from .licenses import licenses
 from .packing import pack_documents
+from .periodic import periodic_runs, planted_repeats
 from .pii import personal_data
 from .prefixfree import without_repeated_bytes
 from .quality import resample
@@ -69,5 +71,26 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def collapsed_runs(docs: DataFrame) -> DataFrame:
+    found, best = periodic_runs(planted_repeats(docs)), F.col("longest")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * longest.length div longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapsed_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def text_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_personal_data, op3_toxicity, op4_embedding_near_dedup, op5_quality_resampling, op6_secret_scan, op7_best_fit_packing, op8_jaccard_join, op9_substring_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_personal_data, op3_toxicity, op4_embedding_near_dedup, op5_quality_resampling, op6_secret_scan, op7_best_fit_packing, op8_jaccard_join, op9_substring_dedup, op10_suffix_array_dedup, op12_periodic_runs, op13_license_scan)}
