@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversations import damaged_turns, repair
 from .decontaminate import contamination
 from .frames import table
 from .jaccard import with_components
@@ -71,6 +72,11 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair(damaged_turns(turns), turns)
+
+
 def collapsed_runs(docs: DataFrame) -> DataFrame:
     found, best = periodic_runs(planted_repeats(docs)), F.col("longest")
     lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
@@ -93,4 +99,4 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_personal_data, op3_toxicity, op4_embedding_near_dedup, op5_quality_resampling, op6_secret_scan, op7_best_fit_packing, op8_jaccard_join, op9_substring_dedup, op10_suffix_array_dedup, op12_periodic_runs, op13_license_scan)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_personal_data, op3_toxicity, op4_embedding_near_dedup, op5_quality_resampling, op6_secret_scan, op7_best_fit_packing, op8_jaccard_join, op9_substring_dedup, op10_suffix_array_dedup, op11_conversation_repair, op12_periodic_runs, op13_license_scan)}
