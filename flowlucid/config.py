@@ -63,6 +63,14 @@ def remove_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """The data files of a written table, on whatever store it lies."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop_path)
+    names = sorted(f.getPath().toString() for f in found)
+    return [n for n in names if not n.rsplit("/", 1)[-1].startswith(("_", "."))]
+
+
 _shipped: set[str] = set()
 
 

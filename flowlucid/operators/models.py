@@ -38,7 +38,7 @@ def fit_rf(
     rows = with_class_weight(df, label) if balanced else df
     forest = RandomForestClassifier(
         featuresCol="features", labelCol=label, numTrees=numTrees, maxDepth=maxDepth, seed=seed,
-        featureSubsetStrategy="sqrt", impurity="gini", maxMemoryInMB=1024, **params,
+        featureSubsetStrategy="sqrt", impurity="gini", maxMemoryInMB=256, **params,
     )
     return (forest.setWeightCol("weight") if balanced else forest).fit(rows)
 
@@ -46,7 +46,7 @@ def fit_rf(
 def fit_dt(df: DataFrame, label: str, maxDepth: int = 5, seed: int = 42, **params) -> Model:
     return DecisionTreeClassifier(
         featuresCol="features", labelCol=label, maxDepth=maxDepth, seed=seed, impurity="gini",
-        maxMemoryInMB=1024, **params,
+        maxMemoryInMB=256, **params,
     ).fit(df)
 
 

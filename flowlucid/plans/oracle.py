@@ -373,6 +373,7 @@ FROM flows GROUP BY label_tactic, label_technique""",
         "tree_shap_interaction_rule": f"""WITH {RULE}
 SELECT uid, round(pair, 9) + 0.0 AS "between", round(pair, 9) + 0.0 AS between_back,
   round(phi_a - pair, 9) + 0.0 AS own_state, round(phi_b - pair, 9) + 0.0 AS own_proto FROM values_of""",
+        "tree_shap_rf_rule": f"WITH {RULE} SELECT uid, rule FROM games",
         "kernel_shap_model_total": f"WITH {RULE} SELECT uid, cast(rule AS double) AS p_rule FROM games",
         "pdp_rule": f"""WITH {RULE},
 test_shares AS (SELECT avg(a) AS pa, avg(b) AS pb FROM flags WHERE is_test)

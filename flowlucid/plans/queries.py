@@ -14,7 +14,7 @@ from ..explain.importance import compare_importance, feature_importance
 from ..explain.kernel import additive_kernel_shap, kernel_shap, kmeans_background, row_background
 from ..explain.lime import lime, quantile_bins
 from ..explain.summary import long_form, only_supported, shap_points, shap_summary
-from ..explain.tree import tree_shap, tree_shap_interactions
+from ..explain.tree import interaction_summary, tree_shap, tree_shap_interactions
 from ..functions import encode_binary, joint_label, safe_div, tactic_of
 from ..operators.models import (
     ModelSpec, default_specs, fit_dt, fit_gnb, hierarchical_report, report_predictions, score, train_all, train_missing,
@@ -508,12 +508,19 @@ def tree_shap_hier(w: Workbench) -> DataFrame:
     return shap_summary(_tree_attributions(w, "balanced_rf", 1), w.names)
 
 
+@query("tree_shap_hier_points")
+def tree_shap_hier_points(w: Workbench) -> DataFrame:
+    """Every attribution beside the encoded value it explains."""
+    return shap_points(_tree_attributions(w, "balanced_rf", 1), w.x_test, w.names)
+
+
 @query("tree_shap_interaction")
 def tree_shap_interaction(w: Workbench) -> DataFrame:
-    """Mean |interaction value| per pair of features over all test rows."""
-    pairs = [f"{a} x {b}" for a in w.names for b in w.names]
-    values = tree_shap_interactions(w.model("rf_binary"), w.x_test, 1, paths=w.paths("rf_binary"))
-    return shap_summary(values, pairs)
+    """Mean |interaction value| per pair of features over all test rows; zero where no path holds both."""
+    found = interaction_summary(w.model("rf_binary"), w.x_test, 1, paths=w.paths("rf_binary")).drop("class")
+    names = list(enumerate(w.names))
+    pairs = small_table(w.spark, [(f"{a} x {b}", min(i, j), max(i, j)) for i, a in names for j, b in names], "feature string, first int, second int")
+    return pairs.join(found, ["first", "second"], "left").select(F.lit(1).alias("class"), "feature", F.coalesce("mean_abs", F.lit(0.0)).alias("mean_abs"))
 
 
 @query("tree_shap_rule")
@@ -523,15 +530,26 @@ def tree_shap_rule(w: Workbench) -> DataFrame:
     return values.select("uid", "feature", (F.round("value", 9) + F.lit(0.0)).alias("value"))
 
 
+@query("tree_shap_rf_rule")
+def tree_shap_rf_rule(w: Workbench) -> DataFrame:
+    """Base plus attributions of a forest of 100 trees: its probability, which is the rule."""
+    values = _tree_attributions(w, "rf_rule", 1)
+    total = F.col("base") + F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
+    return values.select("uid", F.round(total, 0).cast("int").alias("rule"))
+
+
 @query("tree_shap_interaction_rule")
 def tree_shap_interaction_rule(w: Workbench) -> DataFrame:
     values = tree_shap_interactions(w.model("dt_rule"), w.x_test, 1, paths=w.paths("dt_rule"))
     a, b, m = w.names.index("conn_state_SF"), w.names.index("proto_icmp"), len(w.names)
+    slots = F.transform(F.arrays_zip("first", "second"), lambda p: p["first"] * m + p["second"])
+    known = values.withColumn("by_slot", F.map_from_arrays(slots, F.col("values")))
 
     def slot(i: int, j: int, name: str) -> Column:
-        return (F.round(F.get("values", F.lit(i * m + j)), 9) + F.lit(0.0)).alias(name)
+        value = F.coalesce(F.try_element_at("by_slot", F.lit(min(i, j) * m + max(i, j))), F.lit(0.0))
+        return (F.round(value, 9) + F.lit(0.0)).alias(name)
 
-    return values.select("uid", slot(a, b, "between"), slot(b, a, "between_back"), slot(a, a, "own_state"), slot(b, b, "own_proto"))
+    return known.select("uid", slot(a, b, "between"), slot(b, a, "between_back"), slot(a, a, "own_state"), slot(b, b, "own_proto"))
 
 
 @query("kernel_shap_lr")

@@ -15,7 +15,9 @@ from flowlucid.explain.kernel import (
 )
 from flowlucid.explain.lime import bin_table, lime, local_fit, perturb, quantile_bins
 from flowlucid.explain.summary import long_form, only_supported, shap_summary
-from flowlucid.explain.tree import node_table, tree_paths, tree_shap, tree_shap_interactions
+from flowlucid.explain.tree import (
+    PairSums, _pair_rows, interaction_summary, node_table, stored_leaves, tree_paths, tree_shap, tree_shap_interactions,
+)
 from flowlucid.operators.models import fit_dt, fit_gnb, fit_lr, fit_rf, score
 
 M = 5
@@ -75,10 +77,18 @@ def brute_force(spark, model, x, m=M):
     return value[()], phi, pair
 
 
+def matrix(row, m=M):
+    """The interaction values of a row as a square."""
+    out = np.zeros((m, m))
+    for i, j, v in zip(row["first"], row["second"], row["values"], strict=True):
+        out[i, j] = out[j, i] = v
+    return out
+
+
 def test_tree_values_equal_brute_force(spark, small, forest):
     rows = small.filter("uid < 6")
     got = {(r.uid, r["class"]): r for r in tree_shap(forest, rows).collect()}
-    pairs = {r.uid: np.array(r["values"]).reshape(M, M) for r in tree_shap_interactions(forest, rows, 1).collect()}
+    pairs = {r.uid: matrix(r) for r in tree_shap_interactions(forest, rows, 1).collect()}
     for r in rows.select("uid", vector_to_array("features").alias("x")).collect():
         base, phi, pair = brute_force(spark, forest, r.x)
         for c in range(3):
@@ -108,10 +118,12 @@ def test_deep_paths_and_encoded_rows_add_up(bench):
     assert check_additivity(model, bench.x_test) == 4 * bench.x_test.count()
 
 
-def test_parts_give_the_same_values(spark, small, forest):
+def test_pieces_and_files_give_the_same_values(spark, small, forest):
     whole = {(r.uid, r["class"]): r["values"] for r in tree_shap(forest, small).collect()}
-    parts = tree_paths(spark, forest, max_bytes=2_000)
-    assert len(parts.parts) > 2
+    parts = tree_paths(spark, forest, files=5, piece=3)
+    assert len(parts.files) > 2
+    same = [tuple(leaf.features) for leaf in stored_leaves(tree_paths(spark, forest, files=1))]
+    assert len(same) - 1 == len(set(same)) - 1 + sum(a == b for a, b in zip(same, same[1:]))
     split = {(r.uid, r["class"]): r["values"] for r in tree_shap(forest, small, paths=parts).collect()}
     assert whole.keys() == split.keys()
     assert all(np.allclose(whole[k], split[k], atol=1e-12) for k in whole)
@@ -120,9 +132,25 @@ def test_parts_give_the_same_values(spark, small, forest):
 def test_interaction_rows_sum_to_the_values(small, forest):
     values = {r.uid: r["values"] for r in tree_shap(forest, small, 1).collect()}
     for r in tree_shap_interactions(forest, small, 1).collect():
-        pair = np.array(r["values"]).reshape(M, M)
-        assert np.allclose(pair, pair.T, atol=1e-12)
-        assert np.allclose(pair.sum(axis=1), values[r.uid], atol=1e-10)
+        assert np.allclose(matrix(r).sum(axis=1), values[r.uid], atol=1e-10)
+
+
+def test_interaction_summary_is_the_mean(small, forest):
+    pairs = np.mean([np.abs(matrix(r)) for r in tree_shap_interactions(forest, small, 2).collect()], axis=0)
+    got = interaction_summary(forest, small, 2).collect()
+    assert all(r.mean_abs == pytest.approx(pairs[r["first"], r["second"]], abs=1e-12) for r in got)
+    assert {(r["first"], r["second"]) for r in got} >= {(i, j) for i in range(M) for j in range(i, M) if pairs[i, j]}
+
+
+def test_many_slots_stay_within_the_budget():
+    """300 features: rows are taken in blocks, and only pairs that meet are held."""
+    rng = np.random.default_rng(0)
+    sums = PairSums(300, _pair_rows(300))
+    for _ in range(50):
+        sums.lines(rng.choice(300, 8, replace=False))
+    assert _pair_rows(300) * 300 * 301 // 2 * 8 <= 64 * 1024 * 1024
+    a, b, values = sums.found()
+    assert len(a) <= 50 * 28 and (a < b).all() and len(values) == len(a)
 
 
 def test_single_leaf_model(small):
