@@ -216,6 +216,18 @@ def _rule_attributions() -> str:
     )
 
 
+def _rule_kernel() -> str:
+    """The rule against 100 train rows, the first in hash order: a game of two features."""
+    known = {"conn_state_SF": "0.5 * (va - v0 + vab - vb)", "proto_icmp": "0.5 * (vb - v0 + vab - va)"}
+    return f"""WITH {RULE},
+points AS (SELECT a, b FROM flags WHERE NOT is_test ORDER BY md5(concat('42:', cast(uid AS varchar))), uid LIMIT 100),
+means AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(a * b) AS mab FROM points),
+played AS (SELECT uid, mab AS v0, a * mb AS va, b * ma AS vb, a * b AS vab FROM flags, means WHERE is_test)
+""" + " UNION ALL ".join(
+        f"SELECT uid, '{f}' AS feature, round({known.get(f, '0.0::double')}, 6) + 0.0 AS value FROM played" for f in VECTOR
+    )
+
+
 def _rule_importance() -> str:
     gain = {"conn_state_SF": "root - second", "proto_icmp": "second"}
     return f"""WITH {RULE},
@@ -375,6 +387,7 @@ SELECT uid, round(pair, 9) + 0.0 AS "between", round(pair, 9) + 0.0 AS between_b
   round(phi_a - pair, 9) + 0.0 AS own_state, round(phi_b - pair, 9) + 0.0 AS own_proto FROM values_of""",
         "tree_shap_rf_rule": f"WITH {RULE} SELECT uid, rule FROM games",
         "kernel_shap_model_total": f"WITH {RULE} SELECT uid, cast(rule AS double) AS p_rule FROM games",
+        "kernel_shap_rule": _rule_kernel(),
         "pdp_rule": f"""WITH {RULE},
 test_shares AS (SELECT avg(a) AS pa, avg(b) AS pb FROM flags WHERE is_test)
 SELECT 'conn_state_SF' AS feature, 0.0::double AS grid_value, 0.0::double AS avg_probability

@@ -581,6 +581,13 @@ def kernel_shap_model_total(w: Workbench) -> DataFrame:
     return values.select("uid", (F.round(total, 6) + F.lit(0.0)).alias("p_rule"))
 
 
+@query("kernel_shap_rule")
+def kernel_shap_rule(w: Workbench) -> DataFrame:
+    """Every attribution of the estimate for a model with one interaction, where it is exact."""
+    values = long_form(kernel_shap(w.model("dt_rule"), w.x_test, row_background(w.x_train, 100)), w.names)
+    return values.select("uid", "feature", (F.round("value", 6) + F.lit(0.0)).alias("value"))
+
+
 @query("kmeans_background")
 def kmeans_background_centres(w: Workbench) -> DataFrame:
     background = kmeans_background(w.x_train, 100)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from flowlucid.explain.dependence import grid_values, partial_dependence
 from flowlucid.explain.importance import compare_importance, importance_values
 from flowlucid.explain.kernel import (
-    Background, additive_kernel_shap, coalitions, kernel_shap, kmeans_background, regression_map, row_background,
+    Background, additive_kernel_shap, coalitions, kernel_shap, kernel_shap_by_transform, kmeans_background,
+    regression_map, row_background,
 )
 from flowlucid.explain.lime import bin_table, lime, local_fit, perturb, quantile_bins
 from flowlucid.explain.summary import long_form, only_supported, shap_summary
@@ -212,7 +213,7 @@ def test_additive_and_general_estimates_agree(bench, fit):
     rows = bench.x_test.orderBy("uid").limit(5)
     background = Background(row_background(bench.x_train, 6).x, np.array([0.3, 0.1, 0.1, 0.2, 0.2, 0.1]))
     options = {"n_samples": 120, "class_": 2}
-    general = {r.uid: r for r in kernel_shap(model, rows, background, **options).collect()}
+    general = {r.uid: r for r in kernel_shap_by_transform(model, rows, background, **options).collect()}
     additive = {r.uid: r for r in additive_kernel_shap(model, rows, background, **options).collect()}
     assert general.keys() == additive.keys() and len(general) == 5
     p = {r.uid: r.probability[2] for r in score(model, rows).collect()}
@@ -222,6 +223,29 @@ def test_additive_and_general_estimates_agree(bench, fit):
         assert r.base + sum(r["values"]) == pytest.approx(p[uid], abs=1e-9)
 
 
+@pytest.mark.parametrize("n_samples", [18, 1000])
+def test_tree_and_general_estimates_agree(small, forest, n_samples):
+    rows = small.filter("uid < 20")
+    background = Background(row_background(small, 9).x, np.arange(1, 10) / 45)
+    for model in (forest, DecisionTreeClassifier(labelCol="y", maxDepth=0).fit(small)):
+        general = {r.uid: r for r in kernel_shap_by_transform(model, rows, background, n_samples, class_=2).collect()}
+        trees = {r.uid: r for r in kernel_shap(model, rows, background, n_samples, class_=2).collect()}
+        assert trees.keys() == general.keys() and len(trees) == 20
+        for uid, r in general.items():
+            assert trees[uid].base == pytest.approx(r.base, abs=1e-9)
+            assert trees[uid]["values"] == pytest.approx(r["values"], abs=1e-9)
+
+
+def test_too_large_backgrounds_are_refused(small, forest, monkeypatch):
+    from flowlucid.explain import kernel
+
+    monkeypatch.setattr(kernel, "MAX_BACKGROUND", 3)
+    big = Background(np.zeros((4, M)), np.full(4, 0.25))
+    for call in (kernel_shap, kernel_shap_by_transform, additive_kernel_shap):
+        with pytest.raises(ValueError, match="3 points"):
+            call(fit_gnb(small, "y"), small, big)
+
+
 def test_kmeans_background_weights(small):
     background = kmeans_background(small, 8)
     assert background.x.shape == (8, M) and background.weight.sum() == pytest.approx(1.0)

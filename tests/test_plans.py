@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from flowlucid.explain.kernel import additive_kernel_shap, kernel_shap, row_background
+from flowlucid.explain.kernel import additive_kernel_shap, kernel_shap, kernel_shap_by_transform, row_background
 from flowlucid.explain.tree import tree_shap
 from flowlucid.functions import with_flow_features
 from flowlucid.operators.models import report_predictions, score
@@ -40,10 +40,12 @@ def test_attributions_do_not_shuffle(bench):
 
 def test_kernel_values_need_at_most_one_shuffle(bench):
     background = row_background(bench.x_train, 5)
+    for name in ("dt_binary", "gnb_binary"):
+        assert shuffles(kernel_shap(bench.model(name), encode(bench.prep, bench.test), background, n_samples=64)) == 0
     # The kept rows are partitioned by key already; fresh rows are spread by key once.
-    assert shuffles(kernel_shap(bench.model("dt_binary"), bench.x_test, background, n_samples=64)) == 0
+    assert shuffles(kernel_shap_by_transform(bench.model("dt_binary"), bench.x_test, background, n_samples=64)) == 0
     fresh = encode(bench.prep, bench.test)
-    assert shuffles(kernel_shap(bench.model("dt_binary"), fresh, background, n_samples=64)) == 1
+    assert shuffles(kernel_shap_by_transform(bench.model("dt_binary"), fresh, background, n_samples=64)) == 1
 
 
 def test_report_shuffles_confusion_counts_only(bench):
