@@ -101,6 +101,7 @@ class TreePaths:
 
     files: list[str]
     base: np.ndarray
+    flat: np.ndarray  # the part of the base that trees of a single leaf give
     n_features: int
     piece: int = PIECE_LEAVES
 
@@ -124,12 +125,14 @@ def tree_paths(spark: SparkSession, model: Model, files: int | None = None, piec
     found.repartition(files or spark.sparkContext.defaultParallelism, "features").sortWithinPartitions(F.size("features"), "features").write.parquet(path)
     reached = F.aggregate("share", F.lit(1.0), lambda a, z: a * z)
     n = tree_model(model).numClasses
-    base = spark.read.parquet(path).agg(*[F.sum(F.get("value", F.lit(c)) * reached) for c in range(n)]).first()
+    stored = spark.read.parquet(path)
+    alone = F.when(F.size("features") == 0, 1.0).otherwise(0.0)
+    sums = stored.agg(*[F.sum(F.get("value", F.lit(c)) * part) for part in (reached, alone) for c in range(n)]).first()
     names = []
     for file in list_files(spark, path):
         spark.sparkContext.addFile(file)
         names.append(file.rsplit("/", 1)[-1])
-    return TreePaths(names, np.array(base, dtype=float), tree_model(model).numFeatures, piece)
+    return TreePaths(names, np.array(sums[:n], dtype=float), np.array(sums[n:], dtype=float), tree_model(model).numFeatures, piece)
 
 
 @dataclass
@@ -238,6 +241,19 @@ def shap_block(x: np.ndarray, paths: TreePaths, classes: list[int]) -> np.ndarra
     return total
 
 
+def leaf_sums(x: np.ndarray, paths: TreePaths, cls: int) -> np.ndarray:
+    """The class's probability for each row, from the leaves it reaches."""
+    block, total = Block(np.ascontiguousarray(x.T)), np.full(len(x), paths.flat[cls])
+    for leaf in stored_leaves(paths):
+        if leaf.value[cls]:
+            met = None
+            for f, a, b in zip(leaf.features.tolist(), leaf.low, leaf.high, strict=True):
+                one = block.meets(f, a, b)
+                met = one if met is None else met & one
+            total += met * leaf.value[cls]
+    return total
+
+
 class PairSums:
     """Interaction values of a block of rows, only for the pairs of features that meet on a path."""
 

@@ -252,6 +252,44 @@ SELECT feature, bin, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITI
 FROM binned GROUP BY feature, bin"""
 
 
+def _lime_moments() -> str:
+    """Lines drawn for one row by digests, and the weighted sums of products of their columns."""
+    slots = " UNION ALL ".join(f"SELECT uid, is_test, {i} AS slot, {c} AS v FROM x" for i, c in enumerate(VECTOR))
+    m, state, proto = len(VECTOR), VECTOR.index("conn_state_SF"), VECTOR.index("proto_icmp")
+    return f"""WITH {ENCODED},
+cells AS ({slots}),
+edges AS (
+  SELECT DISTINCT slot, unnest([quantile_cont(v, 0.25), quantile_cont(v, 0.5), quantile_cont(v, 0.75)]) AS edge
+  FROM cells WHERE NOT is_test GROUP BY slot),
+binned AS (
+  SELECT c.uid, c.is_test, c.slot, c.v, sum(CASE WHEN v > edge THEN 1 ELSE 0 END) AS bin
+  FROM cells c JOIN edges e ON c.slot = e.slot GROUP BY c.uid, c.is_test, c.slot, c.v),
+shares AS (SELECT slot, bin, count(*) AS n, avg(v) AS mean FROM binned WHERE NOT is_test GROUP BY slot, bin),
+bins AS (
+  SELECT slot, bin, mean, sum(n) OVER (PARTITION BY slot ORDER BY bin) / sum(n) OVER (PARTITION BY slot) AS upto FROM shares),
+chosen AS (SELECT uid FROM x WHERE is_test ORDER BY uid LIMIT 1 OFFSET 50),
+own AS (SELECT uid, slot, bin, v FROM binned JOIN chosen USING (uid)),
+lines AS (SELECT unnest(range(1, 5000)) AS line),
+draws AS (
+  SELECT line, slot, bin AS own_bin,
+    cast('0x' || substr(md5(concat('42:', cast(uid AS varchar), ':', cast(line AS varchar), ':', cast(slot AS varchar))), 1, 8) AS ubigint) / 4294967296.0::double AS u
+  FROM own, lines),
+picks AS (
+  SELECT line, d.slot, own_bin, coalesce(min(b.bin) FILTER (u < upto), max(b.bin)) AS bin
+  FROM draws d JOIN bins b ON d.slot = b.slot GROUP BY line, d.slot, own_bin),
+drawn AS (
+  SELECT line, p.slot, CASE WHEN p.bin = own_bin THEN 1 ELSE 0 END AS same, mean FROM picks p JOIN bins b ON p.slot = b.slot AND p.bin = b.bin
+  UNION ALL SELECT 0, slot, 1, v FROM own),
+weights AS (
+  SELECT line, sqrt(exp(-sum(1 - same) / (0.5625 * {m}))) AS w,
+    CASE WHEN max(mean) FILTER (slot = {state}) > 0.5 AND max(mean) FILTER (slot = {proto}) <= 0.5 THEN 1 ELSE 0 END AS y
+  FROM drawn GROUP BY line),
+columns_of AS (
+  SELECT line, 0 AS c, 1 AS v FROM weights UNION ALL SELECT line, slot + 1, same FROM drawn UNION ALL SELECT line, {m + 1}, y FROM weights)
+SELECT (SELECT uid FROM chosen) AS uid, a.c AS i, b.c AS j, round(sum(w * a.v * b.v), 6) + 0.0 AS total
+FROM columns_of a JOIN columns_of b ON a.line = b.line AND a.c <= b.c JOIN weights w ON w.line = a.line GROUP BY a.c, b.c"""
+
+
 def sql() -> dict[str, str]:
     vector_rows = " UNION ALL ".join(f"SELECT y, {i} AS slot, {f} AS v FROM x" for i, f in enumerate(VECTOR))
     return {
@@ -399,6 +437,7 @@ UNION ALL SELECT 'proto_icmp', 1.0, 0.0""",
 {ATTRIBUTION_MEANS}
 SELECT "class", feature, round(mean_abs, 6) AS mean_abs FROM summary""",
         "lime_discretizer": _discretizer(),
+        "lime_moments": _lime_moments(),
         "pdp_nb": f"WITH {_pdp_nb()}",
         "pdp_grid": f"WITH {GRID} SELECT feature, position, round(grid_value, 6) AS grid_value FROM grid",
         "importance_nb": f"WITH {ENCODED}\n" + " UNION ALL ".join(

@@ -12,7 +12,7 @@ from ..config import scratch_dir, small_table
 from ..explain.dependence import partial_dependence, pdp_grid
 from ..explain.importance import compare_importance, feature_importance
 from ..explain.kernel import additive_kernel_shap, kernel_shap, kmeans_background, row_background
-from ..explain.lime import lime, quantile_bins
+from ..explain.lime import lime, lime_moments, quantile_bins
 from ..explain.summary import long_form, only_supported, shap_points, shap_summary
 from ..explain.tree import interaction_summary, tree_shap, tree_shap_interactions
 from ..functions import encode_binary, joint_label, safe_div, tactic_of
@@ -613,7 +613,14 @@ def shap_global_rf(w: Workbench) -> DataFrame:
 
 @query("lime_local")
 def lime_local(w: Workbench) -> DataFrame:
-    return lime(w.model("rf_binary"), w.x_train, nth_row(w.x_test, 50), w.names)
+    return lime(w.model("rf_binary"), w.x_train, nth_row(w.x_test, 50), w.names, paths=w.paths("rf_binary"))
+
+
+@query("lime_moments")
+def lime_moment_sums(w: Workbench) -> DataFrame:
+    """The sums behind the local fit, for the rule's tree."""
+    found = lime_moments(w.model("dt_rule"), w.x_train, nth_row(w.x_test, 50), len(w.names), paths=w.paths("dt_rule"))
+    return rounded(found)
 
 
 @query("lime_discretizer")

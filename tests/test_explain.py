@@ -14,7 +14,9 @@ from flowlucid.explain.kernel import (
     Background, additive_kernel_shap, coalitions, kernel_shap, kernel_shap_by_transform, kmeans_background,
     regression_map, row_background,
 )
-from flowlucid.explain.lime import bin_table, lime, local_fit, perturb, quantile_bins
+from flowlucid.explain.lime import (
+    bin_table, condition, lime, lime_moments, line_weights, local_fit, moment_sums, perturb, quantile_bins,
+)
 from flowlucid.explain.summary import long_form, only_supported, shap_summary
 from flowlucid.explain.tree import (
     PairSums, _pair_rows, interaction_summary, node_table, stored_leaves, tree_paths, tree_shap, tree_shap_interactions,
@@ -265,21 +267,69 @@ def test_quantile_bins(spark):
 def test_perturbation_depends_on_the_row_only(bench):
     bins = bin_table(bench.x_train, len(bench.names))
     x = np.array(bench.x_test.select(vector_to_array("features")).first()[0])
-    a, b = perturb(7, x, bins, 50, 42), perturb(7, x, bins, 50, 42)
-    assert all((p == q).all() for p, q in zip(a, b))
+    a, b = perturb(7, x, bins, range(50), 42), perturb(7, x, bins, range(20, 50), 42)
+    assert all((p[20:] == q).all() for p, q in zip(a, b))
     assert (a[0][0] == 1).all() and (a[1][0] == x).all()
-    assert not (perturb(8, x, bins, 50, 42)[1] == a[1]).all()
-    # 0/1 slots stay 0/1.
+    assert not (perturb(8, x, bins, range(50), 42)[1] == a[1]).all()
+    # 0/1 slots stay 0/1, and every drawn value lies in its bin.
     assert set(np.unique(a[1][:, 9:])) <= {0.0, 1.0}
+    for j, slot in enumerate(bins):
+        low, high = min(slot["low"]), max(slot["high"])
+        assert ((a[1][1:, j] >= low) & (a[1][1:, j] <= high)).all()
+
+
+def test_draws_follow_the_bins():
+    slot = {"edges": np.array([0.0]), "bins": [0, 1], "share": [0.25, 0.75], "mean": [-1.0, 2.0], "std": [0.5, 0.1], "low": [-2.0, 1.5], "high": [0.0, 2.5]}
+    same, rows = perturb("a", np.array([1.0]), [slot], range(20_000), 1)
+    assert same[1:].mean() == pytest.approx(0.75, abs=0.01)
+    inside = rows[1:, 0][rows[1:, 0] > 0]
+    assert inside.mean() == pytest.approx(2.0, abs=0.01) and inside.std() == pytest.approx(0.1, abs=0.01)
+    assert condition("f", 1.0, slot) == "f > 0.00" and condition("f", -1.0, slot) == "f <= 0.00"
 
 
-def test_local_fit_recovers_a_linear_model():
+def plain_ridge(z, y, weight, alpha):
+    zc, yc = z - weight @ z / weight.sum(), y - weight @ y / weight.sum()
+    return np.linalg.solve(zc.T @ (zc * weight[:, None]) + alpha * np.eye(z.shape[1]), zc.T @ (weight * yc))
+
+
+def test_local_fit_from_sums():
     rng = np.random.default_rng(0)
     z = rng.integers(0, 2, (4000, 6)).astype(float)
     z[0] = 1
     effect = np.array([0.5, -0.3, 0.0, 0.1, 0.0, 0.0])
-    chosen, coef, _, quality = local_fit(z, 0.2 + z @ effect, 3)
+    y = 0.2 + z @ effect
+    whole = moment_sums(z, y)
+    assert np.allclose(whole, moment_sums(z[:1500], y[:1500]) + moment_sums(z[1500:], y[1500:]))
+    chosen, coef, intercept, quality = local_fit(whole, 3)
     assert list(chosen) == [0, 1, 3] and coef == pytest.approx([0.5, -0.3, 0.1], abs=0.01) and quality > 0.99
+    assert coef == pytest.approx(plain_ridge(z[:, chosen], y, line_weights(z), 1.0))
+    residual = y - intercept - z[:, chosen] @ coef
+    centred = y - line_weights(z) @ y / line_weights(z).sum()
+    assert quality == pytest.approx(1 - (line_weights(z) @ residual**2) / (line_weights(z) @ centred**2), abs=1e-9)
+
+
+def test_lime_gives_conditions_and_the_prediction(bench):
+    rows = bench.x_test.orderBy("uid").limit(2)
+    p = {r.uid: list(r.probability) for r in score(bench.model("dt_binary"), rows).collect()}
+    got = lime(bench.model("dt_binary"), bench.x_train, rows, bench.names, n_samples=2500, k=4).collect()
+    assert len(got) == 8
+    for r in got:
+        assert r.feature in r.condition and r.probabilities == pytest.approx(p[r.uid])
+        assert r.local_prediction == pytest.approx(r.intercept + sum(q.value for q in got if q.uid == r.uid))
+
+
+def test_array_and_transform_scores_give_the_same_sums(bench, monkeypatch):
+    from flowlucid.explain import lime as module
+
+    rows = bench.x_test.orderBy("uid").limit(2)
+    for name in ("dt_binary", "gnb_binary", "lr_tactic"):
+        def sums():
+            found = lime_moments(bench.model(name), bench.x_train, rows, len(bench.names), 1700)
+            return {(r.uid, r.i, r.j): r.total for r in found.collect()}
+        arrays = sums()
+        with monkeypatch.context() as m:
+            m.setattr(module, "_scorer", lambda *a: None)
+            assert sums() == pytest.approx(arrays)
 
 
 def test_lime_finds_the_deciding_feature(spark, bench):
