@@ -6,6 +6,8 @@ Gaussian naive Bayes are spelt out over the whole tables.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from .fixture import FLOW_EXPRESSIONS
 
 # Fixed values of the fixture: numeric columns and the categories of each one-hot column.
@@ -290,6 +292,13 @@ SELECT (SELECT uid FROM chosen) AS uid, a.c AS i, b.c AS j, round(sum(w * a.v *
 FROM columns_of a JOIN columns_of b ON a.line = b.line AND a.c <= b.c JOIN weights w ON w.line = a.line GROUP BY a.c, b.c"""
 
 
+def _weeks() -> str:
+    """A column for each of the five weeks the fixture's events lie in."""
+    first = date(2023, 12, 31)
+    titles = [f"{first + timedelta(7 * i)} - {first + timedelta(7 * i + 7)}" for i in range(5)]
+    return ", ".join(f"max(cell) FILTER (week = '{t}') AS \"{t}\"" for t in titles)
+
+
 def sql() -> dict[str, str]:
     vector_rows = " UNION ALL ".join(f"SELECT y, {i} AS slot, {f} AS v FROM x" for i, f in enumerate(VECTOR))
     return {
@@ -363,8 +372,7 @@ FROM ({_melt('x', 'WHERE is_test', VECTOR, 'uid, y AS cls')})""",
 SELECT label_technique AS label, cast({WEEK} AS varchar) AS week_start, count(*) AS n FROM flows GROUP BY 1, 2""",
         "weekly_bounds": f"WITH {BOUNDS} SELECT * REPLACE (cast(week_start AS varchar) AS week_start) FROM bounds",
         "weekly_sheet_long": _sheet("label_technique"),
-        "weekly_sheet": "SELECT name AS label_binary, * EXCLUDE (name) FROM (PIVOT ("
-                        f"{_sheet('label_binary')}) ON week USING first(cell) GROUP BY name)",
+        "weekly_sheet": f"SELECT name AS label_binary, {_weeks()} FROM ({_sheet('label_binary')}) GROUP BY name",
         "class_profile": f"""WITH {SPLIT}
 SELECT y, feature, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, count(v) AS n
 FROM ({_melt('train', '', NUMERIC, 'y')}) GROUP BY y, feature""",

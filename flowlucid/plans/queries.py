@@ -641,7 +641,8 @@ def _pdp_columns(w: Workbench) -> DataFrame:
 def pdp(w: Workbench) -> DataFrame:
     """All four binary models over one grid, in one pass."""
     models = {name: w.model(name) for name in ("rf_binary", "dt_binary", "lr_binary", "gnb_binary")}
-    return partial_dependence(models, w.x_test, w.names, [w.names.index(c) for c in PDP_FEATURES])
+    paths = {name: w.paths(name) for name in ("rf_binary", "dt_binary")}
+    return partial_dependence(models, w.x_test, w.names, [w.names.index(c) for c in PDP_FEATURES], paths=paths)
 
 
 @query("pdp_nb")

@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from flowlucid.explain.dependence import grid_values, partial_dependence
+from flowlucid.explain.dependence import dependence_by_transform, grid_values, partial_dependence
 from flowlucid.explain.importance import compare_importance, importance_values
 from flowlucid.explain.kernel import (
     Background, additive_kernel_shap, coalitions, kernel_shap, kernel_shap_by_transform, kmeans_background,
@@ -356,6 +356,17 @@ def test_dependence_of_a_flat_and_a_step_model(bench):
     assert values == sorted(values) and values[0] == 0.0 and values[-1] == 1.0
 
 
+def test_curves_on_arrays_equal_scoring_every_row(bench, small, forest):
+    models = {"dt": bench.model("dt_binary"), "lr": bench.model("lr_tactic"), "nb": bench.model("gnb_tactic"), "rf": fit_rf(bench.x_train, "y", numTrees=3, maxDepth=6)}
+    slot = {bench.names[i]: i for i in (0, 1, 8, 12)}
+    x = bench.x_test.select(vector_to_array("features").alias("x"))
+    for model in models.values():
+        got = partial_dependence({"m": model}, bench.x_test, bench.names, list(slot.values()), 7)
+        grids = {c: [r.grid_value for r in got.filter(F.col("feature") == c).orderBy("position").collect()] for c in slot}
+        expected = {(r.feature, r.position): r.avg_probability for r in dependence_by_transform({"m": model}, x, bench.names, slot, grids).collect()}
+        assert {(r.feature, r.position): r.avg_probability for r in got.collect()} == pytest.approx(expected, abs=1e-9)
+
+
 def test_grid(spark):
     rows = spark.createDataFrame([(float(i), float(i % 3)) for i in range(1001)], "many double, few double")
     grids = grid_values(rows, ["many", "few"], 100)
