@@ -292,6 +292,30 @@ SELECT (SELECT uid FROM chosen) AS uid, a.c AS i, b.c AS j, round(sum(w * a.v *
 FROM columns_of a JOIN columns_of b ON a.line = b.line AND a.c <= b.c JOIN weights w ON w.line = a.line GROUP BY a.c, b.c"""
 
 
+def _perfect(name: str, label: str, source: str) -> str:
+    """The report of predictions that are all right."""
+    columns = f"SELECT {name}"
+    return f"""{columns}'class' AS kind, {label} AS "class", 1.0::double AS "precision", 1.0::double AS recall, 1.0::double AS f1, count(*) AS support FROM {source} GROUP BY {label}
+UNION ALL {columns}'summary', unnest(['macro avg', 'weighted avg']), 1.0, 1.0, 1.0, (SELECT count(*) FROM {source})
+UNION ALL {columns}'summary', 'accuracy', NULL, NULL, 1.0, (SELECT count(*) FROM {source})"""
+
+
+def _split_gains() -> str:
+    """Impurity before and after for every slot."""
+    def side(where: str) -> str:
+        return f"sum(w) FILTER ({where}) - (sum(w * r) FILTER ({where}) ^ 2 + sum(w * (1 - r)) FILTER ({where}) ^ 2) / sum(w) FILTER ({where})"
+
+    parts = " UNION ALL ".join(f"SELECT {i} AS slot, rule AS r, 1.0::double AS w, {c} > {0.05 if c in NUMERIC else 0.5} AS up FROM x JOIN rules USING (uid) WHERE NOT is_test" for i, c in enumerate(VECTOR))
+    return f"""WITH {ENCODED},
+rules AS (SELECT uid, CASE WHEN conn_state = 'SF' AND proto <> 'icmp' THEN 1 ELSE 0 END AS rule FROM split),
+cells AS ({parts})
+SELECT slot, round(({side('true')} - ({side('up')}) - ({side('NOT up')})) / sum(w), 9) AS gain FROM cells GROUP BY slot"""
+
+
+WEIGHTED = """sizes AS (SELECT y, count(*) AS n FROM train GROUP BY y),
+weighted AS (SELECT s.*, (SELECT sum(n) FROM sizes) / (2 * n) AS w FROM train s JOIN sizes USING (y))"""
+
+
 def _weeks() -> str:
     """A column for each of the five weeks the fixture's events lie in."""
     first = date(2023, 12, 31)
@@ -434,6 +458,31 @@ SELECT uid, round(pair, 9) + 0.0 AS "between", round(pair, 9) + 0.0 AS between_b
         "tree_shap_rf_rule": f"WITH {RULE} SELECT uid, rule FROM games",
         "kernel_shap_model_total": f"WITH {RULE} SELECT uid, cast(rule AS double) AS p_rule FROM games",
         "kernel_shap_rule": _rule_kernel(),
+        "hier_rule": f"""WITH {SPLIT},
+kinds AS (
+  SELECT CASE WHEN conn_state = 'SF' THEN 'open' ELSE 'other' END AS tactic, CASE WHEN proto = 'icmp' THEN 'T1' ELSE 'T2' END AS technique FROM test),
+joined AS (SELECT tactic, tactic || ' - ' || technique AS joint FROM kinds)
+""" + _perfect("'joint' AS level, ", "joint", "joined") + "\nUNION ALL " + _perfect("'tactic' AS level, ", "tactic", "joined"),
+        "balanced_rf_rule": f"""WITH {RULE}, named AS (SELECT CASE WHEN rule = 1 THEN 'yes' ELSE 'no' END AS name FROM games)
+{_perfect('', 'name', 'named')}""",
+        "train_all_rule": f"""WITH {RULE}, named AS (SELECT CASE WHEN rule = 1 THEN 'yes' ELSE 'no' END AS name FROM games),
+report AS ({_perfect('', 'name', 'named')})
+SELECT model, 'ok' AS status, report.* FROM report, (SELECT unnest(['forest', 'tree', 'logistic']) AS model)
+UNION ALL SELECT 'broken', 'failed: ValueError: no fit', NULL, NULL, NULL, NULL, NULL, NULL""",
+        "dt_stump": f"""WITH {RULE}
+SELECT uid, rule AS label, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction, round(p, 9) AS p_rule
+FROM (SELECT g.uid, rule, CASE WHEN f.a = 1 THEN pb ELSE 0 END AS p FROM games g JOIN flags f ON g.uid = f.uid, shares)""",
+        "importance_stump": " UNION ALL ".join(
+            f"SELECT '{f}' AS feature, {float(f == 'conn_state_SF')}::double AS importance" for f in VECTOR),
+        "split_gains": _split_gains(),
+        "lr_gradient": f"WITH {ENCODED},\n{WEIGHTED},\nrows_of AS (SELECT x.*, w FROM x JOIN weighted USING (uid))\n" + " UNION ALL ".join(
+            f"SELECT '{n}' AS feature, round(sum(w * r.y * {v}) / count(*), 4) + 0.0 AS moment FROM rows_of r"
+            for n, v in [*((f, f) for f in VECTOR), ("intercept", "1.0::double")]),
+        "lr_closed_form": f"""WITH {SPLIT},
+{WEIGHTED},
+known AS (SELECT conn_state, sum(w * y) / sum(w) AS p FROM weighted GROUP BY conn_state)
+SELECT uid, round(p, 3) AS p_attack FROM test JOIN known USING (conn_state)""",
+        "kmeans_background_values": f"""SELECT unnest(range({len(VECTOR)})) AS slot, 100 AS n_centres, 0 AS n_missing, 1.0::double AS weight""",
         "pdp_rule": f"""WITH {RULE},
 test_shares AS (SELECT avg(a) AS pa, avg(b) AS pb FROM flags WHERE is_test)
 SELECT 'conn_state_SF' AS feature, 0.0::double AS grid_value, 0.0::double AS avg_probability

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import scratch_dir, small_table
 from ..explain.dependence import partial_dependence, pdp_grid
-from ..explain.importance import compare_importance, feature_importance
+from ..explain.importance import compare_importance, feature_importance, lr_gradient, split_gains
 from ..explain.kernel import additive_kernel_shap, kernel_shap, kmeans_background, row_background
 from ..explain.lime import lime, lime_moments, quantile_bins
 from ..explain.summary import long_form, only_supported, shap_points, shap_summary
 from ..explain.tree import interaction_summary, tree_shap, tree_shap_interactions
 from ..functions import encode_binary, joint_label, safe_div, tactic_of
 from ..operators.models import (
-    ModelSpec, default_specs, fit_dt, fit_gnb, hierarchical_report, report_predictions, score, train_all, train_missing,
+    ModelSpec, default_specs, fit_balanced_rf, fit_dt, fit_gnb, fit_hierarchical, fit_lr, fit_rf, hierarchical_report,
+    report_predictions, score, train_all, train_missing,
 )
 from ..operators.prep import impute_mean, impute_mode, with_class_weight
 from ..operators.report import classification_report, confusion, confusion_wide
@@ -470,6 +472,70 @@ def balanced_rf(w: Workbench) -> DataFrame:
     return classification_report(predictions, labels=range(len(w.tactics)), names=w.tactics)
 
 
+@query("hier_rule")
+def hier_rule(w: Workbench) -> DataFrame:
+    """Both reports of a forest on labels that follow from the features: every score is one."""
+    rows = w.two_levels
+    model = fit_hierarchical(rows.filter(~F.col("is_test")))
+    return rounded(hierarchical_report(model.predict(rows.filter("is_test"))))
+
+
+@query("balanced_rf_rule")
+def balanced_rf_rule(w: Workbench) -> DataFrame:
+    predictions = score(fit_balanced_rf(w.x_train, "rule"), w.x_test, "rule")
+    return rounded(classification_report(predictions, labels=range(2), names=["no", "yes"]))
+
+
+@query("train_all_rule")
+def train_all_rule(w: Workbench) -> DataFrame:
+    """Status and report of three models that learn the rule and of one that cannot be fitted."""
+    def broken(df: DataFrame, label: str):
+        raise ValueError("no fit")
+
+    specs = [ModelSpec("forest", fit_rf), ModelSpec("broken", broken), ModelSpec("tree", fit_dt), ModelSpec("logistic", fit_lr)]
+    result = train_all(specs, w.x_train, w.x_test, "rule")
+    return rounded(result.status.join(report_predictions(result.predictions, ["no", "yes"]), "model", "left"))
+
+
+@query("dt_stump")
+def dt_stump(w: Workbench) -> DataFrame:
+    """Class and probability of a tree of one split."""
+    scored = score(w.model("stump_rule"), w.x_test, "rule")
+    return scored.select("uid", "label", "prediction", F.round(F.get("probability", F.lit(1)), 9).alias("p_rule"))
+
+
+@query("importance_stump")
+def importance_stump(w: Workbench) -> DataFrame:
+    return rounded(feature_importance(w.spark, w.model("stump_rule"), w.names))
+
+
+@query("split_gains")
+def split_gain_table(w: Workbench) -> DataFrame:
+    """The exact gain of splitting all train rows just above the mean of scaled slots, or between 0 and 1."""
+    cuts = {i: [0.05 if n in NUMERIC else 0.5] for i, n in enumerate(w.names)}
+    gains = split_gains(w.x_train, "rule", cuts)
+    return gains.select("slot", F.round("gain", 9).alias("gain"))
+
+
+@query("lr_gradient")
+def lr_gradient_sums(w: Workbench) -> DataFrame:
+    """What the fitted probabilities add up to by feature, which at the optimum is what the labels do."""
+    rows = with_class_weight(w.x_train, "y")
+    sums = lr_gradient(w.model("lr_binary"), rows, "y", F.col("weight"), w.names)
+    n = w.x_train.count()
+    return sums.select("feature", (F.round(F.col("fitted") / n, 4) + F.lit(0.0)).alias("moment"))
+
+
+@query("lr_closed_form")
+def lr_closed_form(w: Workbench) -> DataFrame:
+    """A hardly penalised fit on one categorical column: its probabilities are weighted class shares."""
+    slots = [i for i, n in enumerate(w.names) if n.startswith("conn_state_")]
+    part = VectorSlicer(inputCol="all", outputCol="features", indices=slots)
+    train = part.transform(w.x_train.select("uid", "y", F.col("features").alias("all")))
+    scored = score(fit_lr(train, "y", C=1e9), part.transform(w.x_test.select("uid", "y", F.col("features").alias("all"))))
+    return scored.select("uid", F.round(F.get("probability", F.lit(1)), 3).alias("p_attack"))
+
+
 # Explanations ----------------------------------------------------------------------------
 
 
@@ -595,6 +661,18 @@ def kmeans_background_centres(w: Workbench) -> DataFrame:
     return small_table(w.spark, rows, "centre int, weight double, x array<double>")
 
 
+@query("kmeans_background_values")
+def kmeans_background_values(w: Workbench) -> DataFrame:
+    """By feature: coordinates of centres that occur nowhere in the train rows, and the centres' whole weight."""
+    background = kmeans_background(w.x_train, 100)
+    centres = small_table(w.spark, [(j, float(v)) for x in background.x for j, v in enumerate(x)], "slot int, v double")
+    known = w.x_train.select(F.posexplode(vector_to_array("features")).alias("slot", "v")).distinct().withColumn("known", F.lit(True))
+    missing = centres.join(known, ["slot", "v"], "left").groupBy("slot").agg(
+        F.count(F.lit(1)).alias("n_centres"), F.sum(F.when(F.col("known"), 0).otherwise(1)).alias("n_missing"),
+    )
+    return missing.withColumn("weight", F.lit(round(float(background.weight.sum()), 9)))
+
+
 @query("shap_global")
 def shap_global(w: Workbench) -> DataFrame:
     return rounded(shap_summary(_fixed_attributions(w), w.names))

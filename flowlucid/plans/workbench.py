@@ -91,6 +91,13 @@ class Workbench:
     def x_test(self) -> DataFrame:
         return self.encoded.filter("is_test")
 
+    @cached_property
+    def two_levels(self) -> DataFrame:
+        """The encoded rows with labels of two levels that are functions of the features."""
+        kinds = self.split.select("uid", F.expr("case when conn_state = 'SF' then 'open' else 'other' end").alias("label_tactic"),
+                                  F.expr("case when proto = 'icmp' then 'T1' else 'T2' end").alias("label_technique"))
+        return self.encoded.drop("label_tactic", "label_technique").join(kinds, "uid").persist(StorageLevel.MEMORY_AND_DISK)
+
     def model(self, name: str) -> Model | HierarchicalModel:
         fits = {
             "rf_binary": lambda: fit_rf(self.x_train, "y"),
@@ -104,6 +111,7 @@ class Workbench:
             "rf_rule": lambda: fit_rf(self.x_train, "rule"),
             "dt_rule": lambda: fit_dt(self.x_train, "rule"),
             "lr_rule": lambda: fit_lr(self.x_train, "rule"),
+            "stump_rule": lambda: fit_dt(self.x_train, "rule", maxDepth=1),
             "hierarchical": lambda: fit_hierarchical(self.x_train),
             "balanced_rf": lambda: fit_balanced_rf(self.x_train, "tactic_idx"),
         }

@@ -9,10 +9,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from flowlucid.explain.dependence import dependence_by_transform, grid_values, partial_dependence
-from flowlucid.explain.importance import compare_importance, importance_values
+from flowlucid.explain.importance import compare_importance, importance_values, lr_gradient, split_gains
 from flowlucid.explain.kernel import (
     Background, additive_kernel_shap, coalitions, kernel_shap, kernel_shap_by_transform, kmeans_background,
-    regression_map, row_background,
+    nearest_values, regression_map, row_background,
 )
 from flowlucid.explain.lime import (
     bin_table, condition, lime, lime_moments, line_weights, local_fit, moment_sums, perturb, quantile_bins,
@@ -383,3 +383,39 @@ def test_importance(spark, bench):
     table = compare_importance(spark, models, bench.names).collect()
     assert len(table) == 4 * len(bench.names)
     assert {r.rank for r in table if r.model == "lr"} == set(range(1, len(bench.names) + 1))
+
+
+def test_split_gains_against_plain_counts(small):
+    rows = small.select("y", vector_to_array("features").alias("x"), "w").collect()
+    cuts = {0: [-0.5, 0.4], 4: [0.5], 2: [9.0]}
+    got = {(r.slot, r.threshold): r.gain for r in split_gains(small, "y", cuts, F.col("w")).collect()}
+
+    def impurity(part):
+        total = sum(r.w for r in part)
+        return total - sum(sum(r.w for r in part if r.y == c) ** 2 for c in range(3)) / total if total else 0.0
+
+    for slot, many in cuts.items():
+        for t in many:
+            sides = [[r for r in rows if (r.x[slot] > t) == up] for up in (False, True)]
+            assert got[slot, t] == pytest.approx((impurity(rows) - sum(map(impurity, sides))) / sum(r.w for r in rows))
+
+
+def test_centres_get_values_of_their_columns(small):
+    x = np.array([r.x for r in small.select(vector_to_array("features").alias("x")).collect()])
+    centres = np.vstack([np.linspace(-3, 3, M), np.zeros(M), np.full(M, 50.0), np.full(M, 0.5)])
+    moved = nearest_values(small.repartition(3), centres)
+    for j in range(M):
+        for c, v in zip(centres[:, j], moved[:, j], strict=True):
+            assert v in x[:, j] and abs(v - c) == pytest.approx(np.abs(x[:, j] - c).min())
+
+
+def test_gradient_vanishes_at_the_optimum_only(bench):
+    from flowlucid.operators.prep import with_class_weight
+
+    rows, n = with_class_weight(bench.x_train, "y"), bench.x_train.count()
+    for C, limit in ((1.0, 1e-4), (0.01, 1e-4)):
+        model = fit_lr(bench.x_train, "y", C=C)
+        for r in lr_gradient(model, rows, "y", F.col("weight"), bench.names, C).collect():
+            assert abs(r.fitted - r.wanted) / n < limit
+    off = [abs(r.fitted - r.wanted) / n for r in lr_gradient(model, rows, "y", F.col("weight"), bench.names, 1.0).collect()]
+    assert max(off) > 1e-3
