@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..config import scratch_dir, ship_package
 from .frames import dropping, schema_with
-from .repeats import DEPTH, LOCAL_BYTES, RECORD, combined, grouped_repeats, record_batch, row_tag, times_met, with_cuts
+from .repeats import DEPTH, RECORD, combined, grouped_repeats, record_batch, row_tag, times_met, with_cuts
 from .sketch import cell_bits, count_sketch, may_have, text_bytes
 from .text import VALUES, Texts, blocks, mix, range_hashes
 
@@ -40,6 +40,8 @@ TRIGGER_BYTES = 8
 #: Mean bytes from one trigger to the next.
 PHRASE_BYTES = 16
 CELLS_EACH = 8
+#: Bytes of text parsed at once; a parse takes some eighty times as much.
+PARSED_BYTES = 2 << 20
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -135,7 +137,7 @@ def repeated_starts(docs: DataFrame, width: int, phrase: int = PHRASE_BYTES, tex
     bits = cell_bits(size / phrase, CELLS_EACH)
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Parse]]:
-        for batch in blocks(batches, text, LOCAL_BYTES):
+        for batch in blocks(batches, text, PARSED_BYTES):
             yield batch, Parse.of(Texts.of(batch.column(text)), width, phrase)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -192,8 +194,7 @@ def repeated_starts(docs: DataFrame, width: int, phrase: int = PHRASE_BYTES, tex
     # twice, as it is known to repeat, and sent once from each batch.
     def met(p: Parse, at: np.ndarray, own: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         k1 = string_keys(p, at)
-        some = own | may_have(asked.value, k1, wide, DEPTH)
-        some[some] = may_have(sketch, k1[some], wide, DEPTH)
+        some = may_have(sketch, k1, wide, DEPTH)
         other = np.flatnonzero(some & ~own)
         other = other[np.unique(k1[other], return_index=True)[1]]
         some &= own
@@ -206,6 +207,8 @@ def repeated_starts(docs: DataFrame, width: int, phrase: int = PHRASE_BYTES, tex
             yield np.concatenate([k1, k1[~own]])
 
     wanted = spark.sparkContext.broadcast(count_sketch(docs.select(text), counted, wide, DEPTH, 2))
+    # What is wanted was asked for; a settled string taken for one is known to repeat anyway.
+    asked.unpersist()
 
     def suffix_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, p, at, own in suffixes(batches):
