@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
 import uuid
@@ -63,6 +64,13 @@ def remove_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs whose results are written: its cleaner does so
+    once the driver has collected their plans, which may otherwise take long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def list_files(spark: SparkSession, path: str) -> list[str]:
     """The data files of a written table, on whatever store it lies."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
