@@ -30,7 +30,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import scratch_dir, ship_package
+from ..config import release_shuffles, scratch_dir, ship_package
 from .frames import dropping, schema_with
 from .repeats import DEPTH, RECORD, combined, grouped_repeats, record_batch, row_tag, times_met, with_cuts
 from .sketch import cell_bits, count_sketch, may_have, text_bytes
@@ -42,6 +42,8 @@ PHRASE_BYTES = 16
 CELLS_EACH = 8
 #: Bytes of text parsed at once; a parse takes some eighty times as much.
 PARSED_BYTES = 2 << 20
+#: Hashes a task counts at a time.
+COUNTED = 1_000_000
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -143,7 +145,7 @@ def repeated_starts(docs: DataFrame, width: int, phrase: int = PHRASE_BYTES, tex
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         return (p.phrase_hashes() for _, p in parsed(batches))
 
-    dictionary = spark.sparkContext.broadcast(count_sketch(docs.select(text), phrases, bits, 1, 2))
+    dictionary = spark.sparkContext.broadcast(count_sketch(docs.select(text), phrases, bits, 1, 2, COUNTED))
 
     def open_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch, p in parsed(batches):
@@ -161,13 +163,14 @@ def repeated_starts(docs: DataFrame, width: int, phrase: int = PHRASE_BYTES, tex
         F.when(met_once, F.col("k1")).alias("single"), *[F.when(~met_once, F.col(c)).alias(c) for c in ("doc_id", "row", "place")],
     ).write.option("compression", "zstd").parquet(path)
     settled = spark.read.parquet(path)
+    release_shuffles(spark)
     singles = settled.filter("single is not null").select("single")
     few = cell_bits(singles.count(), 16)
 
     def single_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         return (b.column(0).to_numpy().view(np.uint64) for b in batches)
 
-    single = spark.sparkContext.broadcast(count_sketch(singles, single_keys, few, 1, 1))
+    single = spark.sparkContext.broadcast(count_sketch(singles, single_keys, few, 1, 1, COUNTED))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Open starts in batches, and which of them lie in single blocks."""
@@ -188,7 +191,7 @@ def repeated_starts(docs: DataFrame, width: int, phrase: int = PHRASE_BYTES, tex
     def single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         return (string_keys(p, at[own]) for _, p, at, own in suffixes(batches))
 
-    asked = spark.sparkContext.broadcast(count_sketch(docs.select(text), single_strings, wide, DEPTH, 1))
+    asked = spark.sparkContext.broadcast(count_sketch(docs.select(text), single_strings, wide, DEPTH, 1, COUNTED))
 
     # A string of a single block may also stand in a settled block. That one is counted
     # twice, as it is known to repeat, and sent once from each batch.
@@ -206,7 +209,7 @@ def repeated_starts(docs: DataFrame, width: int, phrase: int = PHRASE_BYTES, tex
             _, k1, own = met(p, at, own, asked.value)
             yield np.concatenate([k1, k1[~own]])
 
-    wanted = spark.sparkContext.broadcast(count_sketch(docs.select(text), counted, wide, DEPTH, 2))
+    wanted = spark.sparkContext.broadcast(count_sketch(docs.select(text), counted, wide, DEPTH, 2, COUNTED))
     # What is wanted was asked for; a settled string taken for one is known to repeat anyway.
     asked.unpersist()
 
@@ -216,8 +219,13 @@ def repeated_starts(docs: DataFrame, width: int, phrase: int = PHRASE_BYTES, tex
             if len(at):
                 yield _records(batch, id_, p.texts, *p.keys(at, at + width), at, at + 1, np.where(own, 1, 2))
 
-    strings = grouped_repeats(source.mapInArrow(suffix_records, RECORD))
-    return settled.filter("single is null").select("doc_id", "row", "place").unionByName(strings)
+    strings, found = grouped_repeats(source.mapInArrow(suffix_records, RECORD)), scratch_dir(spark, "strings")
+    strings.write.option("compression", "zstd").parquet(found)
+    del strings
+    for sketch in (dictionary, single, wanted):
+        sketch.unpersist()
+    release_shuffles(spark)
+    return settled.filter("single is null").select("doc_id", "row", "place").unionByName(spark.read.parquet(found))
 
 
 def without_repeated_bytes(docs: DataFrame, width: int = 200, phrase: int = PHRASE_BYTES, text: str = "text", id_: str = "doc_id") -> DataFrame:

@@ -51,11 +51,12 @@ def _cells(hashes: np.ndarray, bits: int, row: int) -> np.ndarray:
     return (mix(hashes + np.uint64(0x9E37 * (row + 1))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def count_sketch(docs: DataFrame, hashes: Hashes, bits: int, depth: int, least: int) -> np.ndarray:
+def count_sketch(docs: DataFrame, hashes: Hashes, bits: int, depth: int, least: int, most: int = _PENDING) -> np.ndarray:
     """Packed bits of the cells that at least ``least`` (1 or 2) of the hashes fall into.
 
     Each of the ``depth`` hash functions has ``2^bits / depth`` cells or, for a depth of
-    one, all; ``hashes`` runs in tasks and yields arrays of 64-bit hashes.
+    one, all; ``hashes`` runs in tasks and yields arrays of 64-bit hashes, of which a task
+    counts about ``most`` at a time.
     """
     own = bits - (depth - 1).bit_length()
 
@@ -74,7 +75,7 @@ def count_sketch(docs: DataFrame, hashes: Hashes, bits: int, depth: int, least:
         for found in hashes(batches):
             pending.append(found)
             n += len(found)
-            if n > _PENDING:
+            if n > most:
                 yield from part(pending)
                 pending, n = [], 0
         yield from part(pending)
