@@ -431,6 +431,7 @@ for _name in ("rf", "dt", "lr", "gnb"):
     _model_query(f"{_name}_tactic", "tactic_idx")
 for _name in ("rf", "dt", "lr"):
     _model_query(f"{_name}_rule", "rule")
+_model_query("rf_signal", "signal")
 
 
 @query("predict")
@@ -596,6 +597,28 @@ def tree_shap_rule(w: Workbench) -> DataFrame:
     return values.select("uid", "feature", (F.round("value", 9) + F.lit(0.0)).alias("value"))
 
 
+@query("tree_shap_rf_signal")
+def tree_shap_rf_signal(w: Workbench) -> DataFrame:
+    return long_form(_tree_attributions(w, "rf_signal", 1), w.names)
+
+
+@query("tree_shap_interaction_signal")
+def tree_shap_interaction_signal(w: Workbench) -> DataFrame:
+    return interaction_summary(w.model("rf_signal"), w.x_test, 1, paths=w.paths("rf_signal"))
+
+
+@query("lime_signal")
+def lime_signal(w: Workbench) -> DataFrame:
+    return lime(w.model("rf_signal"), w.x_train, nth_row(w.x_test, 50), w.names, paths=w.paths("rf_signal"))
+
+
+@query("pdp_signal")
+def pdp_signal(w: Workbench) -> DataFrame:
+    models = {name: w.model(name) for name in ("rf_signal", "dt_signal", "lr_signal", "gnb_signal")}
+    paths = {name: w.paths(name) for name in ("rf_signal", "dt_signal")}
+    return partial_dependence(models, w.x_test, w.names, [w.names.index(c) for c in PDP_FEATURES], paths=paths)
+
+
 @query("tree_shap_rf_rule")
 def tree_shap_rf_rule(w: Workbench) -> DataFrame:
     """Base plus attributions of a forest of 100 trees: its probability, which is the rule."""
