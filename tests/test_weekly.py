@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from flowlucid.config import scratch_dir
@@ -26,11 +27,56 @@ WEEKS = [
     ("2022-10-23", "2022-10-23 22:07:45.793000", "2022-10-23 22:07:45.793000", {"Duplicate": 2, "True": 3}),
 ]
 
+# Rows per tactic and per technique in each week that has any.
+TACTICS = {
+    "Collection": {"2022-10-02": 1},
+    "Command and Control": {"2022-09-25": 17},
+    "Credential Access": {"2022-10-02": 1},
+    "Defense Evasion": {"2022-08-28": 3061, "2022-10-16": 2, "2022-10-23": 1},
+    "Discovery": {"2022-09-11": 16809, "2022-09-25": 10},
+    "Execution": {"2022-09-18": 5, "2022-09-25": 2, "2022-10-02": 3, "2022-10-09": 17, "2022-10-16": 3},
+    "Initial Access": {"2022-09-25": 14, "2022-10-16": 5},
+    "Lateral Movement": {"2022-09-25": 11},
+    "Persistence": {"2022-09-25": 2, "2022-10-16": 6, "2022-10-23": 2},
+    "Privilege Escalation": {"2022-08-28": 3061, "2022-10-16": 3, "2022-10-23": 2},
+    "Reconnaissance": {"2022-08-28": 41105, "2022-09-04": 1762, "2022-09-11": 62, "2022-09-18": 8553, "2022-09-25": 10},
+    "Resource Development": {"2022-09-18": 275446, "2022-10-09": 22, "2022-10-16": 3},
+    "none": {"2021-12-12": 20745, "2021-12-19": 97807, "2021-12-26": 98290, "2022-01-02": 133497},
+}
+TECHNIQUES = {
+    "Duplicate": {"2022-08-28": 3061, "2022-09-25": 1, "2022-10-02": 1, "2022-10-16": 3, "2022-10-23": 2},
+    "T1046": {"2022-09-11": 16809, "2022-09-25": 10},
+    "T1059": {"2022-10-02": 3, "2022-10-16": 2},
+    "T1071": {"2022-09-25": 14},
+    "T1112": {"2022-10-16": 2, "2022-10-23": 1},
+    "T1133": {"2022-09-25": 1},
+    "T1136": {"2022-10-16": 3},
+    "T1190": {"2022-09-25": 3, "2022-10-16": 5},
+    "T1203": {"2022-10-09": 17, "2022-10-16": 1},
+    "T1204": {"2022-09-18": 5, "2022-09-25": 2},
+    "T1210": {"2022-09-25": 11},
+    "T1505": {"2022-09-25": 1},
+    "T1546": {"2022-10-23": 1},
+    "T1547": {"2022-10-16": 3, "2022-10-23": 1},
+    "T1548": {"2022-08-28": 3061},
+    "T1557": {"2022-10-02": 1},
+    "T1566": {"2022-09-25": 10},
+    "T1571": {"2022-09-25": 3},
+    "T1587": {"2022-09-18": 275446, "2022-10-09": 22, "2022-10-16": 3},
+    "T1589": {"2022-08-28": 264, "2022-09-04": 27, "2022-09-25": 1},
+    "T1590": {"2022-08-28": 20364, "2022-09-04": 816, "2022-09-18": 28},
+    "T1592": {"2022-08-28": 20477, "2022-09-04": 919, "2022-09-25": 9},
+    "T1595": {"2022-09-11": 62, "2022-09-18": 8525},
+    "none": {"2021-12-12": 20745, "2021-12-19": 97807, "2021-12-26": 98290, "2022-01-02": 133497},
+}
 
-def published_rows(spark):
+
+def published_rows(spark, sheet=None):
     """Rows spread evenly between each week's first and last record."""
     table = []
-    for _, first, last, labels in WEEKS:
+    for week, first, last, labels in WEEKS:
+        if sheet:
+            labels = {name: weeks[week] for name, weeks in sheet.items() if week in weeks}
         total, offset = sum(labels.values()), 0
         for label, n in sorted(labels.items()):
             table.append((first, last, label, offset, n, total))
@@ -61,6 +107,23 @@ def test_published_sheet(spark):
         assert bounds[week].total == sum(labels.values())
 
 
+@pytest.mark.parametrize("label, sheet", [("label_tactic", TACTICS), ("label_technique", TECHNIQUES)])
+def test_published_tactics_and_techniques(spark, label, sheet):
+    rows = published_rows(spark, sheet).withColumnRenamed("label_binary", label)
+    counts = {(r.label, str(r.week_start)): r.n for r in weekly_counts(rows, label).collect()}
+    assert counts == {(name, week): n for name, weeks in sheet.items() for week, n in weeks.items()}
+    assert sum(counts.values()) == 700_340
+    wide = weekly_sheet(rows, label)
+    lines = {r[0]: r for r in wide.collect()}
+    assert list(lines) == sorted([*sheet, "dt_first_record", "dt_last_record", "dt_week_end", "dt_week_start", "total_record_count"])
+    for name, weeks in sheet.items():
+        for (week, first, last, labels), title, cell in zip(WEEKS, wide.columns[1:], lines[name][1:], strict=True):
+            assert title.startswith(week) and cell == (str(weeks[week]) if week in weeks else None)
+    for i, (_, first, last, labels) in enumerate(WEEKS, 1):
+        assert lines["dt_first_record"][i] == first and lines["dt_last_record"][i] == last
+        assert lines["total_record_count"][i] == str(sum(labels.values()))
+
+
 def test_sheet_layout_and_csv(spark):
     rows = published_rows(spark)
     sheet = weekly_sheet(rows, "label_binary")
