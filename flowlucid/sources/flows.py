@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import list_files
 from ..functions import week_start
 from ..schema import FLOW_SCHEMA
 
@@ -30,10 +33,10 @@ def read_flows(
 ) -> DataFrame:
     """All weekly directories matching the globs as one table with canonical types.
 
-    Directories of one schema are read as one scan. Where weeks differ in types or
-    columns each differing group is cast on its own, so a wider type in one week does
-    not force a slow reader on the rest. To tell them apart one file of each directory is
-    opened; with a declared ``schema``, which all files must then have, none is.
+    Files whose common columns have one type are read as one scan. Where types differ each
+    group of files is cast on its own, so a wider type in one week does not force a slow
+    reader on the rest. The footers of all files are read by Spark jobs (see ``schema_groups``);
+    with a declared ``schema``, which all files must then have, none is opened.
     """
     patterns = [patterns] if isinstance(patterns, str) else patterns
     directories = matching_directories(spark, patterns, exclude)
@@ -46,13 +49,45 @@ def read_flows(
         reader = reader.option("basePath", parents.pop())
     if schema is not None:
         return canonical(reader.schema(schema).parquet(*directories))
-    groups: dict[str, list[str]] = {}
-    for directory in directories:
-        groups.setdefault(reader.parquet(directory).schema.json(), []).append(directory)
-    parts = [canonical(reader.parquet(*group)) for group in groups.values()]
+    parts = [canonical(reader.schema(found).parquet(*paths)) for found, paths in schema_groups(spark, reader, directories)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def schema_groups(spark: SparkSession, reader: DataFrameReader, directories: list[str]) -> list[tuple[T.StructType, list[str]]]:
+    """Directories, or files of a mixed directory, by merged schema: each column of a group has one type.
+
+    Spark merges the footers of all files in one job. Only where types differ the list is
+    halved and each half is merged on its own; a directory that still differs is
+    halved by files. Weeks are in order of time, as are changes of types, so n
+    directories with g changes take about g * log2(n) jobs. Groups whose common columns agree
+    are then put together.
+    """
+    merging, groups = reader.option("mergeSchema", True), []
+    waiting = [directories]
+    while waiting:
+        paths = waiting.pop()
+        try:
+            found = merging.parquet(*paths).schema
+        except (PySparkException, Py4JJavaError) as error:  # the second where a footer job's error comes as it is
+            if "CANNOT_MERGE_SCHEMAS" not in str(error):
+                raise
+            if len(paths) == 1:
+                paths = list_files(spark, paths[0])
+            if len(paths) == 1:
+                raise
+            waiting += [paths[len(paths) // 2:], paths[:len(paths) // 2]]
+            continue
+        for i, (known, members) in enumerate(groups):
+            types = {f.name.lower(): f.dataType for f in known}
+            if all(types.get(f.name.lower(), f.dataType) == f.dataType for f in found):
+                added = [f for f in found if f.name.lower() not in types]
+                groups[i] = (T.StructType([*known.fields, *added]), members + paths)
+                break
+        else:
+            groups.append((found, paths))
+    return groups
+
+
 def canonical(df: DataFrame) -> DataFrame:
     """Known columns cast to their canonical type; other columns are kept as they are."""
     known = {f.name: f.dataType for f in FLOW_SCHEMA}

@@ -1,10 +1,13 @@
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from flowlucid.config import scratch_dir
 from flowlucid.operators.summary import first_n, label_index, nth_row, select_model_columns, shape
 from flowlucid.schema import FLOW_SCHEMA
 from flowlucid.sources import load_predictions, read_flows, save_predictions, write_weekly_flows
+from flowlucid.sources.flows import schema_groups
 
 
 def test_weekly_directories_round_trip(spark, bench):
@@ -34,6 +37,27 @@ def test_weeks_of_different_types_and_excluded_directories(spark):
         read_flows(spark, f"{root}/1999*")
 
 
+def test_files_of_different_types_in_one_directory(spark):
+    root = scratch_dir(spark, "mixed_files")
+    for week in range(9):
+        kind = "int" if week < 5 else "bigint"
+        spark.sql(f"SELECT {week}L AS uid, cast({week} AS {kind}) AS orig_pkts").coalesce(1).write.parquet(f"{root}/2022-01-0{week + 1}")
+    spark.sql("SELECT 20L AS uid, 1.5D AS orig_pkts, 'new' AS note").coalesce(1).write.mode("append").parquet(f"{root}/2022-01-03")
+    spark.sql("SELECT 21L AS uid, 3 AS orig_pkts, 'late' AS note").coalesce(1).write.mode("append").parquet(f"{root}/2022-01-02")
+    rows = read_flows(spark, f"{root}/2022*")
+    want = {(w, w, None) for w in range(9)} | {(20, 1, "new"), (21, 3, "late")}
+    assert {tuple(r) for r in rows.select("uid", "orig_pkts", "note").collect()} == want
+    found = schema_groups(spark, spark.read, sorted({f"{root}/2022-01-0{w + 1}" for w in range(9)}))
+    assert len(found) == 3 and sum(len(paths) for _, paths in found) == 10
+
+
+def test_unreadable_footer_is_an_error(spark, tmp_path):
+    (tmp_path / "2022").mkdir()
+    (tmp_path / "2022" / "a.parquet").write_bytes(b"no table at all")
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        read_flows(spark, f"{tmp_path}/2022")
+
+
 def plan(df):
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
