@@ -1,16 +1,20 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 A vector is described by its nearest reference points in order. Similar vectors have
-nearly the same ones, so the index keeps inverted lists: one for each set of ``SHARED``
-pivots, with the vectors that have all of them among their nearest. Two vectors meet if
+nearly the same ones, so the index keeps inverted lists: one for each set of some (one to
+six) pivots, with the vectors that have all of them among their nearest. Two vectors meet if
 they share at least so many, and are then compared exactly. Pivots are taken from a bounded
-sample and lie apart from each other: many in one dense cluster would be ranked by noise
-alone. Every vector is indexed. Equal vectors are one entry with a count.
+sample, seen from its mean, so that a direction common to all vectors does not decide, and
+lie apart from each other: many in one dense cluster would be ranked by noise alone. How far
+apart, and how many must be shared, is chosen on the sample: of the choices that find vectors
+just similar enough, the one whose lists are shortest. Every vector is indexed. Equal vectors
+are one entry with a count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -27,14 +31,19 @@ from .text import mix, signed
 
 COSINE = 0.98
 #: Reference points of each vector length, chosen from the first ``SAMPLE`` distinct vectors
-#: in hash order; a candidate whose cosine to a chosen one is over ``APART`` is passed over.
+#: in hash order; a candidate whose cosine to a chosen one is over one of ``APART`` is passed over.
 PIVOTS = 128
 SAMPLE = 4096
-APART = 0.8
+APART = (0.8, 0.9, 0.95)
+#: Pivots that two vectors must share to meet, most first.
+SHARED = (6, 5, 4, 3, 2, 1)
+#: Part of the pairs tried that a choice must find (half of them are only just similar, which are the
+#: hardest to find), and sampled vectors it is tried with.
+FOUND = 0.97
+PROBES = 1024
 #: Lengths with at most so many distinct vectors need no pivots: they meet in one list.
 FEW = 256
 NEAREST = 7
-SHARED = 3
 #: Vectors of one list that a task compares with as many others at once.
 BLOCK = 2048
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -45,7 +54,20 @@ def unit_rows(flat: np.ndarray, width: int) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def apart_pivots(units: np.ndarray, most: int = PIVOTS, apart: float = APART) -> np.ndarray:
+@dataclass(frozen=True)
+class Pivots:
+    """Reference points as seen from ``centre``, and how many of the nearest two vectors must share."""
+
+    centre: np.ndarray
+    points: np.ndarray
+    shared: int
+
+    def nearest(self, units: np.ndarray) -> np.ndarray:
+        """The numbers of each vector's nearest pivots, nearest first; of ties the lower number."""
+        return np.argsort(-((units - self.centre) @ self.points.T), axis=1, kind="stable")[:, :NEAREST]
+
+
+def apart_pivots(units: np.ndarray, most: int, apart: float) -> np.ndarray:
     """The first rows, ``most`` at most, whose cosine to the rows chosen before is at most ``apart``."""
     chosen, free = [], np.ones(len(units), bool)
     while len(chosen) < most and free.any():
@@ -56,15 +78,50 @@ def apart_pivots(units: np.ndarray, most: int = PIVOTS, apart: float = APART) ->
     return units[chosen]
 
 
-def nearest_pivots(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """The numbers of each vector's nearest pivots, nearest first; of ties the lower number."""
-    return np.argsort(-(units @ pivots.T), axis=1, kind="stable")[:, :NEAREST]
-
-
-def shared_keys(nearest: np.ndarray) -> np.ndarray:
-    """A key for each set of ``SHARED`` of a vector's nearest pivots."""
+def similar_pairs(units: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Two arrays of vectors that a choice of pivots is tried with: similar ones among the
+    sample, and each probe with one of cosine ``least`` in a random direction."""
+    probes = units[:PROBES]
+    a, b = np.nonzero(np.triu(probes @ units.T >= least, 1))
+    some = np.linspace(0, len(a) - 1, min(len(a), 8 * PROBES)).astype(np.int64)
+    aside = np.random.default_rng(0).normal(size=probes.shape)
+    aside -= (aside * probes).sum(1, keepdims=True) * probes
+    length = np.linalg.norm(aside, axis=1, keepdims=True)
+    other = least * probes + np.sqrt(max(0.0, 1 - least * least)) * aside / np.where(length > 0, length, 1)
+    real = (units[a[some]], units[b[some]])
+    # as many of one kind as of the other
+    times = max(1, len(some) // max(1, len(probes)))
+    return np.concatenate([real[0], *[probes] * times]), np.concatenate([real[1], *[other] * times])
+
+
+def fit_pivots(units: np.ndarray, least: float = COSINE, most: int = PIVOTS) -> Pivots:
+    """Pivots for vectors like the sample ``units``."""
+    centre = units.mean(axis=0)
+    seen = units - centre
+    length = np.linalg.norm(seen, axis=1, keepdims=True)
+    seen = (seen / np.where(length > 0, length, 1))[length[:, 0] > 0]
+    if not len(seen):
+        return Pivots(centre, np.eye(1, units.shape[1]), 1)
+    left, right = similar_pairs(units, least)
+    choices = []
+    for apart in APART:
+        points = apart_pivots(seen, most, apart)
+        every = Pivots(centre, points, 1)
+        own, a, b = every.nearest(units), every.nearest(left), every.nearest(right)
+        common = (a[:, :, None] == b[:, None, :]).any(2).sum(1)
+        for shared in SHARED:
+            size = min(shared, own.shape[1])
+            sizes = np.unique(shared_keys(own, size), return_counts=True)[1].astype(float)
+            choices.append(((common >= size).mean(), (sizes * sizes).sum() / len(units) ** 2, Pivots(centre, points, size)))
+        if len(points) == most:
+            break  # wider bounds choose from the same sample what lies closer
+    good = [c for c in choices if c[0] >= FOUND]
+    return min(good, key=lambda c: c[1])[2] if good else max(choices, key=lambda c: c[0])[2]
+
+
+def shared_keys(nearest: np.ndarray, size: int) -> np.ndarray:
+    """A key for each set of ``size`` of a vector's nearest pivots."""
     ordered = np.sort(nearest, axis=1)
-    size = min(SHARED, ordered.shape[1])
     return np.stack([_named(ordered[:, list(c)]) for c in combinations(range(ordered.shape[1]), size)], axis=1)
 
 
@@ -75,9 +132,8 @@ def _named(pivots: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The key of the lowest ``SHARED`` pivots that two vectors share; all pairs share so many."""
-    size = min(SHARED, a.shape[1])
+def least_shared(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """The key of the lowest ``size`` pivots that two vectors share; all pairs share so many."""
     both = np.where((a[:, :, None] == b[:, None, :]).any(2), a, np.iinfo(a.dtype).max)
     return _named(np.sort(both, axis=1)[:, :size])
 
@@ -115,10 +171,10 @@ def vector_links(vectors: DataFrame, least: float = COSINE, pivots: int = PIVOTS
         return unit_rows(np.array([list(r.v) for r in rows]), width)
 
     many = entries.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).filter(F.col("n") > FEW).collect()
-    sent = spark.sparkContext.broadcast({r.width: apart_pivots(sampled(r.width, r.n), pivots) for r in many})
+    sent = spark.sparkContext.broadcast({r.width: fit_pivots(sampled(r.width, r.n), least, pivots) for r in many})
 
-    def points(width: int) -> np.ndarray:
-        return sent.value[width] if width in sent.value else np.eye(1, width)
+    def points(width: int) -> Pivots:
+        return sent.value[width] if width in sent.value else Pivots(np.zeros(width), np.eye(1, width), 1)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -126,8 +182,7 @@ def vector_links(vectors: DataFrame, least: float = COSINE, pivots: int = PIVOTS
             for width in np.unique(sizes).tolist():
                 batch = whole.filter(pa.array(sizes == width))
                 units = unit_rows(batch.column("v").flatten().to_numpy(), width)
-                nearest = nearest_pivots(units, points(width))
-                keys = shared_keys(nearest)
+                keys = shared_keys(points(width).nearest(units), points(width).shared)
                 salted = mix(keys + np.uint64(width))
                 row = np.repeat(np.arange(len(units)), keys.shape[1])
                 yield pa.RecordBatch.from_arrays(
@@ -157,7 +212,8 @@ def vector_links(vectors: DataFrame, least: float = COSINE, pivots: int = PIVOTS
                 entry, many = part.column("entry").to_numpy(), part.column("many").to_numpy()
                 p, q, shared = (part.column(c)[0].as_py() for c in ("p", "q", "shared"))
                 owner = part.column("own").to_numpy()
-                nearest = nearest_pivots(units, points(units.shape[1]))
+                known = points(units.shape[1])
+                nearest = known.nearest(units)
                 a, b = np.nonzero(np.triu(units @ units.T >= least, 1))
                 if p != q:
                     apart = owner[a] != owner[b]
@@ -165,7 +221,7 @@ def vector_links(vectors: DataFrame, least: float = COSINE, pivots: int = PIVOTS
                 links, joined = np.zeros(len(units), np.int64), Union(len(units))
                 for at in range(0, len(a), 1 << 18):
                     x, y = a[at:at + (1 << 18)], b[at:at + (1 << 18)]
-                    once = least_shared(nearest[x], nearest[y]) == np.array([shared]).astype(np.int64).view(np.uint64)[0]
+                    once = least_shared(nearest[x], nearest[y], known.shared) == np.array([shared]).astype(np.int64).view(np.uint64)[0]
                     x, y = x[once], y[once]
                     np.add.at(links, x, many[y])
                     np.add.at(links, y, many[x])

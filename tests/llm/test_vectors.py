@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from flowlucid.llm.queries import op4_embedding_near_dedup
-from flowlucid.llm.vectors import vector_links
+from flowlucid.llm.vectors import fit_pivots, shared_keys, vector_links
 
 from ..conftest import SMALL
 
@@ -88,6 +88,50 @@ def test_recall_in_a_hot_cluster(spark, dims):
     assert sum(got[k][1] == want[k][1] for k in want) >= 0.99 * len(want)
 
 
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("dims", [64, 384])
+@pytest.mark.parametrize("kind,most", [("anywhere", 0.02), ("common direction", 0.1), ("twenty clusters", 0.85)])
+def test_lists_stay_short_and_similar_vectors_meet(kind, most, dims):
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(5000, dims))
+    if kind == "common direction":
+        x += 3
+    if kind == "twenty clusters":
+        x = rng.normal(size=(20, dims))[rng.integers(20, size=5000)] + 0.3 * x
+    x = unit(x)
+    aside = rng.normal(size=(600, dims))
+    aside = unit(aside - (aside * x[:600]).sum(1, keepdims=True) * x[:600])
+    near = rng.uniform(0.98, 1, size=(600, 1))
+    x = rng.permutation(np.concatenate([x, near * x[:600] + np.sqrt(1 - near * near) * aside]))
+    pivots = fit_pivots(x[:4096])
+    nearest = pivots.nearest(x)
+    sizes = np.unique(shared_keys(nearest, pivots.shared), return_counts=True)[1].astype(float)
+    assert (sizes * sizes).sum() <= most * len(x) ** 2
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.98, 1))
+    met = (nearest[a][:, :, None] == nearest[b][:, None, :]).any(2).sum(1) >= pivots.shared
+    assert met.mean() >= 0.97
+
+
+def test_links_of_vectors_with_a_common_direction(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(900, 48)) + 3
+    rows = [(i, [float(np.float32(v)) for v in x], 1) for i, x in enumerate(np.concatenate([base, base[:300] + 0.15 * rng.normal(size=(300, 48))]))]
+    want = plain(rows)
+    got = {r.vec_id: r.n_links for r in vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert all(got[k] <= want[k][0] for k in want)
+    assert sum(got.values()) >= 0.97 * sum(v[0] for v in want.values()) > 0
+
+
+def test_pivots_of_equal_and_opposite_vectors():
+    same = np.ones((300, 4)) / 2
+    for sample in (same, np.concatenate([same, -same]), np.eye(1, 4)):
+        pivots = fit_pivots(sample)
+        assert (pivots.nearest(sample[:1]) == pivots.nearest(sample[:1])).all() and len(pivots.points) >= 1
+
+
 def test_every_vector_length_is_linked(spark):
     rows = [(2 * w + i, [1.0 + i] * w, 1) for w in range(2, 82) for i in range(2)] + [(1000 + w, [1.0] * (w - 1) + [1.01], 1) for w in range(2, 82)]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
