@@ -325,7 +325,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, tex
     """``docs`` with one row of each component: the one with the least id, of rows alike in
     id and text any one. Rows without words, and null ids that no other id is linked to, stay.
     """
-    tagged = docs.withColumn("_row", F.hash(F.coalesce(F.col(text), F.lit(""))))
+    tagged = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     path = scratch_dir(docs.sparkSession, "components")
     with_components(tagged.select(id_, text, "_row"), words, percent, text, id_).write.parquet(path)
     found = docs.sparkSession.read.parquet(path).filter("n_shingles > 0 and component_id is not null")

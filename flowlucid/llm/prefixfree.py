@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..config import release_shuffles, scratch_dir, ship_package
 from .frames import dropping, schema_with
-from .repeats import DEPTH, RECORD, combined, grouped_repeats, record_batch, row_tag, times_met, with_cuts
+from .repeats import DEPTH, combined, grouped_repeats, record_batch, record_schema, row_tag, times_met, with_cuts
 from .sketch import cell_bits, count_sketch, may_have, text_bytes
 from .text import VALUES, Texts, blocks, mix, range_hashes
 
@@ -159,7 +159,7 @@ def repeated_starts(docs: DataFrame, width: int, phrase: int = PHRASE_BYTES, tex
 
     path = scratch_dir(spark, "blocks")
     met_once = F.col("total") < 2
-    source.mapInArrow(block_records, RECORD).withColumn("total", times_met()).select(
+    source.mapInArrow(block_records, record_schema(source)).withColumn("total", times_met()).select(
         F.when(met_once, F.col("k1")).alias("single"), *[F.when(~met_once, F.col(c)).alias(c) for c in ("doc_id", "row", "place")],
     ).write.option("compression", "zstd").parquet(path)
     settled = spark.read.parquet(path)
@@ -219,7 +219,7 @@ def repeated_starts(docs: DataFrame, width: int, phrase: int = PHRASE_BYTES, tex
             if len(at):
                 yield _records(batch, id_, p.texts, *p.keys(at, at + width), at, at + 1, np.where(own, 1, 2))
 
-    strings, found = grouped_repeats(source.mapInArrow(suffix_records, RECORD)), scratch_dir(spark, "strings")
+    strings, found = grouped_repeats(source.mapInArrow(suffix_records, record_schema(source))), scratch_dir(spark, "strings")
     strings.write.option("compression", "zstd").parquet(found)
     del strings
     for sketch in (dictionary, single, wanted):

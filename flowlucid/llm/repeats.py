@@ -36,10 +36,10 @@ _TWIN = np.uint64(0xD6E8FEB86659FD93)
 
 
 def row_tag(docs: DataFrame, text: str, id_: str) -> Column:
-    """Tells rows with one id apart by their text, zero where no id occurs twice; rows alike
-    in both share their result."""
+    """Tells rows with one id apart by 64 bits of their text, zero (an int) where no id occurs
+    twice; rows alike in both share their result."""
     unique = docs.groupBy(id_).count().filter("count > 1").isEmpty()
-    return F.lit(0) if unique else F.hash(F.coalesce(F.col(text), F.lit("")))
+    return F.lit(0) if unique else F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def anchored_windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,9 +113,10 @@ def record_batch(k1: np.ndarray, k2: np.ndarray, n: np.ndarray, ids: pa.Array, r
     )
 
 
-#: ``k1`` and the upper bits of ``k2`` are a fingerprint of 80 bits, the lowest two bits of
-#: ``k2`` how often it was met (once or more), the rest tells where.
-RECORD = "k1 long, k2 int, doc_id long, row int, place long"
+def record_schema(docs: DataFrame) -> str:
+    """``k1`` and the upper bits of ``k2`` are a fingerprint of 80 bits, the lowest two bits of
+    ``k2`` how often it was met (once or more), the rest tells where."""
+    return f"k1 long, k2 int, doc_id long, row {dict(docs.dtypes)['row']}, place long"
 
 
 def repeated_windows(docs: DataFrame, width: int, text: str = "text", id_: str = "doc_id") -> DataFrame:
@@ -143,7 +144,7 @@ def repeated_windows(docs: DataFrame, width: int, text: str = "text", id_: str =
             owner = words.owners()[at]
             yield record_batch(k1, k2, n, batch.column(id_), batch.column("row"), owner, at - words.first[owner])
 
-    return grouped_repeats(docs.select(id_, text, "row").mapInArrow(windows, RECORD))
+    return grouped_repeats(docs.select(id_, text, "row").mapInArrow(windows, record_schema(docs)))
 
 
 def with_cuts(source: DataFrame, found: DataFrame, keep: Callable[[pa.RecordBatch], pa.RecordBatch], result: T.StructType, text: str, id_: str) -> DataFrame:
@@ -152,6 +153,8 @@ def with_cuts(source: DataFrame, found: DataFrame, keep: Callable[[pa.RecordBatc
     the rows that do, are shuffled to meet them; the others are dealt with where they are read.
     """
     spark, path = source.sparkSession, scratch_dir(source.sparkSession, "cuts")
+    if dict(source.dtypes)["row"] != "int":  # rows alike in id and text have the same places
+        found = found.distinct()
     found.groupBy(F.col("doc_id").alias("cut_id"), F.col("row").alias("cut_row")).agg(F.collect_list("place").alias("cuts")).write.option("compression", "zstd").parquet(path)
     cuts = spark.read.parquet(path)
     bits = cell_bits(cuts.count(), CELLS_EACH)

@@ -7,8 +7,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from flowlucid.llm import repeats
+from flowlucid.llm.jaccard import one_of_each
+from flowlucid.llm.prefixfree import without_repeated_bytes
 from flowlucid.llm.repeats import anchored_windows, combined, without_repeats
 from flowlucid.llm.sketch import count_sketch, may_have
 from flowlucid.llm.text import Texts
@@ -52,6 +55,18 @@ def test_repeated_ids_nulls_and_clashing_names(spark):
     assert without_repeats(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_whose_short_hashes_agree(spark):
+    """Two texts without a common word, of equal 32-bit hash and null id; one has a copy elsewhere."""
+    words = "concat_ws(' ', transform(sequence(1, 40), j -> concat('w', id, 'x', j)))"
+    texts = spark.range(250_000).selectExpr("id", f"{words} AS text").withColumn("h", F.hash("text"))
+    a, b = texts.groupBy("h").agg(F.collect_list("text").alias("t")).filter("size(t) > 1").first().t[:2]
+    docs = spark.createDataFrame([(None, a), (None, b), (7, a), (None, a), (None, a)], "doc_id long, text string")
+    kept = sorted((r.n_words, r.n_removed) for r in without_repeats(docs).collect())
+    assert kept == [(40, 0)] + [(40, 40)] * 4
+    assert sorted(bytes(r.kept).decode() for r in without_repeated_bytes(docs).collect()) == [""] * 4 + [b]
+    assert sorted(r.text for r in one_of_each(docs).collect()) == sorted([a, b])
+
+
 def test_combined_keeps_every_fingerprint():
     rng = np.random.default_rng(1)
     first = rng.integers(0, 30, 200).astype(np.uint64)
