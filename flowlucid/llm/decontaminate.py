@@ -4,14 +4,18 @@ A passage of m characters with at most k edits shares at least m - q + 1 - q k o
 q-grams with what it came from, all near one diagonal. Tasks look up the q-grams of their
 texts in an index of the benchmark, count hits in overlapping bands of diagonals, and
 align only the bands that reach the bound. Items of fewer than q characters have no q-gram
-and are looked up whole. The benchmark is the stated query set: it is
+and are looked up whole. Of a long item overlapping passages of fixed length are looked for
+too, so a text with a good part of it is found. The benchmark is the stated query set: it is
 taken in blocks of bounded size, each sent to all tasks, however large it is.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,11 @@ from .text import Texts, blocks, mix
 Q = 6
 #: Edits allowed for each character of a benchmark item.
 EDIT_RATE = 0.08
-#: Characters of benchmark text whose index is sent to the tasks at once (16 bytes each).
+#: Characters of a passage of a longer item, and from one passage to the next: a text with any
+#: ``PASSAGE + STEP - 1`` characters of an item running holds a whole passage.
+PASSAGE = 100
+STEP = 50
+#: Characters of benchmark text whose index is sent to the tasks at once (some 40 bytes each).
 BLOCK_CHARS = 2_000_000
 #: Q-grams that this many items have are not looked up where an item has enough others.
 COMMON = 3
@@ -80,10 +88,12 @@ def run_hashes(codes: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass
 class PassageIndex:
-    """The q-grams of some benchmark items and what each item needs."""
+    """The q-grams of some benchmark items and of passages of the long ones, and what each needs.
+    Items come first, then passages; ``owner`` is the item that an entry belongs to."""
 
     ids: list
     texts: list[np.ndarray]
+    owner: np.ndarray
     grams: np.ndarray  # distinct, sorted
     first: np.ndarray  # of each gram's places
     item: np.ndarray
@@ -103,13 +113,20 @@ class PassageIndex:
             if len(codes):
                 ids.append(item_id)
                 texts.append(codes)
+        owner = list(range(len(texts)))
+        for i in range(len(ids)):
+            last = len(texts[i]) - PASSAGE
+            for at in [*range(0, last, STEP), last] if last > 0 else []:
+                texts.append(texts[i][at:at + PASSAGE])
+                owner.append(i)
+        owner = np.array(owner, np.int64)
         hashes = [qgram_hashes(t) for t in texts]
         item = np.repeat(np.arange(len(texts)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if texts else np.empty(0, np.int64)
         every = np.concatenate(hashes) if texts else np.empty(0, np.uint64)
         edits = np.array([int(len(t) * EDIT_RATE) for t in texts], np.int64)
         # rare q-grams alone are enough where an item has more of them than edits can destroy
-        pairs = np.unique(np.stack([every, item.astype(np.uint64)]), axis=1)
+        pairs = np.unique(np.stack([every, owner[item].astype(np.uint64)]), axis=1)
         known, items_of = np.unique(pairs[0], return_counts=True)
         rare = items_of[np.searchsorted(known, every)] < COMMON
         n_rare = np.bincount(item[rare], minlength=len(texts))
@@ -128,7 +145,7 @@ class PassageIndex:
                 named = np.concatenate([run_hashes(texts[i], size) for i in of_size])
                 by_name = np.argsort(named, kind="stable")
                 short[size] = named[by_name], of_size[by_name]
-        return cls(ids, texts, grams, np.append(first, len(every)), item[order], place[order], edits, needed, table, short)
+        return cls(ids, texts, owner, grams, np.append(first, len(every)), item[order].astype(np.int32), place[order].astype(np.int32), edits, needed, table, short)
 
     def exact(self, codes: np.ndarray) -> Iterator[tuple[int, int]]:
         """Item and place of each occurrence of an item of fewer than ``Q`` characters."""
@@ -150,7 +167,7 @@ class PassageIndex:
         at, gram = at[same], gram[same]
         many = self.first[gram + 1] - self.first[gram]
         posting = np.repeat(self.first[gram] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        item = self.item[posting]
+        item = self.item[posting].astype(np.int64)
         width = self.edits[item] + 1
         band = (np.repeat(at, many) - self.place[posting]) // width
         # each band overlaps the next by half, so diagonals up to the edits apart share one
@@ -194,8 +211,8 @@ def banded(passage: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple
     return (int(cost[best]), int(len(passage) + d[best])) if cost[best] < far else None
 
 
-def passages_in(texts: Texts, index: PassageIndex) -> list[tuple[int, int, int, int, int]]:
-    """Text, item, start, stop (code points of the text) and edits of each match."""
+def passages_in(texts: Texts, index: PassageIndex) -> list[tuple[int, int, int, int, int, bool]]:
+    """Text, item, start, stop (code points of the text), edits and wholeness of each match."""
     if not len(texts.data) or not index.ids:
         return []
     codes = np.frombuffer(texts.data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
@@ -225,7 +242,32 @@ def passages_in(texts: Texts, index: PassageIndex) -> list[tuple[int, int, int,
             if got:
                 first, last = place[a + got[1]], place[a + got[2] - 1] + 1
                 found.add((doc, item, int(first - starts[doc]), int(last - starts[doc]), got[0]))
-    return sorted(found)
+    return sorted(_regions(found, index))
+
+
+def _regions(found: set[tuple[int, int, int, int, int]], index: PassageIndex) -> Iterator[tuple[int, int, int, int, int, bool]]:
+    """Matches of whole items, and what passages of an item cover together away from those."""
+    whole, parts = defaultdict(list), defaultdict(list)
+    for doc, entry, start, stop, edits in found:
+        if entry < len(index.ids):
+            whole[doc, entry].append((start, stop))
+            yield doc, entry, start, stop, edits, True
+        else:
+            parts[doc, int(index.owner[entry])].append((start, stop, edits))
+    for (doc, item), spans in parts.items():
+        known = sorted(whole.get((doc, item), []))
+        reach = list(accumulate((stop for _, stop in known), max))
+        merged: list[list[int]] = []
+        for start, stop, edits in sorted(spans):
+            before = bisect_left(known, (stop,)) - 1  # whole ones that begin ahead of its end
+            if before >= 0 and reach[before] > start:
+                continue
+            if merged and start <= merged[-1][1]:
+                merged[-1][1:] = max(merged[-1][1], stop), max(merged[-1][2], edits)
+            else:
+                merged.append([start, stop, edits])
+        for start, stop, edits in merged:
+            yield doc, item, start, stop, edits, False
 
 
 def passage_blocks(benchmark: DataFrame, text: str = "text", id_: str = "item_id", chars: int = BLOCK_CHARS) -> Iterator[PassageIndex]:
@@ -243,8 +285,11 @@ def passage_blocks(benchmark: DataFrame, text: str = "text", id_: str = "item_id
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "doc_id", chars: int = BLOCK_CHARS) -> DataFrame:
-    """``doc_id, item_id, start, stop, edits``: each benchmark passage found in a document,
-    in code points, end exclusive. Clean documents give no row.
+    """``doc_id, item_id, start, stop, edits, whole``: each benchmark item found in a document,
+    in code points, end exclusive. Clean documents give no row. Where only passages of an item
+    are found, what they cover together is a row that is not ``whole``, with the most edits
+    of one passage; passages that meet the whole item give no row of their own. Items at one
+    place each give a row.
 
     Case and the amount of white space don't matter, up to ``EDIT_RATE`` edits a character
     are allowed. Null and empty texts hold nothing; repeated rows each give their rows; null
@@ -254,7 +299,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_
     ship_package(spark)
     source = docs.select(id_, text)
     kind = dict(benchmark.dtypes)["item_id"] if "item_id" in benchmark.columns else "long"
-    result = schema_with(source, f"item_id {kind}, start long, stop long, edits int", without=text)
+    result = schema_with(source, f"item_id {kind}, start long, stop long, edits int, whole boolean", without=text)
     out = spark.createDataFrame([], result)
     for index in passage_blocks(benchmark, chars=chars):
         sent = spark.sparkContext.broadcast(index)
@@ -263,10 +308,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_
             for batch in blocks(batches, text):
                 found = passages_in(Texts.of(batch.column(text)), sent.value)
                 if found:
-                    doc, item, start, stop, edits = zip(*found, strict=True)
+                    doc, item, start, stop, edits, whole = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(id_).take(pa.array(doc)), pa.array([sent.value.ids[i] for i in item]), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(edits, pa.int32())],
-                        names=[id_, "item_id", "start", "stop", "edits"],
+                        [batch.column(id_).take(pa.array(doc)), pa.array([sent.value.ids[i] for i in item]), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(edits, pa.int32()), pa.array(whole)],
+                        names=[id_, "item_id", "start", "stop", "edits", "whole"],
                     )
 
         out = out.unionByName(source.mapInArrow(find, result))
@@ -274,7 +319,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents that hold no benchmark passage, unchanged."""
+    """The documents that hold neither a benchmark item nor a passage of one, unchanged."""
     spark = docs.sparkSession
     ship_package(spark)
     for index in passage_blocks(benchmark, chars=chars):

@@ -3,12 +3,15 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from flowlucid.llm.decontaminate import EDIT_RATE, PassageIndex, banded, contamination, decontaminated
+from flowlucid.llm import decontaminate
+from flowlucid.llm.decontaminate import EDIT_RATE, PASSAGE, STEP, PassageIndex, banded, contamination, decontaminated, passages_in
 from flowlucid.llm.queries import op1_benchmark_decontamination
+from flowlucid.llm.text import Texts
 
 
 def codes(s):
@@ -109,3 +112,65 @@ def test_short_items_are_found(spark):
     got = sorted((r.doc_id, r.item_id, r.start, r.stop, r.edits) for r in contamination(frame, bench).collect())
     assert got == [(1, 1, 4, 17, 0), (2, 2, 3, 14, 0), (3, 3, 3, 6, 0), (3, 3, 16, 19, 0), (8, 7, 2, 27, 1)]
     assert {r.doc_id for r in decontaminated(frame, bench).collect()} == {4, 5, 6, 7}
+
+
+def within(passage, text):
+    return least_edits(passage, text) <= int(len(passage) * EDIT_RATE)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_all_matches_against_plain_alignment(seed, monkeypatch):
+    """Every item and every passage of a long one, aligned with every whole text."""
+    monkeypatch.setattr(decontaminate, "PASSAGE", 30)
+    monkeypatch.setattr(decontaminate, "STEP", 15)
+    rng = random.Random(seed)
+    letters = "abcdefgh " if seed % 2 else "xyé日 "
+    draw = lambda n: " ".join("".join(rng.choices(letters, k=n)).split())
+    items = [t for t in (draw(rng.randint(8, 90)) for _ in range(12)) if len(t) >= 6]
+    docs = []
+    for _ in range(60):
+        item = rng.choice(items)
+        first = rng.choice([0, 0, rng.randrange(len(item) - 5)])
+        part = item[first:] if rng.random() < 0.7 else item[first:first + 32]
+        docs.append(" ".join((draw(rng.randint(0, 60)) + edited(rng, part, rng.randint(0, 4)) + draw(rng.randint(0, 60))).split()))
+    got = passages_in(Texts.of(pa.array(docs)), PassageIndex.of(list(enumerate(items))))
+    whole = {(d, i) for d, t in enumerate(docs) for i, p in enumerate(items) if within(p, t)}
+    assert {(d, i) for d, i, *_, w in got if w} == whole
+    passages = {i: [p[a:a + 30] for a in [*range(0, len(p) - 30, 15), len(p) - 30]] for i, p in enumerate(items) if len(p) > 30}
+    partly = {(d, i) for d, t in enumerate(docs) for i, ps in passages.items() if any(within(p, t) for p in ps)}
+    assert whole | partly == {(d, i) for d, i, *_ in got}
+    for d, i, start, stop, edits, w in got:
+        if w:
+            assert least_edits(docs[d][start:stop], items[i]) <= edits <= int(len(items[i]) * EDIT_RATE)
+        else:
+            assert stop - start >= 30 - edits and edits <= 2
+
+
+def test_part_of_a_long_item(spark):
+    rng = random.Random(5)
+    draw = lambda n: " ".join("".join(rng.choices("abcdefghijklmno", k=5)) for _ in range(n))
+    item, other = draw(200), draw(40)
+    part = item[300:300 + PASSAGE + STEP - 1]
+    docs = [(1, f"{other} {part} {other}"), (2, item[300:300 + PASSAGE - 20]), (3, f"{item} {other} {item[:400]}"), (4, other)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    got = {}
+    for r in contamination(frame, bench).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.stop, r.edits, r.whole))
+    assert got.keys() == {1, 3}
+    (start, stop, edits, whole), = got[1]
+    assert not whole and len(other) - 9 <= start and stop <= len(other) + 10 + len(part) and stop - start >= PASSAGE - 8
+    assert sorted(got[3])[0] == (0, len(item), 0, True) and len(got[3]) == 2
+    assert {r.doc_id for r in decontaminated(frame, bench).collect()} == {2, 4}
+
+
+def test_ties_null_items_and_clashing_columns(spark):
+    """Two items at one place both count; an item without id is an item too."""
+    items = [(1, "the very same question here"), (2, "The very same  question here"), (None, "another question without any id")]
+    docs = [(1, "ask the very same question here now"), (1, "ask the very same question here now"), (None, "another question without any id")]
+    frame = spark.createDataFrame([(*d, 5, "s", True) for d in docs], "doc_id long, text string, Start int, ITEM_ID string, whole boolean")
+    bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
+    got = sorted(((r.doc_id, r.item_id, r.start, r.stop) for r in contamination(frame, bench).collect()), key=str)
+    assert got == [(1, 1, 4, 31), (1, 1, 4, 31), (1, 2, 4, 31), (1, 2, 4, 31), (None, None, 0, 31)]
+    assert decontaminated(frame, bench).count() == 0
+    assert decontaminated(frame, bench.filter("item_id = 1")).collect()[0].ITEM_ID == "s"
