@@ -11,7 +11,7 @@ taken in blocks of bounded size, each sent to all tasks, however large it is.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +32,7 @@ EDIT_RATE = 0.08
 #: ``PASSAGE + STEP - 1`` characters of an item running holds a whole passage.
 PASSAGE = 100
 STEP = 50
-#: Characters of benchmark text whose index is sent to the tasks at once (some 40 bytes each).
+#: Characters of benchmark text whose index is sent to the tasks at once (some 24 bytes each).
 BLOCK_CHARS = 2_000_000
 #: Q-grams that this many items have are not looked up where an item has enough others.
 COMMON = 3
@@ -75,6 +75,11 @@ def qgram_hashes(codes: np.ndarray) -> np.ndarray:
     return mix(four[:n] * _BASE_TWICE + two[4:4 + n])
 
 
+def _slots(keys: np.ndarray) -> np.ndarray:
+    """Cells of a table of bits for band keys."""
+    return (keys.astype(np.uint64) * _BASE) >> np.uint64(64 - _TABLE_BITS)
+
+
 def run_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of ``size`` characters, for sizes below ``Q``."""
     n = len(codes) - size + 1
@@ -88,18 +93,22 @@ def run_hashes(codes: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass
 class PassageIndex:
-    """The q-grams of some benchmark items and of passages of the long ones, and what each needs.
-    Items come first, then passages; ``owner`` is the item that an entry belongs to."""
+    """The q-grams of some benchmark items, and what an item and each passage of a long one
+    need of them. Items come first, then passages, those of an item in rising order;
+    ``owner`` is the item that an entry belongs to, ``begin`` its first place there."""
 
     ids: list
     texts: list[np.ndarray]
     owner: np.ndarray
+    begin: np.ndarray
+    passages: np.ndarray  # of each item, the number of its first passage
     grams: np.ndarray  # distinct, sorted
     first: np.ndarray  # of each gram's places
     item: np.ndarray
     place: np.ndarray
     edits: np.ndarray
     needed: np.ndarray
+    asked: np.ndarray  # the least that an item or one of its passages needs
     table: np.ndarray
     short: dict[int, tuple[np.ndarray, np.ndarray]]  # by length below Q: sorted hashes and their items
 
@@ -113,26 +122,42 @@ class PassageIndex:
             if len(codes):
                 ids.append(item_id)
                 texts.append(codes)
-        owner = list(range(len(texts)))
-        for i in range(len(ids)):
+        n_items = len(texts)
+        owner, begin = list(range(n_items)), [0] * n_items
+        for i in range(n_items):
             last = len(texts[i]) - PASSAGE
             for at in [*range(0, last, STEP), last] if last > 0 else []:
                 texts.append(texts[i][at:at + PASSAGE])
                 owner.append(i)
-        owner = np.array(owner, np.int64)
-        hashes = [qgram_hashes(t) for t in texts]
-        item = np.repeat(np.arange(len(texts)), [len(h) for h in hashes])
-        place = np.concatenate([np.arange(len(h)) for h in hashes]) if texts else np.empty(0, np.int64)
-        every = np.concatenate(hashes) if texts else np.empty(0, np.uint64)
-        edits = np.array([int(len(t) * EDIT_RATE) for t in texts], np.int64)
-        # rare q-grams alone are enough where an item has more of them than edits can destroy
-        pairs = np.unique(np.stack([every, owner[item].astype(np.uint64)]), axis=1)
+                begin.append(at)
+        owner, begin = np.array(owner, np.int64), np.array(begin, np.int64)
+        passages = n_items + np.searchsorted(owner[n_items:], np.arange(n_items + 1))
+        hashes = [qgram_hashes(t) for t in texts[:n_items]]
+        sizes = np.array([len(h) for h in hashes], np.int64)
+        item = np.repeat(np.arange(n_items), sizes)
+        place = np.concatenate([np.arange(n) for n in sizes]) if n_items else np.empty(0, np.int64)
+        every = np.concatenate(hashes) if n_items else np.empty(0, np.uint64)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        edits = np.array([int(n * EDIT_RATE) for n in lengths.tolist()], np.int64)
+        first = (np.cumsum(sizes) - sizes)[owner] + begin if n_items else owner
+        stop = first + np.maximum(0, lengths - Q + 1)
+        # rare q-grams alone are enough where an item or passage has more of them than edits can destroy
+        pairs = np.unique(np.stack([every, item.astype(np.uint64)]), axis=1)
         known, items_of = np.unique(pairs[0], return_counts=True)
         rare = items_of[np.searchsorted(known, every)] < COMMON
-        n_rare = np.bincount(item[rare], minlength=len(texts))
-        enough = n_rare - Q * edits >= 8
-        taken = rare | ~enough[item]
-        needed = np.maximum(1, np.bincount(item[taken], minlength=len(texts)) - Q * edits)
+
+        def inside(chosen: np.ndarray) -> np.ndarray:
+            upto = np.concatenate([[0], np.cumsum(chosen)])
+            return upto[stop] - upto[first]
+
+        few = inside(rare) - Q * edits < 8
+        edge = np.zeros(len(every) + 1, np.int64)
+        np.add.at(edge, first[few], 1)
+        np.add.at(edge, stop[few], -1)
+        taken = rare | (np.cumsum(edge)[:-1] > 0)
+        needed = np.maximum(1, inside(taken) - Q * edits)
+        asked = needed[:n_items].copy()
+        np.minimum.at(asked, owner, needed)
         every, item, place = every[taken], item[taken], place[taken]
         order = np.argsort(every, kind="stable")
         grams, first = np.unique(every[order], return_index=True)
@@ -140,12 +165,12 @@ class PassageIndex:
         table[grams >> np.uint64(64 - _TABLE_BITS)] = True
         short = {}
         for size in range(1, Q):
-            of_size = np.array([i for i, t in enumerate(texts) if len(t) == size], np.int64)
+            of_size = np.flatnonzero(lengths[:n_items] == size)
             if len(of_size):
                 named = np.concatenate([run_hashes(texts[i], size) for i in of_size])
                 by_name = np.argsort(named, kind="stable")
                 short[size] = named[by_name], of_size[by_name]
-        return cls(ids, texts, owner, grams, np.append(first, len(every)), item[order].astype(np.int32), place[order].astype(np.int32), edits, needed, table, short)
+        return cls(ids, texts, owner, begin, passages, grams, np.append(first, len(every)), item[order].astype(np.int32), place[order].astype(np.int32), edits, needed, asked, table, short)
 
     def exact(self, codes: np.ndarray) -> Iterator[tuple[int, int]]:
         """Item and place of each occurrence of an item of fewer than ``Q`` characters."""
@@ -158,7 +183,7 @@ class PassageIndex:
                         yield item, at
 
     def bands(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Item and least diagonal of each band of diagonals with enough shared q-grams."""
+        """Entry and least diagonal of each band of diagonals with enough shared q-grams."""
         h = qgram_hashes(codes)
         at = np.flatnonzero(self.table[h >> np.uint64(64 - _TABLE_BITS)])
         gram = np.searchsorted(self.grams, h[at])
@@ -168,14 +193,43 @@ class PassageIndex:
         many = self.first[gram + 1] - self.first[gram]
         posting = np.repeat(self.first[gram] - np.cumsum(many) + many, many) + np.arange(many.sum())
         item = self.item[posting].astype(np.int64)
-        width = self.edits[item] + 1
-        band = (np.repeat(at, many) - self.place[posting]) // width
-        # each band overlaps the next by half, so diagonals up to the edits apart share one
-        keys = np.concatenate([item * (1 << 40) + band + (1 << 20), item * (1 << 40) + band - 1 + (1 << 20)])
-        keys, counts = np.unique(keys, return_counts=True)
-        item, band = keys >> 40, (keys & ((1 << 40) - 1)) - (1 << 20)
-        enough = counts >= self.needed[item]
-        return item[enough], (band * (self.edits[item] + 1))[enough]
+        at, place = np.repeat(at, many), self.place[posting].astype(np.int64)
+        keys = self._band_keys(item, at - place)
+        named, counts = np.unique(keys, return_counts=True)
+        entry = named >> 40
+        found = [named[counts >= self.needed[entry]]]
+        # what a passage needs lies in one band of its item
+        near = named[(counts >= self.asked[entry]) & (self.passages[entry + 1] > self.passages[entry])]
+        if len(near):
+            seen = np.zeros(1 << _TABLE_BITS, bool)
+            seen[_slots(near)] = True
+            maybe = np.flatnonzero(seen[_slots(keys)])
+            spot = np.minimum(np.searchsorted(near, keys[maybe]), len(near) - 1)
+            hit = np.unique(maybe[near[spot] == keys[maybe]] % len(at))
+            found.append(self._passage_bands(item[hit], at[hit], place[hit]))
+        keys = np.concatenate(found)
+        entry, band = keys >> 40, (keys & ((1 << 40) - 1)) - (1 << 20)
+        return entry, band * (self.edits[entry] + 1)
+
+    def _band_keys(self, entry: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        """Both bands of each hit: a band overlaps the next by half, so diagonals up to the
+        edits apart share one."""
+        band = entry * (1 << 40) + diagonal // (self.edits[entry] + 1) + (1 << 20)
+        return np.concatenate([band, band - 1])
+
+    def _passage_bands(self, item: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Keys of the bands of passages with enough of the hits."""
+        first, stop = self.passages[item], self.passages[item + 1]
+        nth = place // STEP
+        # the passages from its own back that may still hold a place, and the last one, out of step
+        tried = [first + nth - back for back in range(-(-PASSAGE // STEP))]
+        valid = np.stack([*[(e >= first) & (e < stop - 1) for e in tried], np.ones(len(item), bool)])
+        entry = np.where(valid, np.stack([*tried, stop - 1]), stop - 1)
+        within = place - self.begin[entry]
+        valid &= (within >= 0) & (within <= PASSAGE - Q)
+        diagonal = at - within
+        keys, counts = np.unique(self._band_keys(entry[valid], diagonal[valid]), return_counts=True)
+        return keys[counts >= self.needed[keys >> 40]]
 
     def aligned(self, item: int, text: np.ndarray, least: int) -> tuple[int, int, int] | None:
         """Edits, start and end in ``text`` of the item's best place with its first character
@@ -221,6 +275,8 @@ def passages_in(texts: Texts, index: PassageIndex) -> list[tuple[int, int, int,
     plain, place = folded(codes)
     starts_in, stops_in = np.searchsorted(place, starts), np.searchsorted(place, stops)
     found = set()
+    spans: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)  # whole items, in ``plain``
+    known: dict[tuple[int, int], tuple[list[int], list[int]]] | None = None
     for item, at in index.exact(plain):
         size = len(index.texts[item])
         doc = int(np.searchsorted(starts_in, at, side="right")) - 1
@@ -233,6 +289,13 @@ def passages_in(texts: Texts, index: PassageIndex) -> list[tuple[int, int, int,
             a, b = max(low, int(starts_in[doc])), min(high, int(stops_in[doc]))
             if b - a < len(passage) - k:
                 continue
+            if item >= len(index.ids):
+                # a place of the passage covers the middle of where it may be; there the whole item lies
+                known = _reaches(spans) if known is None else known
+                begins, reach = known.get((doc, int(index.owner[item])), ([], []))
+                before = bisect_right(begins, (low + high) // 2) - 1
+                if before >= 0 and reach[before] > (low + high) // 2:
+                    continue
             part = plain[a:b]
             at = part.tobytes().find(passage.tobytes())
             if at >= 0 and at % 4 == 0:
@@ -240,11 +303,22 @@ def passages_in(texts: Texts, index: PassageIndex) -> list[tuple[int, int, int,
             else:
                 got = index.aligned(item, part, least - a)
             if got:
+                if item < len(index.ids):
+                    spans[doc, item].append((a + got[1], a + got[2]))
                 first, last = place[a + got[1]], place[a + got[2] - 1] + 1
                 found.add((doc, item, int(first - starts[doc]), int(last - starts[doc]), got[0]))
     return sorted(_regions(found, index))
 
 
+def _reaches(spans: dict[tuple[int, int], list[tuple[int, int]]]) -> dict[tuple[int, int], tuple[list[int], list[int]]]:
+    """The starts of each list's spans in order, and how far those up to each one reach."""
+    out = {}
+    for key, some in spans.items():
+        some.sort()
+        out[key] = [start for start, _ in some], list(accumulate((stop for _, stop in some), max))
+    return out
+
+
 def _regions(found: set[tuple[int, int, int, int, int]], index: PassageIndex) -> Iterator[tuple[int, int, int, int, int, bool]]:
     """Matches of whole items, and what passages of an item cover together away from those."""
     whole, parts = defaultdict(list), defaultdict(list)
@@ -254,12 +328,12 @@ def _regions(found: set[tuple[int, int, int, int, int]], index: PassageIndex) ->
             yield doc, entry, start, stop, edits, True
         else:
             parts[doc, int(index.owner[entry])].append((start, stop, edits))
+    known = _reaches(whole)
     for (doc, item), spans in parts.items():
-        known = sorted(whole.get((doc, item), []))
-        reach = list(accumulate((stop for _, stop in known), max))
+        begins, reach = known.get((doc, item), ([], []))
         merged: list[list[int]] = []
         for start, stop, edits in sorted(spans):
-            before = bisect_left(known, (stop,)) - 1  # whole ones that begin ahead of its end
+            before = bisect_left(begins, stop) - 1  # whole ones that begin ahead of its end
             if before >= 0 and reach[before] > start:
                 continue
             if merged and start <= merged[-1][1]:
