@@ -104,3 +104,18 @@ def test_hot_length(spark, seed):
         used[r.sequence_id] += r.length
     assert len(got) == 3000 and max(used.values()) <= 2048
     assert len(used) == len(plain_best_fit([r[2] for r in rows], 2048))
+
+
+def test_pieces_equal_in_every_column(spark):
+    rows = [(1, 0, 700, 5)] * 50 + [(None, None, 700, 5)] * 7 + [(2, 0, 1300, 9)] * 20
+    got = pack(spark.createDataFrame(rows, "doc_id long, piece int, length long, ids_crc32 long").repartition(5)).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    assert len(got) == len(rows) and len(by) == len(plain_best_fit([r[2] for r in rows], 2048))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048

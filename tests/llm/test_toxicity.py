@@ -1,10 +1,19 @@
 """The ordinal model against its likelihood and held-out labels."""
 
+import math
+import re
+from collections import Counter
+from functools import cache
+
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from flowlucid.llm import toxicity as module
 from flowlucid.llm.queries import op3_toxicity
-from flowlucid.llm.toxicity import RIDGE, fit_ordinal, toxicity
+from flowlucid.llm.text import Texts
+from flowlucid.llm.toxicity import RIDGE, fit_ordinal, fit_toxicity, toxicity, word_counts
 
 LARGE = "/root/testdata/sf0.1"
 
@@ -54,3 +63,40 @@ def test_query_and_edge_rows(spark):
     assert len(got) == 6 and all(r.expected_severity is not None for r in got)
     assert toxicity(docs.limit(0), labels).count() == 0
     assert all(r.toxic is None for r in toxicity(docs, labels.limit(0)).collect())
+
+
+@cache
+def features(word):
+    """Buckets of a word and its beginnings."""
+    _, bucket, count = word_counts(Texts.of(pa.array([word])))
+    return Counter(dict(zip(bucket.tolist(), count.tolist(), strict=True)))
+
+
+def test_query_against_plain_scores(spark, monkeypatch):
+    """Every document scored word by word with the fitted weights."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    monkeypatch.setattr(module, "fit_toxicity", lambda *_: model)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = op3_toxicity(spark, sf).collect()
+    assert {r.doc_id for r in rows} == texts.keys() and len(rows) == len(texts)
+    for r in rows:
+        lower = re.sub("[A-Z]+", lambda m: m.group().lower(), texts[r.doc_id])
+        counts = Counter()
+        for word, n in Counter(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)).items():
+            for bucket, m in features(word).items():
+                counts[bucket] += n * m
+        score = sum(model.weights[b] * (1 + math.log(n)) for b, n in counts.items())
+        above = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert r.expected_severity == pytest.approx(sum(above), abs=2e-6)
+        assert r.toxic == (above[0] > 0.5)
+        each = [a - b for a, b in zip([1, *above], [*above, 0], strict=True)]
+        assert each[r.grade] == pytest.approx(max(each), abs=1e-9)
+
+
+def test_columns_that_clash_in_another_case(spark):
+    docs = spark.createDataFrame([(1, "fine words", "a", 7, True), (2, None, "b", 8, None)], "doc_id long, text string, Grade string, EXPECTED_severity int, Toxic boolean")
+    labels = spark.createDataFrame([(1, 0, "x"), (2, 1, "y")], "doc_id long, toxic int, text string")
+    got = toxicity(docs, labels)
+    assert got.columns == ["doc_id", "expected_severity", "grade", "toxic"] and got.count() == 2
