@@ -32,6 +32,7 @@ _ANCHOR_BYTES = 80
 CELLS_EACH = 16
 DEPTH = 2
 _PLACE = np.uint64((1 << 24) - 1)
+_BLOCK = np.uint64(0xFFFFFFFF00000000)
 _TWIN = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -77,10 +78,11 @@ def _least_places(runs: np.ndarray, span: int) -> np.ndarray:
     return (least & _PLACE).astype(np.int64)
 
 
-def combined(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def combined(first: np.ndarray, second: np.ndarray, apart: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of equal fingerprints in one block, the first place stands for all with count two;
     the others, known to repeat, get a key of their own. Returns both keys and counts, so
-    that a passage found everywhere gives one row a block to its group."""
+    that a passage found everywhere gives one row a block to its group. ``apart`` keeps the
+    own keys of unlike blocks from meeting, for some more bytes to send."""
     _, at, inverse, many = np.unique(first, return_index=True, return_inverse=True, return_counts=True)
     lead = np.zeros(len(first), bool)
     lead[at] = True
@@ -93,6 +95,8 @@ def combined(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndar
     counts[known] = 2
     # Own keys are small numbers, which cost little to send; where they meet, all are known.
     own = np.arange(len(first), dtype=np.uint64)
+    if apart:
+        own |= first.sum(dtype=np.uint64) & _BLOCK
     return np.where(known, own, first), np.where(known, np.uint64(0), second), counts
 
 
@@ -140,7 +144,7 @@ def repeated_windows(docs: DataFrame, width: int, text: str = "text", id_: str =
                 continue
             k1 = range_hashes(words.hashes, at, at + width)
             k2 = range_hashes(mix(words.hashes ^ _TWIN), at, at + width)
-            k1, k2, n = combined(k1, k2)
+            k1, k2, n = combined(k1, k2, apart=True)
             owner = words.owners()[at]
             yield record_batch(k1, k2, n, batch.column(id_), batch.column("row"), owner, at - words.first[owner])
 

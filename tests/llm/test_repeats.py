@@ -14,7 +14,7 @@ from flowlucid.llm.jaccard import one_of_each
 from flowlucid.llm.prefixfree import without_repeated_bytes
 from flowlucid.llm.repeats import anchored_windows, combined, without_repeats
 from flowlucid.llm.sketch import count_sketch, may_have
-from flowlucid.llm.text import Texts
+from flowlucid.llm.text import Texts, mix
 
 
 def plain(texts, width):
@@ -108,3 +108,17 @@ def test_anchors_of_texts_longer_than_a_place(monkeypatch, width):
     assert ((places >= starts) & (places <= starts + width - short)).all()
     # equal windows, equal anchors
     assert (runs[places[1000:1000 + 60 - width + 1]] == runs[places[-(60 - width + 1):]]).all()
+
+
+def test_own_keys_of_unlike_blocks_do_not_meet():
+    """Places known to repeat in their block are no group across blocks."""
+    rng = np.random.default_rng(3)
+    keys = []
+    for _ in range(20):
+        first = rng.integers(0, 1 << 63, 50, dtype=np.uint64).repeat(3)
+        k1, k2, n = combined(first, mix(first), apart=True)
+        known = k2 == 0
+        assert known.sum() == 100 and (n == 2).all()
+        assert (np.sort(k1[~known]) == np.sort(first[::3])).all()
+        keys += k1[known].tolist()
+    assert len(set(keys)) == len(keys)
