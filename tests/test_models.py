@@ -34,6 +34,14 @@ def test_trees_learn_a_rule(learnable):
         assert quality(model, test, "target")["macro avg"] > 0.95
 
 
+def test_forest_keeps_the_nodes_of_rows_and_is_the_same(spark, learnable):
+    """Trees are not sent to the tasks of each pass; lists of nodes are checkpointed."""
+    train, _ = learnable
+    kept, sent = (fit_rf(train, "y", numTrees=5, maxDepth=12, **more) for more in ({}, {"cacheNodeIds": False}))
+    assert kept.getOrDefault("cacheNodeIds") and spark.sparkContext.getCheckpointDir()
+    assert kept.toDebugString.split("\n", 1)[1] == sent.toDebugString.split("\n", 1)[1]
+
+
 def test_random_labels_stay_near_the_base_rate(bench):
     assert quality(fit_dt(bench.x_train, "y", maxDepth=2), bench.x_test, "y")["accuracy"] == pytest.approx(0.6, abs=0.1)
 
