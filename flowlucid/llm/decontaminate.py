@@ -36,6 +36,8 @@ STEP = 50
 BLOCK_CHARS = 2_000_000
 #: Q-grams that this many items have are not looked up where an item has enough others.
 COMMON = 3
+#: Bytes of text looked through at once: hits and their sorting take some 100 bytes each.
+TEXT_BYTES = 1 << 20
 _TABLE_BITS = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_TWICE = np.uint64(0x9E3779B97F4A7C15 ** 2 % (1 << 64))
@@ -358,6 +360,12 @@ def passage_blocks(benchmark: DataFrame, text: str = "text", id_: str = "item_id
         yield PassageIndex.of(pending)
 
 
+def matches_by_block(batches: Iterator[pa.RecordBatch], index: PassageIndex, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """The rows in batches of at most ``TEXT_BYTES`` of text (or one row), each with its matches."""
+    for batch in blocks(batches, text, TEXT_BYTES):
+        yield batch, passages_in(Texts.of(batch.column(text)), index)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "doc_id", chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, item_id, start, stop, edits, whole``: each benchmark item found in a document,
     in code points, end exclusive. Clean documents give no row. Where only passages of an item
@@ -379,8 +387,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_
         sent = spark.sparkContext.broadcast(index)
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in blocks(batches, text):
-                found = passages_in(Texts.of(batch.column(text)), sent.value)
+            for batch, found in matches_by_block(batches, sent.value, text):
                 if found:
                     doc, item, start, stop, edits, whole = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays(
@@ -400,9 +407,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", ch
         sent = spark.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in blocks(batches, text):
+            for batch, found in matches_by_block(batches, sent.value, text):
                 clean = np.ones(batch.num_rows, bool)
-                clean[[m[0] for m in passages_in(Texts.of(batch.column(text)), sent.value)]] = False
+                clean[[m[0] for m in found]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(keep, docs.schema)

@@ -1,6 +1,7 @@
 """Benchmark passages against a plain alignment of every item with every text."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -174,3 +175,22 @@ def test_ties_null_items_and_clashing_columns(spark):
     assert got == [(1, 1, 4, 31), (1, 1, 4, 31), (1, 2, 4, 31), (1, 2, 4, 31), (None, None, 0, 31)]
     assert decontaminated(frame, bench).count() == 0
     assert decontaminated(frame, bench.filter("item_id = 1")).collect()[0].ITEM_ID == "s"
+
+
+def test_memory_is_bounded_by_blocks_of_text():
+    """Hits of a large batch of texts are not held at once; matches are those of each text alone."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    draw = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    items = [(i, draw(30)) for i in range(50)]
+    index = PassageIndex.of(items)
+    texts = [f"{draw(150)} {items[i % 50][1]} {draw(150)}" if i % 100 == 0 else draw(300) for i in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1500)), "text": texts})
+    tracemalloc.start()
+    found = [(b.column("doc_id")[m[0]].as_py(), *m[1:]) for b, some in decontaminate.matches_by_block(iter([batch]), index) for m in some]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 3 << 20 and peak < 300 << 20, peak
+    assert {(m[0], m[1]) for m in found} >= {(i, i % 50) for i in range(0, 1500, 100)}
+    alone = [(i, *m[1:]) for i in (0, 100, 101, 1499) for m in passages_in(Texts.of(pa.array([texts[i]])), index)]
+    assert alone == [m for m in found if m[0] in (0, 100, 101, 1499)]
