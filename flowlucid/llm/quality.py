@@ -29,6 +29,8 @@ LABELLED = 20_000
 #: length alone neither selects nor rejects; short texts lean to a ratio of one.
 LENGTH = 200
 SHRINK = 50
+#: Bytes of text looked through at once: n-grams and what they are made of take some 50 times as many.
+TEXT_BYTES = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 _KIND = np.array([
@@ -57,6 +59,12 @@ def ngram_buckets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(grams) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.concatenate([owner, owner, pairs, pairs])
 
 
+def texts_by_block(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """The rows in batches of at most ``TEXT_BYTES`` of text (or one row), each with its texts."""
+    for batch in blocks(batches, text, TEXT_BYTES):
+        yield batch, Texts.of(batch.column(text))
+
+
 @dataclass
 class ImportanceModel:
     """Log ratio of target and raw probability of each bucket."""
@@ -85,8 +93,8 @@ def fit_importance(docs: DataFrame, target_ids: list[int], text: str = "text", i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(1 << BUCKET_BITS, np.int64), np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in blocks(batches, text):
-            bucket, owner = ngram_buckets(Texts.of(batch.column(text)))
+        for batch, texts in texts_by_block(batches, text):
+            bucket, owner = ngram_buckets(texts)
             raw += np.bincount(bucket, minlength=len(raw))
             good = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)[owner]
             target += np.bincount(bucket[good], minlength=len(raw))
@@ -109,8 +117,8 @@ def with_log_weight(docs: DataFrame, model: ImportanceModel, text: str = "text")
     ratios = docs.sparkSession.sparkContext.broadcast(model.ratios)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, text):
-            weight = ImportanceModel(ratios.value).weights(Texts.of(batch.column(text)))
+        for batch, texts in texts_by_block(batches, text):
+            weight = ImportanceModel(ratios.value).weights(texts)
             yield batch.append_column("log_weight", pa.array(weight))
 
     return source.mapInArrow(score, schema_with(source, "log_weight double"))

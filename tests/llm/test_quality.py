@@ -1,12 +1,15 @@
 """Importance weights against a plain count, and the sample against its labels."""
 
 import math
+import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from flowlucid.llm import quality
 from flowlucid.llm.order import kth_largest
 from flowlucid.llm.quality import BUCKET_BITS, LENGTH, SHRINK, fit_importance, labelled_cut, ngram_buckets, resample
 from flowlucid.llm.queries import op5_quality_resampling
@@ -78,3 +81,18 @@ def test_edge_rows(spark):
     assert {r.log_weight for r in got if r.doc_id in (1, 2)} == {0.0}
     assert resample(docs.limit(0), labels).count() == 0
     assert all(r.kept for r in resample(docs, labels.limit(0)).collect())
+
+
+def test_memory_is_bounded_by_blocks_of_text():
+    """N-grams of a large batch of texts are not held at once; weights are those of each text alone."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["a", "bc", "def", "ghij"], k=rng.randint(0, 1200))) for _ in range(2200)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    model = quality.ImportanceModel(np.random.default_rng(1).normal(size=1 << BUCKET_BITS))
+    model.weights(Texts.of(pa.array(texts[:1])))  # tables of powers are made once
+    tracemalloc.start()
+    got = [w for _, some in quality.texts_by_block(iter([batch])) for w in model.weights(some)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 4 << 20 and peak < 150 << 20, peak
+    assert [got[i] for i in (0, 700, 2199)] == [model.weights(Texts.of(pa.array([texts[i]])))[0] for i in (0, 700, 2199)]
