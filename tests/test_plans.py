@@ -54,6 +54,20 @@ def test_report_shuffles_confusion_counts_only(bench):
     assert re.search(r"Keys \[\d\]: \[.*label.*prediction.*\]\nFunctions \[1\]: \[partial_count\(1\)\]", text)
 
 
+def test_labels_of_two_levels_need_no_join(spark, bench):
+    """They are kept beside the encoded rows; only a uid that comes again is joined, null ones have no row."""
+    assert "Join" not in plan(bench.two_levels).split("InMemoryRelation")[0]
+    of_rule = bench.two_levels.join(bench.split.select("uid", "conn_state", "proto"), "uid")
+    assert of_rule.count() == bench.split.count()
+    assert of_rule.filter("(label_tactic = 'open') <> (conn_state = 'SF') or (label_technique = 'T1') <> (proto = 'icmp')").isEmpty()
+    odd = workbench.Workbench(spark, bench.sf_dir)
+    schema = "uid long, label_tactic string, label_technique string, label_tactic_level string, label_technique_level string, n int"
+    odd.__dict__["encoded"] = spark.createDataFrame([(1, "a", "b", "open", "T1", 1), (1, "a", "b", "other", "T2", 2), (2, "a", "b", "open", "T2", 3), (None, "a", "b", "open", "T1", 4)], schema)
+    got = sorted((r.uid, r.n, r.label_tactic, r.label_technique) for r in odd.two_levels.collect())
+    assert got == [(1, 1, "open", "T1"), (1, 1, "other", "T2"), (1, 2, "open", "T1"), (1, 2, "other", "T2"), (2, 3, "open", "T2")]
+    assert odd.two_levels.columns == ["uid", "n", "label_tactic", "label_technique"]
+
+
 def test_weekly_counts_read_two_columns(bench):
     text = plan(weekly_counts(bench.flows, "label_tactic"))
     schema = text.split("ReadSchema: ")[1].splitlines()[0]
