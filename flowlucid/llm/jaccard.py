@@ -39,6 +39,8 @@ LEAF = 16
 FAN = 8
 #: Sets, and members of sets, that one task compares at once.
 BLOCK_SETS, BLOCK_MEMBERS = 1024, 500_000
+#: Bytes of text looked through at once: words and what they are hashed from take some 20 times as many.
+TEXT_BYTES = 1 << 20
 _SALT = np.uint64(0x94D049BB133111EB)
 
 
@@ -54,6 +56,11 @@ def ngram_sets(texts: Texts, n: int) -> list[np.ndarray]:
     return out
 
 
+def batch_sets(batch: pa.RecordBatch, n: int, text: str = "text") -> list[np.ndarray]:
+    """``ngram_sets`` of a batch's texts, made from at most ``TEXT_BYTES`` (or one text) at a time."""
+    return [s for part in blocks(iter([batch]), text, TEXT_BYTES) for s in ngram_sets(Texts.of(part.column(text)), n)]
+
+
 def set_key(members: np.ndarray) -> tuple[int, int]:
     """96 bits that name a set."""
     with np.errstate(over="ignore"):
@@ -198,7 +205,7 @@ def similar_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFr
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
         for batch in blocks(batches, text):
-            yield batch, [s for s in ngram_sets(Texts.of(batch.column(text)), words) if len(s)]
+            yield batch, [s for s in batch_sets(batch, words, text) if len(s)]
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in sets_of(batches):
@@ -300,7 +307,7 @@ def with_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, text):
-            sets = ngram_sets(Texts.of(batch.column(text)), words)
+            sets = batch_sets(batch, words, text)
             names = [set_key(s) if len(s) else (None, None) for s in sets]
             rest = batch.drop_columns([text])
             yield pa.RecordBatch.from_arrays(

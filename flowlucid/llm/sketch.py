@@ -22,6 +22,7 @@ RANGE_BITS = 20
 #: 128 MB as bits, the most that is broadcast.
 MOST_CELLS = 1 << 30
 _PENDING = 4_000_000
+_IN_RANGE = np.uint32((1 << RANGE_BITS) - 1)
 
 Hashes = Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]
 
@@ -51,6 +52,21 @@ def _cells(hashes: np.ndarray, bits: int, row: int) -> np.ndarray:
     return (mix(hashes + np.uint64(0x9E37 * (row + 1))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def counted_cells(parts: list[np.ndarray], bits: int, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rising distinct cells that hashes fall into, and which are met again: 32-bit numbers,
+    filled array by array and sorted in place, as there may be some million."""
+    cells, at = np.empty(sum(map(len, parts)), np.uint32), 0
+    for found in parts:
+        cells[at:at + len(found)] = _cells(found, bits, row) + (row << bits)
+        at += len(found)
+    cells.sort()
+    first = np.ones(len(cells), bool)
+    np.not_equal(cells[1:], cells[:-1], out=first[1:])
+    again = np.zeros(len(cells), bool)
+    np.logical_not(first[1:], out=again[:-1])
+    return cells[first], again[first]
+
+
 def count_sketch(docs: DataFrame, hashes: Hashes, bits: int, depth: int, least: int, most: int = _PENDING) -> np.ndarray:
     """Packed bits of the cells that at least ``least`` (1 or 2) of the hashes fall into.
 
@@ -62,14 +78,14 @@ def count_sketch(docs: DataFrame, hashes: Hashes, bits: int, depth: int, least:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def part(pending: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            found = np.concatenate(pending) if pending else np.empty(0, np.uint64)
             for row in range(depth):
-                cells, counts = np.unique(_cells(found, own, row) + (row << own), return_counts=True)
-                ranges = cells >> RANGE_BITS
-                coded = ((cells & ((1 << RANGE_BITS) - 1)) * 2 + (counts >= 2)).astype(np.uint32)
-                edges = np.flatnonzero(np.diff(ranges, prepend=-1))
-                pieces = [packed(c) for c in np.split(coded, edges[1:])] if len(edges) else []
-                yield pa.RecordBatch.from_arrays([pa.array(ranges[edges], pa.int64()), pa.array(pieces, pa.binary())], names=["part", "cells"])
+                cells, again = counted_cells(pending, own, row)
+                # cells rise, so a range's are together
+                edges = np.searchsorted(cells, np.arange(row << own, row + 1 << own, 1 << RANGE_BITS)) if len(cells) else np.empty(0, np.int64)
+                ends = np.append(edges[1:], len(cells))
+                edges, ends = edges[edges < ends], ends[edges < ends]
+                pieces = [packed((cells[a:b] & _IN_RANGE) * np.uint32(2) + again[a:b]) for a, b in zip(edges, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(cells[edges] >> np.uint32(RANGE_BITS), pa.int64()), pa.array(pieces, pa.binary())], names=["part", "cells"])
 
         pending, n = [], 0
         for found in hashes(batches):

@@ -55,16 +55,17 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return have[:n]
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+def range_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
     """For each range start <= stop of a sequence of 64-bit values, in rising order of
-    starts, a hash of its content that does not depend on its place."""
+    starts, a hash of its content that does not depend on its place. With a ``table``, the
+    sequence has the places in it; they are looked up part by part."""
     out = np.empty(len(starts), dtype=np.uint64)
     at = 0
     while at < len(starts):
         low = int(starts[at])
         upto = max(at + 1, int(np.searchsorted(starts, low + _HASH_SPAN, side="right")))
         high = int(stops[at:upto].max())
-        part = values[low:high]
+        part = values[low:high] if table is None else table[values[low:high]]
         total = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum(part * powers(len(part)), out=total[1:])
         first, last = starts[at:upto] - low, stops[at:upto] - low
@@ -118,7 +119,7 @@ class Texts:
         last[edges] |= before[edges]
         start, stop = np.flatnonzero(first), np.flatnonzero(last)
         bounds = np.searchsorted(start, self.starts), np.searchsorted(start, self.stops)
-        hashes = range_hashes(VALUES[0][data], start, stop) if len(start) else np.empty(0, np.uint64)
+        hashes = range_hashes(data, start, stop, VALUES[0]) if len(start) else np.empty(0, np.uint64)
         return Words(start, stop, hashes, bounds[0], np.maximum(*bounds))
 
 

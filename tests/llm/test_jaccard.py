@@ -2,14 +2,17 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from flowlucid.llm.graph import components
-from flowlucid.llm.jaccard import bitmap, linked, similar_enough, with_components
+from flowlucid.llm.jaccard import batch_sets, bitmap, linked, ngram_sets, similar_enough, with_components
+from flowlucid.llm.text import Texts
 
 from ..conftest import SMALL
 
@@ -97,3 +100,18 @@ def test_components(spark):
                 up[a] = up[b] = min(up[a], up[b])
     assert found == up
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_memory_is_bounded_by_blocks_of_text():
+    """What the sets of a large batch are made from is not held at once; they are those of each text alone."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["a", "bc", "def", "ghij", "klmno"], k=rng.randint(0, 1500))) for _ in range(1600)]
+    batch = pa.RecordBatch.from_pydict({"text": [*texts, None]})
+    ngram_sets(Texts.of(pa.array(texts[:1])), 4)  # tables of powers are made once
+    tracemalloc.start()
+    got = batch_sets(batch, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 4 << 20 and peak < 45 << 20, peak
+    assert len(got) == len(texts) + 1 and not len(got[-1])
+    assert all(np.array_equal(got[i], ngram_sets(Texts.of(pa.array([t])), 4)[0]) for i, t in enumerate(texts))
