@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import remove_path, scratch_dir
+from ..config import few_files, remove_path, scratch_dir
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     def stored(frame: DataFrame) -> tuple[DataFrame, str, tuple]:
         path = scratch_dir(spark, "edges")
-        frame.distinct().write.parquet(path)
+        few_files(frame.distinct()).write.parquet(path)
         kept = spark.read.parquet(path)
         state = kept.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return kept, path, tuple(state)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import scratch_dir, ship_package
+from ..config import few_files, scratch_dir, ship_package
 from .frames import dropping, schema_with
 from .graph import Union, components
 from .sketch import cell_bits, count_sketch, may_have, text_bytes
@@ -240,7 +240,7 @@ def similar_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFr
     lists = met.groupBy("key").agg(F.min(F.struct("n", "h1", "h2")).alias("lead"), F.max(F.struct("n", "h1", "h2")).alias("other")).filter("lead <> other")
     # all that meet the same smallest set are compared together, once
     path = scratch_dir(spark, "clusters")
-    met.join(lists, "key").select(F.col("lead.h1").alias("l1"), F.col("lead.h2").alias("l2"), "h1", "h2", "n").distinct().write.parquet(path)
+    few_files(met.join(lists, "key").select(F.col("lead.h1").alias("l1"), F.col("lead.h2").alias("l2"), "h1", "h2", "n").distinct()).write.parquet(path)
     clusters = spark.read.parquet(path)
     many = clusters.groupBy("l1", "l2").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_MEMBERS)).cast("int").alias("parts"))
     own = F.pmod(F.col("h2"), F.col("parts"))
@@ -287,7 +287,7 @@ def similar_sets(docs: DataFrame, words: int, percent: int, text: str) -> DataFr
         return frame.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "l1 long, l2 int, p int, q int, h1 long, h2 int, n int, g1 long, g2 int")
 
     likely_path = scratch_dir(spark, "likely")
-    compared(dealt.join(contents(clusters.select("h1", "h2").distinct(), lambda s: bitmap(s).tobytes()), ["h1", "h2"]), group, False).write.parquet(likely_path)
+    few_files(compared(dealt.join(contents(clusters.select("h1", "h2").distinct(), lambda s: bitmap(s).tobytes()), ["h1", "h2"]), group, False)).write.parquet(likely_path)
     likely = spark.read.parquet(likely_path)
     with_sets = likely.join(contents(likely.select("h1", "h2").distinct(), lambda s: s.tobytes()), ["h1", "h2"])
     return compared(with_sets, [*group, "g1", "g2"], True).select("h1", "h2", "g1", "g2").filter("h1 <> g1 or h2 <> g2").distinct()
@@ -320,7 +320,7 @@ def with_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     named = spark.read.parquet(path)
     least = named.filter("h1 is not null").groupBy("h1", "h2").agg(F.min(id_).alias("rep"))
     path = scratch_dir(spark, "links")
-    similar_sets(source, words, percent, text).write.parquet(path)
+    few_files(similar_sets(source, words, percent, text)).write.parquet(path)
     links = spark.read.parquet(path)
     ends = links.join(least, ["h1", "h2"]).select(F.col("rep").alias("a"), F.col("g1").alias("h1"), F.col("g2").alias("h2")).join(least, ["h1", "h2"]).select("a", F.col("rep").alias("b"))
     found = components(ends.filter("a is not null and b is not null"))
@@ -334,7 +334,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, tex
     """
     tagged = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     path = scratch_dir(docs.sparkSession, "components")
-    with_components(tagged.select(id_, text, "_row"), words, percent, text, id_).write.parquet(path)
+    few_files(with_components(tagged.select(id_, text, "_row"), words, percent, text, id_)).write.parquet(path)
     found = docs.sparkSession.read.parquet(path).filter("n_shingles > 0 and component_id is not null")
     other = found.filter(~F.col(id_).eqNullSafe(F.col("component_id"))).select(F.col(id_).alias("_id"), F.col("_row").alias("_tag")).distinct()
     left = tagged.join(other, tagged[id_].eqNullSafe(other["_id"]) & (tagged["_row"] == other["_tag"]), "left_anti")

@@ -10,6 +10,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from flowlucid import config
+from flowlucid.llm import graph
 from flowlucid.llm.graph import components
 from flowlucid.llm.jaccard import batch_sets, bitmap, linked, ngram_sets, similar_enough, with_components
 from flowlucid.llm.text import Texts
@@ -102,6 +104,26 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_scratch_tables_have_few_files(spark, tmp_path, monkeypatch):
+    """Also where shuffles have many partitions, which are not joined by size."""
+    monkeypatch.setattr(config, "scratch_root", lambda spark, root=None: str(tmp_path))
+    settings_ = {"spark.sql.shuffle.partitions": "150", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings_}
+    kept = []
+    monkeypatch.setattr(graph, "remove_path", lambda spark, path: kept.append(path))
+    try:
+        for k, v in settings_.items():
+            spark.conf.set(k, v)
+        edges = spark.range(600).selectExpr("id * 2 as a", "id * 2 + 1 as b")
+        got = {r.node: r.component for r in components(edges).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {n: n // 2 * 2 for n in range(1200)}
+    files = [len(list(d.glob("part-*"))) for d in tmp_path.iterdir() if d.is_dir()]
+    assert kept and len(files) > len(kept) and max(files) <= 32, files
+
+
 def test_memory_is_bounded_by_blocks_of_text():
     """What the sets of a large batch are made from is not held at once; they are those of each text alone."""
     rng = random.Random(5)
