@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,28 +35,34 @@ from ..config import release_shuffles, scratch_dir, ship_package
 from .frames import dropping, schema_with
 from .repeats import DEPTH, combined, grouped_repeats, record_batch, record_schema, row_tag, times_met, with_cuts
 from .sketch import cell_bits, count_sketch, may_have, text_bytes
-from .text import VALUES, Texts, blocks, mix, range_hashes
+from .text import VALUES, Texts, blocks, hashes_between, range_hashes, running_sums
 
 TRIGGER_BYTES = 8
 #: Mean bytes from one trigger to the next.
 PHRASE_BYTES = 16
 CELLS_EACH = 8
-#: Bytes of text parsed at once; a parse takes some eighty times as much.
+#: Bytes of text parsed at once; a parse takes some twenty times as much.
 PARSED_BYTES = 2 << 20
+#: Bytes of text cut into phrases at a time, few enough to stay in a core's cache.
+_CUT_BYTES = 1 << 17
 #: Hashes a task counts at a time.
 COUNTED = 1_000_000
-_SALT = np.uint64(0xA24BAED4963EE407)
+_SALT, _ODD = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
 def trigger_places(data: np.ndarray, phrase: int) -> np.ndarray:
     """Where the hash of the next ``TRIGGER_BYTES`` bytes is small."""
     found = []
-    whole = data.tobytes()
-    for shift in range(min(TRIGGER_BYTES, max(0, len(data) - TRIGGER_BYTES + 1))):
-        many = (len(data) - shift) // TRIGGER_BYTES
-        at = np.frombuffer(whole, "<u8", many, shift)
-        found.append(np.flatnonzero(mix(at ^ _SALT) < np.uint64((1 << 64) // phrase)) * TRIGGER_BYTES + shift)
-    return np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
+    few = np.uint64((1 << 64) // phrase)
+    for low in range(0, len(data), _CUT_BYTES):
+        part = data[low:low + _CUT_BYTES + TRIGGER_BYTES - 1].tobytes()
+        small = np.zeros(len(part), bool)
+        for shift in range(min(TRIGGER_BYTES, max(0, len(part) - TRIGGER_BYTES + 1))):
+            at = np.frombuffer(part, "<u8", (len(part) - shift) // TRIGGER_BYTES, shift) ^ _SALT
+            at *= _ODD  # the upper bits, which depend on all others
+            np.less(at, few, out=small[shift:shift + len(at) * TRIGGER_BYTES:TRIGGER_BYTES])
+        found.append(np.flatnonzero(small) + low)
+    return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
 @dataclass
@@ -79,48 +86,38 @@ class Parse:
         begins = np.flatnonzero(text[:-1] == text[1:])
         ends = texts.stops - width + 1  # past the last string's start in each text
         long = texts.starts < ends
-        starts = np.union1d(triggers, texts.starts[long])
+        starts = np.sort(np.concatenate([triggers, texts.starts[long]]), kind="stable")
+        starts = starts[np.diff(starts, prepend=-1) > 0]
         owner = np.searchsorted(texts.starts, starts, side="right") - 1
         upto = np.minimum(np.append(starts[1:], len(texts.data)), ends[owner]) if len(starts) else starts
         some = starts < upto
         return cls(texts, width, triggers, begins, starts[some], upto[some])
 
+    @cached_property
+    def sums(self) -> np.ndarray:
+        return running_sums(self.texts.data, VALUES[0])
+
     def phrase_hashes(self) -> np.ndarray:
-        values = VALUES[0][self.texts.data]
-        return range_hashes(values, self.triggers[self.phrase_from], self.triggers[self.phrase_from + 1] + TRIGGER_BYTES)
-
-    def open_starts(self, repeats: np.ndarray) -> np.ndarray:
-        """For each byte, whether a string starts there that may occur again: no phrase
-        inside it is known to occur once. ``repeats`` goes with ``phrase_from``."""
-        n = len(self.texts.data)
-        once = np.zeros(len(self.triggers) + 1, np.int32)
-        once[self.phrase_from[~repeats] + 1] = 1
-        once = np.cumsum(once, dtype=np.int32)  # phrases found once that begin before a trigger
-        before = np.zeros(n + 1, np.int32)
-        before[self.triggers + 1] = 1
-        before = np.cumsum(before, dtype=np.int32)  # triggers before a byte
-        reach = self.width - TRIGGER_BYTES + 1
-        out = np.zeros(n, bool)
-        if n < self.width:
-            return out
-        first = before[:n - self.width + 1]
-        last = before[reach:reach + len(first)] - 1
-        # phrases wholly inside are those from the first trigger up to the last one
-        out[:len(first)] = (last <= first) | (once[np.maximum(last, 0)] == once[np.minimum(first, len(self.triggers))])
-        starts = np.zeros(n + 1, np.int8)
-        starts[self.block_from] += 1
-        starts[self.block_upto] -= 1
-        return out & (np.cumsum(starts[:n], dtype=np.int8) > 0)
+        return hashes_between(self.sums, self.triggers[self.phrase_from], self.triggers[self.phrase_from + 1] + TRIGGER_BYTES)
 
     def keys(self, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(range_hashes(v[self.texts.data], starts, stops) for v in VALUES)
-
-    def open_blocks(self, repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Blocks with an open string: from, past the last start; and the open starts."""
-        is_open = self.open_starts(repeats)
-        before = np.concatenate([[0], np.cumsum(is_open, dtype=np.int64)])
-        some = before[self.block_upto] > before[self.block_from]
-        return self.block_from[some], self.block_upto[some], is_open
+        return hashes_between(self.sums, starts, stops), range_hashes(self.texts.data, starts, stops, VALUES[1])
+
+    def open_blocks(self, repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Blocks with a string that may occur again, as no phrase inside it is known to occur
+        once: from, past the last start; first and past the last start of such strings, which
+        are together. ``repeats`` goes with ``phrase_from``."""
+        once = self.phrase_from[~repeats]
+        # A string holds the next phrase found once if it starts no earlier than this; one
+        # number for each trigger as the string's first, rising.
+        closed = np.append(self.triggers[once + 1] + TRIGGER_BYTES - self.width, len(self.texts.data))
+        closed = closed[np.searchsorted(once, np.arange(len(self.triggers) + 1))]
+        first = np.searchsorted(self.triggers, self.block_from)
+        after = np.searchsorted(self.triggers, self.block_from, side="right")
+        start = self.block_from + (closed[first] <= self.block_from)
+        upto = np.minimum(self.block_upto, closed[after])
+        some = start < upto
+        return self.block_from[some], self.block_upto[some], start[some], upto[some]
 
 
 def _records(batch: pa.RecordBatch, id_: str, texts: Texts, k1: np.ndarray, k2: np.ndarray, at: np.ndarray, upto: np.ndarray, each: np.ndarray | int = 1) -> pa.RecordBatch:
@@ -149,12 +146,12 @@ def repeated_starts(docs: DataFrame, width: int, phrase: int = PHRASE_BYTES, tex
 
     def open_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch, p in parsed(batches):
-            start, upto, is_open = p.open_blocks(may_have(dictionary.value, p.phrase_hashes(), bits, 1))
+            start, upto, first, past = p.open_blocks(may_have(dictionary.value, p.phrase_hashes(), bits, 1))
             if len(start):
-                yield batch, p, start, upto, is_open
+                yield batch, p, start, upto, first, past
 
     def block_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, p, start, upto, _ in open_blocks(batches):
+        for batch, p, start, upto, _, _ in open_blocks(batches):
             yield _records(batch, id_, p.texts, *p.keys(start, upto + width - 1), start, upto)
 
     path = scratch_dir(spark, "blocks")
@@ -174,17 +171,13 @@ def repeated_starts(docs: DataFrame, width: int, phrase: int = PHRASE_BYTES, tex
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Open starts in batches, and which of them lie in single blocks."""
-        for batch, p, start, upto, is_open in open_blocks(batches):
-            picked = may_have(single.value, range_hashes(VALUES[0][p.texts.data], start, upto + width - 1), few, 1)
-            inside = np.zeros(len(is_open) + 1, np.int8)
-            inside[start[picked]] += 1
-            inside[upto[picked]] -= 1
-            at = np.flatnonzero(is_open)
-            if len(at):
-                yield batch, p, at, np.cumsum(inside[:-1], dtype=np.int8)[at] > 0
+        for batch, p, start, upto, first, past in open_blocks(batches):
+            picked = may_have(single.value, hashes_between(p.sums, start, upto + width - 1), few, 1)
+            many = past - first
+            yield batch, p, np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many), np.repeat(picked, many)
 
     def string_keys(p: Parse, at: np.ndarray) -> np.ndarray:
-        return range_hashes(VALUES[0][p.texts.data], at, at + width)
+        return hashes_between(p.sums, at, at + width)
 
     wide = cell_bits(size / 16, 8)
 
@@ -215,9 +208,10 @@ def repeated_starts(docs: DataFrame, width: int, phrase: int = PHRASE_BYTES, tex
 
     def suffix_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, p, at, own in suffixes(batches):
-            at, _, own = met(p, at, own, wanted.value)
+            at, k1, own = met(p, at, own, wanted.value)
             if len(at):
-                yield _records(batch, id_, p.texts, *p.keys(at, at + width), at, at + 1, np.where(own, 1, 2))
+                k2 = range_hashes(p.texts.data, at, at + width, VALUES[1])
+                yield _records(batch, id_, p.texts, k1, k2, at, at + 1, np.where(own, 1, 2))
 
     strings, found = grouped_repeats(source.mapInArrow(suffix_records, record_schema(source))), scratch_dir(spark, "strings")
     strings.write.option("compression", "zstd").parquet(found)

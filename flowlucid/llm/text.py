@@ -16,6 +16,8 @@ import pyarrow.compute  # noqa: F401
 
 BLOCK_BYTES = 4 << 20
 _HASH_SPAN = 1 << 19
+#: Elements summed at a time, few enough to stay in a core's cache.
+_SUM_SPAN = 1 << 15
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _GAMMA = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -30,9 +32,12 @@ LOWER[ord("A"):ord("Z") + 1] += 32
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * _GAMMA[0]
-    x = (x ^ (x >> np.uint64(27))) * _GAMMA[1]
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _GAMMA[0]
+    x ^= x >> np.uint64(27)
+    x *= _GAMMA[1]
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _values(seed: int) -> np.ndarray:
@@ -49,7 +54,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     key = "inverse" if inverse else "base"
     have = _powers.get(key)
     if have is None or len(have) < n:
-        step = np.full(max(n, _HASH_SPAN), _BASE_INVERSE if inverse else _BASE, dtype=np.uint64)
+        step = np.full(-(-n // _HASH_SPAN) * _HASH_SPAN, _BASE_INVERSE if inverse else _BASE, dtype=np.uint64)
         step[0] = 1
         _powers[key] = have = np.multiply.accumulate(step)
     return have[:n]
@@ -68,13 +73,32 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, tabl
         part = values[low:high] if table is None else table[values[low:high]]
         total = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum(part * powers(len(part)), out=total[1:])
-        first, last = starts[at:upto] - low, stops[at:upto] - low
-        summed = (total[last] - total[first]) * powers(len(part) + 1, inverse=True)[first]
-        out[at:upto] = mix(summed + (stops[at:upto] - starts[at:upto]).astype(np.uint64) * _GAMMA[1])
+        out[at:upto] = hashes_between(total, starts[at:upto] - low, stops[at:upto] - low)
         at = upto
     return out
 
 
+def running_sums(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """What ``hashes_between`` needs of the sequence with the places ``data`` in ``table``, for
+    any number of ranges; worked out part by part."""
+    total, weights = np.zeros(len(data) + 1, dtype=np.uint64), powers(len(data))
+    for low in range(0, len(data), _SUM_SPAN):
+        part = table[data[low:low + _SUM_SPAN]]
+        part *= weights[low:low + _SUM_SPAN]
+        part[:1] += total[low:low + 1]
+        np.cumsum(part, out=total[low + 1:low + 1 + len(part)])
+    return total
+
+
+def hashes_between(total: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """``range_hashes`` from the sequence's running sums, in any order of starts."""
+    summed = total[stops]
+    summed -= total[starts]
+    summed *= powers(len(total), inverse=True)[starts]
+    summed += (stops - starts).astype(np.uint64) * _GAMMA[1]
+    return mix(summed)
+
+
 def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of ``width`` values, by its first place."""
     n = len(values) - width + 1
