@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlucid.llm.queries import op6_secret_scan
-from flowlucid.llm.secrets import ENCODINGS, departure, found_spans, random_cuts, redacted, scored_tokens, secret_spans
+from flowlucid.llm.secrets import (
+    ENCODINGS, LENGTH_CLASSES, departure, found_spans, ordinary_pieces, piece_planes, plane_departures, random_cuts, redacted, scored_tokens, secret_spans,
+)
 
 from ..conftest import SMALL
 
@@ -132,3 +134,31 @@ def test_tokens_of_digits_or_letters_alone_are_scored(spark):
     found = docs.select(scored_tokens(F.col("text")).alias("t")).first().t
     assert [ENCODINGS[t.encoding][0] for t in found] == ["digits", "alphanumeric", "base32", "alphanumeric", "hex"]
     assert [t.length_class for t in found] == [20] * 5
+
+
+def plain_streams(text):
+    body = re.sub("(?<![A-Za-z0-9+/_=-])(?![A-Za-z][a-z]+(?![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{20,}", " ", text)
+    return [
+        "".join(str(10 * (ord(c) - 97) // 26) for c in re.sub("[^a-z]", "", body.lower())), re.sub("[^0-9a-f]", "", body.lower()),
+        re.sub("[^A-Z2-7]", "", body.upper()), re.sub("[^A-Za-z0-9]", "", body), re.sub("[^A-Za-z0-9+/]", "", body),
+    ]
+
+
+def test_every_piece_of_ordinary_text_counts(spark):
+    """Nothing of a text is left out but the rest shorter than a piece, and the bits of planes give
+    the same departure as the piece's symbols one by one."""
+    rng = random.Random(7)
+    words = ["und", "Die", "2024", "a+b/c", "é日", "x=1", "Zeppelin", "deadbeefish", "0", "zzzzzzzz", "KEY2", "-", "k" * 30, "Q9" * 15]
+    given = [" ".join(rng.choices(words, k=k)) for k in (0, 1, 3, 9, 40, 41, 160, 2500)] + ["s " * 200, "", " ".join("!9+/zZaA"[i % 8] for i in range(400))]
+    docs = spark.createDataFrame([(t,) for t in given], "text string")
+    wanted = [(e, c) for e in range(len(ENCODINGS)) for c in LENGTH_CLASSES]
+    cut = sorted((e, c, s[i:i + c]) for t in given for e, s in enumerate(plain_streams(t)) for c in LENGTH_CLASSES for i in range(0, len(s) - c + 1, c))
+    assert not any(e == 2 and re.fullmatch("[0-9A-F]+", piece) for e, _, piece in cut)  # ``departure`` would take it for hex
+    pieces = spark.createDataFrame(cut, "e int, c int, piece string")
+    expected = sorted((r.e, r.c, round(r.v, 6)) for r in pieces.select("e", "c", departure(F.col("piece"), F.col("e")).alias("v")).collect())
+    found = sorted((r.encoding, r.length_class, round(r.value, 6)) for r in plane_departures(piece_planes(docs, wanted)).collect())
+    assert len(found) == len(expected) > 4000
+    assert [f[:2] for f in found] == [x[:2] for x in expected]
+    assert [f[2] for f in found] == pytest.approx([x[2] for x in expected], abs=2e-6)
+    some = ordinary_pieces(docs, [(1, 32), (3, 20)]).groupBy("encoding", "length_class").count().collect()
+    assert {(r.encoding, r.length_class): r["count"] for r in some} == {k: sum(x[:2] == k for x in cut) for k in ((1, 32), (3, 20))}
