@@ -2,12 +2,14 @@ from itertools import combinations
 from math import factorial
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from flowlucid.explain import dependence
 from flowlucid.explain.dependence import dependence_by_transform, grid_values, partial_dependence
 from flowlucid.explain.importance import compare_importance, importance_values, lr_gradient, split_gains
 from flowlucid.explain.kernel import (
@@ -19,7 +21,7 @@ from flowlucid.explain.lime import (
 )
 from flowlucid.explain.summary import long_form, only_supported, shap_summary
 from flowlucid.explain.tree import (
-    PairSums, _pair_rows, interaction_summary, node_table, stored_leaves, tree_paths, tree_shap, tree_shap_interactions,
+    PairSums, _pair_rows, interaction_summary, leaf_sums, node_table, stored_leaves, tree_paths, tree_shap, tree_shap_interactions,
 )
 from flowlucid.operators.models import fit_dt, fit_gnb, fit_lr, fit_rf, score
 
@@ -345,6 +347,28 @@ def test_lime_finds_the_deciding_feature(spark, bench):
 # Dependence and importance ---------------------------------------------------------------
 
 
+def test_dependence_of_many_rows_from_one_pass(bench, monkeypatch):
+    """The leaves pass by once for some 10,000 rows, a bit for each; sums are those of forced rows."""
+    passes = []
+    monkeypatch.setattr(dependence, "stored_leaves", lambda paths: passes.append(1) or stored_leaves(paths))
+    rng = np.random.default_rng(3)
+    seen = np.array([r.x for r in bench.x_test.select(vector_to_array("features").alias("x")).collect()])
+    x = rng.permuted(np.tile(seen, (10001 // len(seen) + 1, 1))[:10001], axis=0)
+    curves = dependence.TreeCurves(bench.paths("dt_signal"), 1)
+    grids = {f: np.linspace(x[:, f].min(), x[:, f].max(), 5) for f in (0, 1, 8)}
+    batches = (pd.DataFrame({"x": list(part)}) for part in np.array_split(x, 7))
+    blocks = [b for _, b in dependence._row_blocks(batches, dependence.marked_rows(x.shape[1]))]
+    got = [curves.of(b, grids) for b in blocks]
+    assert len(passes) == len(got) == 1
+    for f, grid in grids.items():
+        for value, total in zip(grid, got[0][f], strict=True):
+            forced = x.copy()
+            forced[:, f] = value
+            assert total == pytest.approx(leaf_sums(forced, curves.paths, 1).sum(), rel=1e-9)
+    marks = dependence.Marks(x)
+    assert marks.meets(0, -np.inf, np.inf).nbytes == 8 * 157 and marks.count([marks.meets(0, -np.inf, np.inf)]) == 10001
+
+
 def test_dependence_of_a_flat_and_a_step_model(bench):
     flat = DecisionTreeClassifier(labelCol="y", maxDepth=0).fit(bench.x_train)
     p = {round(r.avg_probability, 12) for r in partial_dependence(flat, bench.x_test, bench.names, [0, 1], 5).collect()}
