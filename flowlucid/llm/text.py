@@ -54,9 +54,13 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     key = "inverse" if inverse else "base"
     have = _powers.get(key)
     if have is None or len(have) < n:
-        step = np.full(-(-n // _HASH_SPAN) * _HASH_SPAN, _BASE_INVERSE if inverse else _BASE, dtype=np.uint64)
-        step[0] = 1
-        _powers[key] = have = np.multiply.accumulate(step)
+        have = np.ones(-(-n // _HASH_SPAN) * _HASH_SPAN, dtype=np.uint64)
+        known, step = 1, int(_BASE_INVERSE if inverse else _BASE)
+        while known < len(have):  # in place, as the table may be a large part of what a task holds
+            more = have[known:2 * known]
+            np.multiply(have[:len(more)], np.uint64(step), out=more)
+            known, step = 2 * known, step * step % (1 << 64)
+        _powers[key] = have
     return have[:n]
 
 
